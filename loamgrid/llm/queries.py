@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from loamgrid.llm.langid import op1_language_id
 from loamgrid.llm.quality import op4_quality_rules
+from loamgrid.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_quality_rules)}
 ORACLE: dict[str, str] = {}
