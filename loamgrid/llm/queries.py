@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from loamgrid.llm.htmltext import op10_html_text
 from loamgrid.llm.langid import op1_language_id
 from loamgrid.llm.quality import op4_quality_rules
 from loamgrid.llm.toxicity import op3_toxicity
+from loamgrid.llm.warc import OP7_SQL, op7_warc_revisits
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_quality_rules)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_quality_rules, op7_warc_revisits, op10_html_text)}
+ORACLE: dict[str, str] = {"op7_warc_revisits": OP7_SQL}
