@@ -41,8 +41,8 @@ def candidate_groups(buckets: DataFrame, test: Callable[[DataFrame, bool], DataF
     component if the strict test holds for them, or the wider one for both
     and a hub.
     """
-    several = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    shared = durable(buckets.join(several, "key").select("key", "id", "hub"))
+    several = durable(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"))
+    shared = durable(buckets.join(sized(several), "key").select("key", "id", "hub"))
     edges = durable(test(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), False))
     total = shared.count()
     for turn in range(ROUNDS + 1):
