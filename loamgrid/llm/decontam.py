@@ -31,7 +31,7 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(flat, " "), ""), F.array().cast("array<string>"))
 
 
-def _slices(words: Column, length: int, make) -> Column:
+def word_slices(words: Column, length: int, make) -> Column:
     """``make(slice)`` for each slice of ``length`` words; empty if there are fewer."""
     n = F.size(words)
     starts = F.sequence(F.lit(1), F.greatest(n - (length - 1), F.lit(1)))
@@ -41,12 +41,12 @@ def _slices(words: Column, length: int, make) -> Column:
 def fingerprints(words: Column, short: list[int]) -> Column:
     """The winnowed hashes of ``words``, and the hashes of all slices of each length in ``short``."""
     width = SPAN - GRAM + 1
-    hashes = _slices(words, GRAM, lambda s: F.xxhash64(s))
+    hashes = word_slices(words, GRAM, lambda s: F.xxhash64(s))
     count = F.size(words) - (SPAN - 1)
     # the hashes are bound to a lambda's variable, so that each is computed once
     least = F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_min(F.slice(h, i, width))))[0]
     found = F.when(count >= 1, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(found, *[_slices(words, n, lambda s, n=n: F.xxhash64(F.lit(n), s)) for n in short])
+    return F.concat(found, *[word_slices(words, n, lambda s, n=n: F.xxhash64(F.lit(n), s)) for n in short])
 
 
 def benchmark_spans(benchmark: DataFrame) -> DataFrame:
