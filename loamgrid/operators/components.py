@@ -1,18 +1,47 @@
-"""Connected components of an edge table, by alternating star contraction."""
+"""Connected components of an edge table, by local contraction and alternating star contraction."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.session import durable
 
+#: Edges that one task contracts; its memory is bounded by this number.
+CHUNK = 100_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
     return row["n"], row["h"]
 
 
+def _contract(edges: DataFrame, parts: int) -> DataFrame:
+    """Replace each part's edges by edges from its nodes to the least node they reach within the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = parent[p]
+                x = p
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        pairs = [(x, r) for x in parent if (r := root(x)) != x]
+        yield pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return edges.select("u", "v").coalesce(parts).mapInArrow(run, "u long, v long")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of u to the least of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,23 +57,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return side.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Components of the undirected graph ``edges(a, b)``.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", chunk: int = CHUNK, max_rounds: int = 60) -> DataFrame:
+    """Components of the undirected graph ``edges(a, b)`` of integer nodes.
 
     Returns ``(node, component)`` for every node of an edge between two
     different nodes; the component is its least node. Loops, repeated edges
-    and nulls are ignored; an empty edge table gives an empty result. Every
+    and nulls are ignored; an empty edge table gives an empty result. Edges are
+    first contracted in parts of bounded size, each to a forest of stars. If
+    there is more than one part, rounds of star contraction merge them; a
     round is a fixed number of aggregations and equi-joins whose keys Spark can
-    pre-aggregate or split, and ends in the shared checkpoint folder; the
-    number of rounds grows with the logarithm of the longest chain.
+    pre-aggregate or split, and ends in the shared checkpoint folder.
     """
     current = durable(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
+        .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     )
-    seen = _fingerprint(current)
-    if seen[0]:
+    parts = -(-current.count() // chunk)
+    if parts:
+        current = durable(_contract(current, parts))
+    if parts > 1:
+        seen = _fingerprint(current)
         for _ in range(max_rounds):
             current = durable(_small_star(_large_star(current)))
             now = _fingerprint(current)
