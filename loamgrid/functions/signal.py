@@ -138,7 +138,7 @@ def batched(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column
         out = [None if a is None else np.asarray(fn(np.asarray(a, float)), float).ravel().tolist() for a in arrays.to_pylist()]
         return pa.array(out, pa.list_(pa.float64()))
 
-    return F.arrow_udf(run, "array<double>")
+    return lambda column: F.arrow_udf(run, "array<double>")(column)
 
 
 def biquad(a: np.ndarray, b0: float, b1: float, b2: float, a1: float, a2: float) -> np.ndarray:

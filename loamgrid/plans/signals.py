@@ -125,9 +125,9 @@ def q_ema_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.ema(events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", 0.9).select("user_id", F.round("ema", 6).alias("ema"))
 
 
-@query("SELECT event_id, round(greatest(coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6, 0), 1e-4), 4) AS dt FROM events")
+@query("SELECT event_id, CAST(greatest(coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0), 100) AS BIGINT) AS dt_us FROM events")
 def q_frame_dt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.frame_gaps(events(spark, sf_dir), "user_id", "ts", "event_id", 1e-4).select("event_id", F.round("dt", 4).alias("dt"))
+    return batch.frame_gaps(events(spark, sf_dir), "user_id", "ts", "event_id", 1e-4).select("event_id", F.round(F.col("dt") * 1e6).cast("long").alias("dt_us"))
 
 
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)

@@ -11,6 +11,8 @@ from loamgrid.functions.text import class_of_path, parse_filename, stem
 #: File suffixes of images, and folders that hold no class.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
 NON_CLASS_FOLDERS = ("scripts", "src", "tools", "__pycache__", "reports", "artifacts", "export")
+#: The first bytes, in hex, of JPEG, PNG, BMP and WebP files.
+SIGNATURES = ("FFD8FF", "89504E47", "424D", "52494646")
 MANIFEST = "path string, filename string, class string, site string, leaf_core string, shot string, day string, uuid string, md5 string, dhash string, width int, height int, mode string, error string, group_id bigint, label_conflict boolean"
 
 
@@ -32,10 +34,14 @@ def class_folders(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(ok, failed): a row for each image or file without suffix in a class folder; empty files fail with an error text."""
+    """(ok, failed): a row for each image or file without suffix in a class folder.
+
+    Files that don't begin like an image fail with an error text; empty files
+    hold nothing to read and give no row.
+    """
     files = listing(spark, root)
     wanted = files.join(class_folders(files), "class", "left_semi").where(suffix(F.col("filename")).isin(*IMAGE_SUFFIXES, ""))
-    parsed = wanted.withColumn("p", parse_filename(F.col("filename"))).select("path", "filename", "class", "p.site", "p.leaf_core", "p.shot", "p.day", "p.uuid", F.md5("content").alias("md5"), F.when(F.col("length") == 0, "ValueError: empty file").otherwise("").alias("error"))
+    parsed = wanted.withColumn("p", parse_filename(F.col("filename"))).select("path", "filename", "class", "p.site", "p.leaf_core", "p.shot", "p.day", "p.uuid", F.md5("content").alias("md5"), F.when(F.hex(F.substring("content", 1, 4)).rlike("^(" + "|".join(SIGNATURES) + ")"), "").otherwise("ValueError: not an image").alias("error"))
     return parsed.where("error = ''"), parsed.where("error <> ''")
 
 

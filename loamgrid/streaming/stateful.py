@@ -53,7 +53,7 @@ def pending_triggers(events: DataFrame, key: str, most: int = 1) -> DataFrame:
         state.update((waiting,))
         yield pd.DataFrame({"key": [group[0]], "taken": [taken], "rejected": [rejected], "waiting": [waiting]})
 
-    return events.groupBy(F.col(key).alias("key")).applyInPandasWithState(run, "key long, taken long, rejected long, waiting long", "waiting long", "update", GroupStateTimeout.NoTimeout)
+    return events.select(F.col(key).alias("key")).groupBy("key").applyInPandasWithState(run, "key long, taken long, rejected long, waiting long", "waiting long", "update", GroupStateTimeout.NoTimeout)
 
 
 def running_mean(events: DataFrame, key: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
