@@ -117,7 +117,7 @@ def linked_components(items: DataFrame, payloads: Callable[[DataFrame], DataFram
     slots = F.when(hub, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(own))
     first = payloads(placed.select("id", "gid", slots.alias("slots"))).select("gid", F.explode("slots").alias("slot"), "id", "payload")
     edges = durable(block_edges(first, link))
-    found = connected_components(edges)
+    found = durable(connected_components(edges))
     large = placed.where("m > 1")
     if large.isEmpty():
         return found
@@ -133,4 +133,4 @@ def linked_components(items: DataFrame, payloads: Callable[[DataFrame], DataFram
     outer = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.pmod(F.xxhash64("id", F.lit("out")), F.col("o")).cast("int") * F.col("m") + k)
     again = met.select("id", "gid", F.when(F.col("apart"), F.array_union(whole, outer)).otherwise(whole).alias("slots"))
     second = payloads(again).select("gid", F.explode("slots").alias("slot"), "id", "payload")
-    return connected_components(durable(edges.unionByName(block_edges(second, link))))
+    return connected_components(edges.unionByName(block_edges(second, link)))
