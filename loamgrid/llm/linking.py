@@ -1,10 +1,10 @@
 """Links between similar items, without pairs of all items of a group.
 
 Items that share a bucket are compared with one item of the bucket, its hub,
-not with each other. Linked items form candidate groups; where a bucket still
-holds items of different groups, further hubs and at last the pairs between
-the groups follow. Within candidate groups the exact measure decides, in
-blocks of bounded size: each block is searched breadth first, so that an item
+not with each other. Linked items form candidate groups; only where a bucket
+then holds items of different groups are its items compared with each other,
+by sketches. Within candidate groups the exact measure decides. Both of these
+work in blocks of bounded size: each block is searched breadth first, so that an item
 that has been reached is compared with those not yet reached only. Blocks of a
 large group share some hubs, and what its blocks leave apart from its largest
 part is compared with all of the group.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,46 +26,57 @@ from loamgrid.session import durable
 BLOCK, HUBS = 256, 8
 #: Tables up to this number of rows (a few tens of MB) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 300_000
-#: Rounds of further hubs before the pairs between groups.
-ROUNDS = 3
+#: Rows of a part of a small table.
+PART_ROWS = 50_000
+
+
+def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of ``n`` items, breadth first; ``near(i, todo)`` are those of ``todo`` that i is linked with."""
+    todo, found = np.ones(n, bool), []
+    for first in range(n):
+        queue = [first] if todo[first] else []
+        todo[first] = False
+        while queue:
+            left = np.flatnonzero(todo)
+            if not len(left):
+                break
+            i = queue.pop()
+            new = near(i, left)
+            todo[new] = False
+            found += [(i, int(j)) for j in new]
+            queue += new.tolist()
+    return found
 
 
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def candidate_groups(buckets: DataFrame, test: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+def compact(df: DataFrame) -> DataFrame:
+    """Write ``df`` and read it in as few parts as its rows need, so that unions of small tables stay in few parts."""
+    written = durable(df)
+    return written.coalesce(-(-max(written.count(), 1) // PART_ROWS))
+
+
+def candidate_groups(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], payloads: Callable[[DataFrame], DataFrame], link: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
     """(node, component) of the items of ``buckets(key, id)`` that may be linked.
 
-    ``test(pairs(a, b), strict)`` keeps the pairs that are close: strict by
-    the bound for links, else by a wider one. Items of a bucket are in one
-    component if the strict test holds for them, or the wider one for both
-    and a hub.
+    ``test(pairs(a, b))`` keeps the pairs that are close in a wide sense; it is
+    asked about the items of each bucket and its hub. Buckets whose items are
+    then in one component are done. The items of the others are compared with
+    each other by ``link``, in blocks, on what ``payloads`` adds to them.
     """
     several = durable(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"))
     shared = durable(buckets.join(sized(several), "key").select("key", "id", "hub"))
-    edges = durable(test(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), False))
-    total = shared.count()
-    for turn in range(ROUNDS + 1):
-        groups = connected_components(edges)
-        named = shared.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("own"))
-        mixed = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-        cost = mixed.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0]
-        if not cost:
-            return groups
-        rest = durable(named.join(mixed.select("key"), "key"))
-        last = turn == ROUNDS or cost / 2 <= 2 * total + 50_000
-        if last:
-            a, b = rest.select("key", F.col("id").alias("a"), F.col("own").alias("x")), rest.select("key", F.col("id").alias("b"), F.col("own").alias("y"))
-            pairs = a.join(b, "key").where("x < y")
-        else:
-            hub = rest.groupBy("key").agg(F.min_by(F.struct("id", "own"), F.xxhash64("id", F.lit(turn))).alias("hub"))
-            pairs = rest.join(hub, "key").where("own <> hub.own").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = durable(edges.unionByName(test(pairs, last)))
-        if last:
-            return connected_components(edges)
-    return connected_components(edges)
+    edges = compact(test(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()))
+    groups = compact(connected_components(edges))
+    named = shared.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("own"))
+    mixed = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key")
+    rest = durable(shared.select("key", "id").join(mixed, "key").select("id", F.col("key").alias("gid"), F.lit(1).alias("weight")))
+    if rest.isEmpty():
+        return groups
+    more = linked_components(rest, payloads, link, 1 << 40).where("node <> component")
+    return connected_components(edges.unionByName(more.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def block_edges(rows: DataFrame, link: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
@@ -116,7 +128,7 @@ def linked_components(items: DataFrame, payloads: Callable[[DataFrame], DataFram
     hub = (F.col("m") > 1) & (F.pmod(F.xxhash64("id", F.lit("hub")), F.col("n")) < HUBS)
     slots = F.when(hub, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(own))
     first = payloads(placed.select("id", "gid", slots.alias("slots"))).select("gid", F.explode("slots").alias("slot"), "id", "payload")
-    edges = durable(block_edges(first, link))
+    edges = compact(block_edges(first, link))
     found = durable(connected_components(edges))
     large = placed.where("m > 1")
     if large.isEmpty():

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import WordHashes, ascii_words, batch_map, table
-from loamgrid.llm.linking import candidate_groups, linked_components, sized
+from loamgrid.llm.linking import candidate_groups, linked_components, sized, spread
 from loamgrid.session import durable
 
 #: Bands and registers in each: documents of similarity 0.8 share a band with a probability of 1 - 3e-6.
@@ -133,6 +133,17 @@ def similar_pairs(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame
     return both.where(F.arrow_udf(run, "double")("s_a", "s_b", "n_a", "n_b") >= least).select("a", "b")
 
 
+def sketch_link(payloads: list[dict]) -> list[tuple[int, int]]:
+    """A spanning forest of the sketches whose estimates are STRICT or more."""
+    rows = np.frombuffer(b"".join(p["sketch"] for p in payloads), ">u2").reshape(-1, REGISTERS)
+    sizes = np.array([p["n"] for p in payloads])
+
+    def near(i: int, todo: np.ndarray) -> np.ndarray:
+        return todo[estimate(rows[todo], rows[i : i + 1], sizes[todo], np.full(len(todo), sizes[i])) >= STRICT]
+
+    return spread(len(payloads), near)
+
+
 def linker(percent: int) -> Callable[[list], list[tuple[int, int]]]:
     """A spanning forest of the sets (bytes of sorted 64-bit hashes) with 100 * intersection >= percent * union."""
 
@@ -144,22 +155,16 @@ def linker(percent: int) -> Callable[[list], list[tuple[int, int]]]:
             return [(0, 1)] if 100 * both >= percent * (size.sum() - both) else []
         distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        mark, todo, found = np.zeros(len(distinct), np.int64), np.ones(len(sets), bool), []
-        for first in range(len(sets)):
-            queue = [first] if todo[first] else []
-            if queue:
-                todo[first] = False
-            while queue and todo.any():
-                i = queue.pop()
-                own = at[starts[i] : starts[i] + size[i]]
-                mark[own] = 1
-                both = np.add.reduceat(mark[at], starts)
-                mark[own] = 0
-                near = np.flatnonzero(todo & (100 * both >= percent * (size + size[i] - both)))
-                todo[near] = False
-                found += [(i, int(j)) for j in near]
-                queue += near.tolist()
-        return found
+        mark = np.zeros(len(distinct), np.int64)
+
+        def near(i: int, todo: np.ndarray) -> np.ndarray:
+            own = at[starts[i] : starts[i] + size[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[at], starts)[todo]
+            mark[own] = 0
+            return todo[100 * both >= percent * (size[todo] + size[i] - both)]
+
+        return spread(len(sets), near)
 
     return link
 
@@ -181,7 +186,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = durable(whole.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
     known = classes.select("id", F.col("n_shingles").alias("n"), "sketch")
-    groups = durable(candidate_groups(classes.select(F.explode(keys).alias("key"), "id"), lambda pairs, strict: similar_pairs(pairs, known, STRICT if strict else LOOSE)))
+    sketched = known.select("id", F.struct("sketch", "n").alias("payload"))
+    groups = durable(candidate_groups(classes.select(F.explode(keys).alias("key"), "id"), lambda pairs: similar_pairs(pairs, known, LOOSE), lambda t: t.join(sketched, "id"), sketch_link))
     items = groups.join(known.select("id", "n"), F.col("node") == F.col("id")).select("id", F.col("component").alias("gid"), F.col("n").alias("weight"))
 
     def payloads(wanted: DataFrame) -> DataFrame:
