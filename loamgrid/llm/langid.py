@@ -205,16 +205,16 @@ def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Colu
     return F.arrow_udf(run, "lang_pred string, score double")(text)
 
 
-def identify(docs: DataFrame, learn_from: Column) -> DataFrame:
+def identify(docs: DataFrame, learn_from: Column, out: str = "found") -> DataFrame:
     """The language of every row's whole text, learned from the rows where ``learn_from`` holds.
 
-    Adds ``found`` = struct(lang_pred, score) to all columns of ``docs``. A
-    text that is null or has no letter gets ``und`` and 0, as does every text
+    Adds ``out`` = struct(lang_pred, score) to all columns of ``docs``, in
+    place of a column of that name. A text that is null or has no letter gets ``und`` and 0, as does every text
     if no row can be learned from. Repeated rows stay; ties between languages
     go to the first in order of name; an empty table gives an empty result.
     """
     model = train(docs.where(learn_from))
-    return docs.withColumn("found", language_of(docs.sparkSession, model, F.col("text")))
+    return docs.withColumn(out, language_of(docs.sparkSession, model, F.col("text")))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,12 +39,12 @@ def topic_of(text: Column, n_tokens: Column) -> Column:
     )
 
 
-def with_cell(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """``docs`` and struct ``mix`` of source, lang, topic and n_tokens; a null value is '', others begin with '='."""
+def with_cell(docs: DataFrame, topic: Column | None = None, name: str = "mix") -> DataFrame:
+    """``docs`` and struct ``name`` of source, lang, topic and n_tokens; a null value is '', others begin with '='."""
     n = tokens_of(F.col("text"))
     named = lambda x: F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit(""))
     chosen = topic_of(F.col("text"), n) if topic is None else topic
-    return docs.withColumn("mix", F.struct(named(F.col("source")).alias("source"), named(F.col("lang")).alias("lang"), named(chosen).alias("topic"), n.alias("n_tokens")))
+    return docs.withColumn(name, F.struct(named(F.col("source")).alias("source"), named(F.col("lang")).alias("lang"), named(chosen).alias("topic"), n.alias("n_tokens")))
 
 
 def tempered(totals: dict[str, float]) -> dict[str, float]:
@@ -102,11 +102,12 @@ def draw() -> Column:
     return F.conv(F.substring(F.md5(F.concat(id_text(), F.lit("|mix"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, topic: Column | None = None, sources: DataFrame | None = None, langs: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, sources: DataFrame | None = None, langs: dict[str, float] | None = None, topics: dict[str, float] | None = None, prefix: str = "") -> DataFrame:
     """Sampling probabilities that bring the tokens of ``docs`` to the target shares.
 
     Adds ``mix`` (struct of source, lang, topic, n_tokens), ``p`` and
-    ``sampled`` to all columns of ``docs``. Targets are tempered shares unless
+    ``sampled``, their names after ``prefix``, to all columns of ``docs``, in
+    place of columns of these names. Targets are tempered shares unless
     given: ``sources`` as a table (value, share), the others as dicts, with
     values as in ``mix``. The cell that is scarcest by its target has p = 1
     and all others p in proportion, so the expected tokens agree with the
@@ -114,8 +115,9 @@ def mix(docs: DataFrame, topic: Column | None = None, sources: DataFrame | None
     p = 0. Null sources and languages are values of their own; repeated rows
     are drawn alike; an empty table gives an empty result.
     """
-    given = with_cell(docs, topic)
-    cells = durable(given.select("mix.*").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
+    cell = f"{prefix}mix"
+    given = with_cell(docs, topic, cell)
+    cells = durable(given.select(f"{cell}.*").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     small = cells.where("tokens > 0").groupBy("lang", "topic").agg(F.sum("tokens").cast("double").alias("t")).collect()
     totals: dict[str, dict] = {"lang": {}, "topic": {}}
     for r in small:
@@ -123,12 +125,12 @@ def mix(docs: DataFrame, topic: Column | None = None, sources: DataFrame | None
             sums[r[d]] = sums.get(r[d], 0.0) + r["t"]
     fitted, of_lang, of_topic = rake(source_rows(cells, sources), langs or tempered(totals["lang"]), topics or tempered(totals["topic"]))
     fitted = durable(fitted)
-    ratio = lambda lang, topic_: F.col("factor") * looked_up(of_lang, lang) * looked_up(of_topic, topic_)
-    most = fitted.agg(F.max(F.array_max(F.transform("cells", lambda c: ratio(c["lang"], c["topic"])))).alias("m"), F.count("*").alias("n")).first()
-    factors = fitted.select(F.col("source").alias("_source"), "factor")
-    joined = given.join(F.broadcast(factors) if most["n"] <= BROADCAST_ROWS else factors, F.col("mix.source") == F.col("_source"), "left")
-    p = F.when(F.col("mix.n_tokens") > 0, F.coalesce(ratio(F.col("mix.lang"), F.col("mix.topic")) / F.lit(float(most["m"] or 1.0)), F.lit(0.0))).otherwise(0.0)
-    return joined.withColumn("p", p).withColumn("sampled", draw() < F.col("p")).drop("_source", "factor")
+    ratio = lambda factor, lang, topic_: F.col(factor) * looked_up(of_lang, lang) * looked_up(of_topic, topic_)
+    most = fitted.agg(F.max(F.array_max(F.transform("cells", lambda c: ratio("factor", c["lang"], c["topic"])))).alias("m"), F.count("*").alias("n")).first()
+    factors = fitted.select(F.col("source").alias("_mix_source"), F.col("factor").alias("_mix_factor"))
+    joined = given.join(F.broadcast(factors) if most["n"] <= BROADCAST_ROWS else factors, F.col(f"{cell}.source") == F.col("_mix_source"), "left")
+    p = F.when(F.col(f"{cell}.n_tokens") > 0, F.coalesce(ratio("_mix_factor", F.col(f"{cell}.lang"), F.col(f"{cell}.topic")) / F.lit(float(most["m"] or 1.0)), F.lit(0.0))).otherwise(0.0)
+    return joined.withColumn(f"{prefix}p", p).withColumn(f"{prefix}sampled", draw() < F.col(f"{prefix}p")).drop("_mix_source", "_mix_factor")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

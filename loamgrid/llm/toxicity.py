@@ -307,8 +307,8 @@ def toxicity_of(spark: SparkSession, model: ToxicityModel, text: Column) -> Colu
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Toxicity of every row's whole text, learned from all rows of ``labels``.
 
-    Adds ``found`` = struct(score, passages) to all columns of ``docs``. A null
-    or empty text has no passage and the score of such. A document labelled
+    Adds ``found`` = struct(score, passages) to all columns of ``docs``, in
+    place of a column of that name. A null or empty text has no passage and the score of such. A document labelled
     more than once is toxic if any label says so; labels other than 0 and 1
     are ignored. Without both kinds of label every score is small and equal.
     """
