@@ -22,8 +22,8 @@ LEAST_SCORE = 0.5
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: a text without letters or of no clear language goes."""
-    found = identify(docs, F.lit(True))
-    return found.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)).select(*docs.columns)
+    found = identify(docs, F.lit(True), out="_language")
+    return found.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def lines_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,20 +38,20 @@ def lines_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the least doc_id."""
-    dropped = durable(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("dropped")).distinct())
-    return docs.join(sized(dropped), F.col("doc_id") == F.col("dropped"), "left_anti")
+    dropped = durable(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct())
+    return docs.join(sized(dropped), F.col("doc_id") == F.col("_dropped"), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which less than one word in twenty is a benchmark's."""
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = durable(found.where("contaminated").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")))
-    return docs.join(sized(bad), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left_anti")
+    bad = durable(found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    return docs.join(sized(bad), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of documents whose tokens have the target shares of sources, languages and topics."""
-    return mix(docs).where("sampled").select(*docs.columns)
+    return mix(docs, prefix="_mix_").where("_mix_sampled").select(*docs.columns)
 
 
 STAGES = [
