@@ -87,15 +87,21 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.abs(F.col("confidence") - F.col("accuracy")) * F.col("n")) / F.sum("n")).alias("ece"))
 
 
-def auroc(scored: DataFrame, score: str, positive: str) -> DataFrame:
+def auroc(scored: DataFrame, score: str, positive: str, slices: int = 4096) -> DataFrame:
     """One row: area under the curve by rank sums, ties ranked by their mean.
 
-    Ranks come from the counts of distinct scores, so the ordered pass sees
-    one row per distinct score, not per item.
+    Ranks are counted within slices of the range of scores, which are ordered
+    apart from each other; only the slices' sizes are summed in one task.
     """
+    span = scored.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    at = F.least(F.floor((F.col(score) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * slices), F.lit(slices - 1))
     counts = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("p"))
-    before = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("n").over(before)).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
+    sliced = counts.join(F.broadcast(span), F.lit(True)).withColumn("slice", F.coalesce(at, F.lit(0)))
+    sizes = sliced.groupBy("slice").agg(F.sum("n").alias("size"))
+    earlier = sizes.withColumn("before", F.sum("size").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
+    within = Window.partitionBy("slice").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = sliced.join(F.broadcast(earlier), "slice").withColumn("upto", F.coalesce("before", F.lit(0)) + F.sum("n").over(within))
+    ranked = ranked.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     p, q = F.sum("p").cast("double"), F.sum(F.col("n") - F.col("p")).cast("double")
     return ranked.agg(((F.sum(F.col("rank") * F.col("p")) - p * (p + 1) / 2) / (p * q)).alias("auroc"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.functions import vec
+from loamgrid.functions import models, vec
 from loamgrid.operators import metrics, predict
 from loamgrid.plans.registry import query, read
 
@@ -203,3 +203,14 @@ def q_triage_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang")
     name = F.when(F.col("lang") == "en", "Leaf___Healthy").otherwise("Leaf___Blight")
     return docs.select("doc_id", predict.triage(F.col("doc_id") % 11).alias("command"), predict.status(F.col("doc_id") % 3 == 0, name).alias("status"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings CROSS JOIN range(1, 65) r(i)),
+ s AS (SELECT label AS c, i, avg(x) AS m, var_pop(x) + 1e-9 AS v, count(*) AS n FROM e GROUP BY label, i),
+ l AS (SELECT vec_id, c, ln(max(n) / (SELECT count(*) FROM embeddings)) + sum(-0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v)) AS score FROM e JOIN s ON s.i = e.i GROUP BY vec_id, c)
+SELECT vec_id, arg_max(c, score) AS pred, round(max(score), 4) AS score FROM l GROUP BY vec_id""")
+def q_gaussian_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "embeddings").select("vec_id", "label", vec.doubles(F.col("embedding")).alias("v"))
+    model = models.gaussian_bayes(items, "label", "v")
+    found = items.join(F.broadcast(model), F.lit(True)).select("vec_id", "classes", models.bayes_scores(F.col("v"), F.col("classes"), F.col("total")).alias("s"))
+    return found.select("vec_id", F.get("classes", vec.argmax(F.col("s")))["label"].alias("pred"), F.round(F.array_max("s"), 4).alias("score"))

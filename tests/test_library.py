@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.functions import signal, tensor, text, vec
+from loamgrid.functions import models, signal, tensor, text, vec
 from loamgrid.operators import hamming, metrics, predict, splits
 
 
@@ -131,3 +131,22 @@ def test_recursions(spark):
     assert signal.biquad(np.array([1.0, 0, 0]), 1, 0, 0, 0.5, 0).tolist() == [1, 0.5, 0.25]
     errors = signal.lms(np.ones(200), np.ones(200) * 2, 1, 0.1)
     assert abs(errors[-1]) < 1e-3 and math.isfinite(errors[0])
+
+
+def test_models(spark):
+    rng = np.random.default_rng(9)
+    x, sv, w = rng.normal(size=3), rng.normal(size=(2, 3)), [0.7, -0.4]
+    got = one(spark, lin=models.svm_decision(array(x), sv.tolist(), w, 0.1), rbf=models.svm_decision(array(x), sv.tolist(), w, 0.1, "rbf", 0.5), poly=models.svm_decision(array(x), sv.tolist(), w, 0.1, "polynomial", 0.5, 1.0, 2), sig=models.svm_decision(array(x), sv.tolist(), w, 0.1, "sigmoid", 0.5, 1.0), bary=models.barycenter(F.array(array([0, 0]), array([2, 4])), array([1, 3])))
+    assert got["lin"] == pytest.approx(w @ (sv @ x) + 0.1) and got["rbf"] == pytest.approx(w @ np.exp(-0.5 * ((sv - x) ** 2).sum(1)) + 0.1)
+    assert got["poly"] == pytest.approx(w @ (0.5 * sv @ x + 1) ** 2 + 0.1) and got["sig"] == pytest.approx(w @ np.tanh(0.5 * sv @ x + 1) + 0.1)
+    assert got["bary"] == pytest.approx([1.5, 3.0])
+    assert models.pid(np.ones(3), 1.0, 0.5, 0.0).tolist() == [1.5, 2.0, 2.5]
+    assert models.svdf(np.array([1.0, 0, 0]), np.array([2.0]), np.array([0.5, 1.0])).tolist() == [2.0, 1.0, 0.0]
+    assert models.lstm(np.zeros((2, 1)), np.zeros((4, 1)), np.zeros((4, 1)), np.zeros(4)).tolist() == [[0.0], [0.0]]
+    k = np.arange(5.0)
+    assert models.spline(k, 2 * k + 1, np.array([0.5, 3.25])) == pytest.approx([2.0, 7.5])
+    a = rng.normal(size=(4, 4))
+    low, d = models.ldlt(a @ a.T)
+    assert low @ np.diag(d) @ low.T == pytest.approx(a @ a.T)
+    v, tau = models.householder(x)
+    assert (x - tau * v * (v @ x))[1:] == pytest.approx([0, 0], abs=1e-12)
