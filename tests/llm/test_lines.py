@@ -84,3 +84,10 @@ def test_similar_lines_share_a_piece():
             table = list(zip(*lines.pieces(ids, np.array([0, len(a)])), strict=True))
             longer = {h for h, line, _, own in table if own and line == (len(b) > len(a))}
             assert longer & {h for h, line, _, _ in table if line == (len(b) <= len(a))}, (a, b)
+
+
+def test_short_lines_with_one_word_changed_equal_brute_force(spark):
+    texts = families(random.Random(24), [5, 6, 7, 8, 9, 10, 11] * 3, 3)
+    texts = [t for t in texts if len(t) >= 5]
+    want = brute_kept(texts)
+    assert kept(spark, texts) == want and sum(want) < len({tuple(t) for t in texts})
