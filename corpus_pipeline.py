@@ -28,7 +28,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that had lines and lost every word goes. n_chars is counted anew."""
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, least_words=1)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     left = done.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:

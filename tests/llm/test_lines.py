@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from loamgrid.llm import lines
 from loamgrid.llm.common import WordHashes
 
@@ -91,3 +92,13 @@ def test_short_lines_with_one_word_changed_equal_brute_force(spark):
     texts = [t for t in texts if len(t) >= 5]
     want = brute_kept(texts)
     assert kept(spark, texts) == want and sum(want) < len({tuple(t) for t in texts})
+
+
+def test_operators_cut_copies_of_lines_of_few_words(spark, tmp_path):
+    rows = [(1, "Menu\nAll rights reserved.\n\nMenu"), (2, "all rights RESERVED\nMenu\nAbout us"), (3, "About you\n--\n--")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_chars"]) for r in lines.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 1, 26), 2: (3, 2, 8), 3: (3, 0, 15)}
+    staged = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert staged == {1: "Menu\nAll rights reserved.\n", 2: "About us", 3: rows[2][1]}
