@@ -160,6 +160,14 @@ def q_quantize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("vec_id", F.col("q")[0].alias("q"))
 
 
+@query("""WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), q AS (SELECT vec_id, v, [greatest(-128, least(127, CAST(round_even(x / 0.01, 0) AS INTEGER))) FOR x IN v] AS q FROM v)
+SELECT vec_id, array_to_string(q, ',') AS q, round(list_max([abs(v[i] - q[i] * CAST(0.01 AS DOUBLE)) FOR i IN range(1, len(v) + 1)]), 6) AS max_error FROM q""")
+def q_quantize_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of each vector as an 8-bit number, and the largest error of the vector that these give back."""
+    items = read(spark, sf_dir, "embeddings").select("vec_id", vec.doubles(F.col("embedding")).alias("v")).withColumn("q", vec.quantize(F.col("v"), 0.01))
+    return items.select("vec_id", F.array_join("q", ",").alias("q"), F.round(vec.chebyshev(F.col("v"), vec.dequantize(F.col("q"), 0.01)), 6).alias("max_error"))
+
+
 _QC = "qc AS (SELECT d.doc_id, d.lang, d.n_chars / 4000.0 AS area_frac, l.quality AS quality, l.toxic AS toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
 _REASON = "CASE WHEN area_frac < 0.08 THEN 'area too small' WHEN area_frac > 0.97 THEN 'area too large' WHEN quality < 0.8 THEN 'fragmented' WHEN toxic > 0.3 THEN 'leaks' ELSE '' END"
 
