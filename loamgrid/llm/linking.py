@@ -4,10 +4,12 @@ Items that share a bucket are compared with one item of the bucket, its hub,
 not with each other. Linked items form candidate groups; only where a bucket
 then holds items of different groups are its items compared with each other,
 by sketches. Within candidate groups the exact measure decides. Both of these
-work in blocks of bounded size: each block is searched breadth first, so that an item
-that has been reached is compared with those not yet reached only. Blocks of a
-large group share some hubs, and what its blocks leave apart from its largest
-part is compared with all of the group.
+work in blocks of bounded size: each block is searched breadth first, so that
+an item that has been reached is compared with those not yet reached only.
+Blocks of a large group share some hubs. What its blocks leave apart from its
+largest part is compared with all of the group if it fits in one block; if not,
+the group is dealt anew by its items' rarest elements, of which any two linked
+items share one, and only items that share such an element are compared.
 """
 
 from __future__ import annotations
@@ -16,30 +18,43 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.operators.components import connected_components
 from loamgrid.session import durable
 
 #: Items in a block; hubs that the blocks of a group share, on average.
 BLOCK, HUBS = 256, 8
-#: Tables up to this number of rows (a few tens of MB) are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 300_000
+#: Tables of up to so many bytes are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 24 << 20
 #: Rows of a part of a small table.
 PART_ROWS = 50_000
+#: Elements of items that are handed on at once.
+BATCH = 100_000
 
+Link = Callable[[list], list[tuple[int, int]]]
+#: The elements of a payload, and how many of the rarest of them share one with any linked item.
+Elements = Callable[[object], tuple[np.ndarray, int]]
 
-def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of ``n`` items, breadth first; ``near(i, todo)`` are those of ``todo`` that i is linked with."""
-    todo, found = np.ones(n, bool), []
+
+def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray], most: int | None = None) -> list[tuple[int, int]] | None:
+    """A spanning forest of ``n`` items, breadth first; ``near(i, todo)`` are those of ``todo`` that i is linked with.
+
+    None if it takes more than ``most`` comparisons.
+    """
+    todo, found, tests = np.ones(n, bool), [], 0
     for first in range(n):
         queue = [first] if todo[first] else []
         todo[first] = False
         while queue:
             left = np.flatnonzero(todo)
             if not len(left):
-                break
+                return found
+            tests += len(left)
+            if most is not None and tests > most:
+                return None
             i = queue.pop()
             new = near(i, left)
             todo[new] = False
@@ -48,8 +63,23 @@ def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return found
 
 
-def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def bytes_of(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.StructType | T.ArrayType):
+            return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda acc, x: acc + bytes_of(x, kind.elementType)), F.lit(16).cast("long"))
+        return F.coalesce(F.size(value) * 8, F.lit(0)) + 16
+    return F.lit(8)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its rows are few bytes in all."""
+    row = sum((bytes_of(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def compact(df: DataFrame) -> DataFrame:
@@ -58,7 +88,7 @@ def compact(df: DataFrame) -> DataFrame:
     return written.coalesce(-(-max(written.count(), 1) // PART_ROWS))
 
 
-def candidate_groups(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], payloads: Callable[[DataFrame], DataFrame], link: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
+def candidate_groups(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], payloads: Callable[[DataFrame], DataFrame], link: Link, elements: Elements | None = None) -> DataFrame:
     """(node, component) of the items of ``buckets(key, id)`` that may be linked.
 
     ``test(pairs(a, b))`` keeps the pairs that are close in a wide sense; it is
@@ -70,16 +100,16 @@ def candidate_groups(buckets: DataFrame, test: Callable[[DataFrame], DataFrame],
     shared = durable(buckets.join(sized(several), "key").select("key", "id", "hub"))
     edges = compact(test(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()))
     groups = compact(connected_components(edges))
-    named = shared.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("own"))
-    mixed = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key")
-    rest = durable(shared.select("key", "id").join(mixed, "key").select("id", F.col("key").alias("gid"), F.lit(1).alias("weight")))
+    named = shared.join(sized(groups), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("own"))
+    mixed = durable(named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key"))
+    rest = durable(shared.select("key", "id").join(sized(mixed), "key").select("id", F.col("key").alias("gid"), F.lit(1).alias("weight")))
     if rest.isEmpty():
         return groups
-    more = linked_components(rest, payloads, link, 1 << 40).where("node <> component")
+    more = linked_components(rest, payloads, link, 1 << 40, elements).where("node <> component")
     return connected_components(edges.unionByName(more.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
-def block_edges(rows: DataFrame, link: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
+def block_edges(rows: DataFrame, link: Link) -> DataFrame:
     """Edges (a, b) that ``link`` finds among the payloads of each block (gid, slot) of ``rows(gid, slot, id, payload)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,36 +143,76 @@ def block_edges(rows: DataFrame, link: Callable[[list], list[tuple[int, int]]])
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def linked_components(items: DataFrame, payloads: Callable[[DataFrame], DataFrame], link: Callable[[list], list[tuple[int, int]]], block_weight: int) -> DataFrame:
+def in_slots(payloads: Callable[[DataFrame], DataFrame], asked: DataFrame) -> DataFrame:
+    """A row (gid, slot, id, payload) for each of the slots of ``asked(id, gid, slots)``."""
+    return payloads(asked).select("gid", F.explode("slots").alias("slot"), "id", "payload")
+
+
+def rare_groups(parts: DataFrame, payloads: Callable[[DataFrame], DataFrame], elements: Elements) -> DataFrame:
+    """Items (id, gid, weight) of ``parts(id, gid, own, weight)`` in groups that share a rare element but not ``own``.
+
+    Elements are ranked by the items of their group that have them; of each
+    item as many of the rarest count as ``elements`` says, so that any two
+    linked items share one of these. Groups of the same items count once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["gid", "id", "element", "take", "size"]
+        for batch in batches:
+            for gid, item, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found, take = elements(payload)
+                for k in range(0, len(found), BATCH):
+                    some = found[k : k + BATCH]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), x, np.int64)) for x in (gid, item)] + [pa.array(some)] + [pa.array(np.full(len(some), x, np.int64)) for x in (take, len(found))], names)
+
+    asked = parts.select("id", "gid", F.array().cast("array<int>").alias("slots"))
+    every = durable(payloads(asked).select("gid", "id", "payload").mapInArrow(run, "gid long, id long, element long, take long, size long"))
+    known = every.groupBy("gid", "element").agg(F.count("*").alias("n")).where("n > 1")
+    of_item = Window.partitionBy("gid", "id")
+    ranked = every.join(known, ["gid", "element"]).withColumns({"shared": F.count("*").over(of_item), "rank": F.row_number().over(of_item.orderBy("n", "element"))})
+    # elements that no other item has come first
+    rare = ranked.where(F.col("rank") <= F.col("take") - (F.col("size") - F.col("shared"))).select("gid", "id", "element")
+    at = durable(rare.join(parts, ["gid", "id"]))
+    here = at.groupBy("gid", "element").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("items")).where("lo < hi")
+    once = here.groupBy("gid", "n", "items").agg(F.min("element").alias("element")).select("gid", "element")
+    return at.join(once, ["gid", "element"]).select("id", F.xxhash64("gid", "element").alias("gid"), "weight")
+
+
+def linked_components(items: DataFrame, payloads: Callable[[DataFrame], DataFrame], link: Link, block_weight: int, elements: Elements | None = None) -> DataFrame:
     """(node, component) by the exact measure within candidate groups.
 
     ``items(id, gid, weight)``; ``payloads(t)`` adds a column ``payload`` to a
-    table with column ``id``; ``link`` gives a spanning forest of the links
+    table of id, gid and slots; ``link`` gives a spanning forest of the links
     among a list of payloads. A block holds up to about BLOCK items and
-    ``block_weight`` of weight.
+    ``block_weight`` of weight. With ``elements`` no group whose parts are
+    large is compared whole.
     """
-    sizes = items.groupBy("gid").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where("n > 1")
+    items = durable(items)
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / block_weight)).cast("int")
-    placed = durable(items.join(sizes.withColumn("m", blocks), "gid").select("id", "gid", "n", "m"))
+    sizes = items.groupBy("gid").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).withColumn("m", blocks).where("m > 1").select("gid", "n", "m")
+    placed = items.join(sized(durable(sizes)), "gid", "left").select("id", "gid", "weight", "n", F.coalesce("m", F.lit(1)).alias("m"))
     own = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
     hub = (F.col("m") > 1) & (F.pmod(F.xxhash64("id", F.lit("hub")), F.col("n")) < HUBS)
     slots = F.when(hub, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(own))
-    first = payloads(placed.select("id", "gid", slots.alias("slots"))).select("gid", F.explode("slots").alias("slot"), "id", "payload")
-    edges = compact(block_edges(first, link))
+    edges = compact(block_edges(in_slots(payloads, placed.select("id", "gid", slots.alias("slots"))), link))
     found = durable(connected_components(edges))
     large = placed.where("m > 1")
     if large.isEmpty():
         return found
-    parts = durable(large.join(found, F.col("id") == F.col("node"), "left").select("id", "gid", "m", F.coalesce("component", "id").alias("own")))
-    main = parts.groupBy("gid", "own").count().groupBy("gid").agg(F.max_by("own", F.struct("count", "own")).alias("main"))
-    apart = parts.join(main, "gid").withColumn("apart", F.col("own") != F.col("main"))
-    left = apart.groupBy("gid").agg(F.sum(F.col("apart").cast("int")).alias("t")).where("t > 0")
-    if left.isEmpty():
-        return found
-    # outsiders meet every block of the group's members, a block of outsiders at a time
-    met = apart.join(left.withColumn("o", F.ceil(F.col("t") / BLOCK).cast("int")), "gid")
-    whole = F.transform(F.sequence(F.lit(0), F.col("o") - 1), lambda o: o * F.col("m") + F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    outer = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.pmod(F.xxhash64("id", F.lit("out")), F.col("o")).cast("int") * F.col("m") + k)
-    again = met.select("id", "gid", F.when(F.col("apart"), F.array_union(whole, outer)).otherwise(whole).alias("slots"))
-    second = payloads(again).select("gid", F.explode("slots").alias("slot"), "id", "payload")
-    return connected_components(edges.unionByName(block_edges(second, link)))
+    parts = durable(large.join(sized(found), F.col("id") == F.col("node"), "left").select("id", "gid", "weight", "m", F.coalesce("component", "id").alias("own")))
+    main = parts.groupBy("gid", "own").count().groupBy("gid").agg(F.max_by("own", F.struct("count", "own")).alias("main"), F.max("count").alias("of_main"), F.sum("count").alias("n"))
+    left = durable(main.select("gid", "main", (F.col("n") - F.col("of_main")).alias("t")).where("t > 0"))
+    apart = parts.join(sized(left), "gid").withColumn("apart", F.col("own") != F.col("main"))
+    whole = apart if elements is None else apart.where(F.col("t") <= BLOCK)
+    if not whole.isEmpty():
+        # outsiders meet every block of the group's members, a block of outsiders at a time
+        o = F.ceil(F.col("t") / BLOCK).cast("int")
+        members = F.transform(F.sequence(F.lit(0), o - 1), lambda k: k * F.col("m") + F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+        outer = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.pmod(F.xxhash64("id", F.lit("out")), o).cast("int") * F.col("m") + k)
+        again = whole.select("id", "gid", F.when(F.col("apart"), F.array_union(members, outer)).otherwise(members).alias("slots"))
+        edges = edges.unionByName(compact(block_edges(in_slots(payloads, again), link)))
+    many = apart.where(F.col("t") > BLOCK).select("id", "gid", "own", "weight")
+    if elements is not None and not many.isEmpty():
+        more = linked_components(rare_groups(durable(many), payloads, elements), payloads, link, block_weight)
+        edges = edges.unionByName(more.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return connected_components(edges)

@@ -10,6 +10,7 @@ steps form a component, and its document with the least id is kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -144,6 +145,12 @@ def sketch_link(payloads: list[dict]) -> list[tuple[int, int]]:
     return spread(len(payloads), near)
 
 
+def sketch_elements(payload: dict) -> tuple[np.ndarray, int]:
+    """A number for each register and what it holds; estimates of STRICT or more need at least that share of them alike."""
+    values = np.frombuffer(payload["sketch"], ">u2").astype(np.int64)
+    return values * REGISTERS + np.arange(REGISTERS), REGISTERS - math.ceil(STRICT * REGISTERS) + 1
+
+
 def linker(percent: int) -> Callable[[list], list[tuple[int, int]]]:
     """A spanning forest of the sets (bytes of sorted 64-bit hashes) with 100 * intersection >= percent * union."""
 
@@ -169,6 +176,16 @@ def linker(percent: int) -> Callable[[list], list[tuple[int, int]]]:
     return link
 
 
+def set_elements(percent: int) -> Callable[[bytes], tuple[np.ndarray, int]]:
+    """The hashes of a set; linked sets have at least ``percent`` of each one's hashes in common."""
+
+    def found(payload: bytes) -> tuple[np.ndarray, int]:
+        hashes = np.frombuffer(payload, np.int64)
+        return hashes, len(hashes) - -(-len(hashes) * percent // 100) + 1
+
+    return found
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of word shingles agree by ``percent``.
 
@@ -187,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
     known = classes.select("id", F.col("n_shingles").alias("n"), "sketch")
     sketched = known.select("id", F.struct("sketch", "n").alias("payload"))
-    groups = durable(candidate_groups(classes.select(F.explode(keys).alias("key"), "id"), lambda pairs: similar_pairs(pairs, known, LOOSE), lambda t: t.join(sketched, "id"), sketch_link))
+    groups = durable(candidate_groups(classes.select(F.explode(keys).alias("key"), "id"), lambda pairs: similar_pairs(pairs, known, LOOSE), lambda t: t.join(sketched, "id"), sketch_link, sketch_elements))
     items = groups.join(known.select("id", "n"), F.col("node") == F.col("id")).select("id", F.col("component").alias("gid"), F.col("n").alias("weight"))
 
     def payloads(wanted: DataFrame) -> DataFrame:
@@ -199,7 +216,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized(wanted), "id")
         return texts.select(*wanted.columns, F.arrow_udf(run, "binary")("text").alias("payload"))
 
-    linked = linked_components(items, payloads, linker(percent), BLOCK_WEIGHT)
+    linked = linked_components(items, payloads, linker(percent), BLOCK_WEIGHT, set_elements(percent))
     # copies follow the document that stands for them
     heads = classes.join(linked, F.col("id") == F.col("node"), "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     named = signed.join(heads, same, "left")
