@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.session import durable
 
-#: Edges that one task contracts; its memory is bounded by this number.
-CHUNK = 100_000
+#: Edges that one task contracts; its memory, some tens of bytes an edge, is bounded by this number.
+CHUNK = 1_000_000
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -19,25 +20,31 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges that reach a lesser one, and the least that each reaches."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(names))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (further := root[root] != root).any():
+            root[further] = root[root[further]]
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    less = np.flatnonzero(root != np.arange(len(names)))
+    return names[less], names[root[less]]
+
+
 def _contract(edges: DataFrame, parts: int) -> DataFrame:
     """Replace each part's edges by edges from its nodes to the least node they reach within the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = parent[p]
-                x = p
-            return x
-
-        for batch in batches:
-            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = root(u), root(v)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        pairs = [(x, r) for x in parent if (r := root(x)) != x]
-        yield pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if ends:
+            node, root = _roots(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+            for k in range(0, len(node), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(node[k : k + 100_000]), pa.array(root[k : k + 100_000])], ["u", "v"])
 
     return edges.select("u", "v").coalesce(parts).mapInArrow(run, "u long, v long")
 
