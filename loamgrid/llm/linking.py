@@ -31,8 +31,8 @@ BLOCK, HUBS = 256, 8
 BROADCAST_BYTES = 24 << 20
 #: Rows of a part of a small table.
 PART_ROWS = 50_000
-#: Elements of items that are handed on at once.
-BATCH = 100_000
+#: Elements of items that are handed on at once; items that are compared at once with those not yet reached.
+BATCH, WIDE = 100_000, 64
 
 Link = Callable[[list], list[tuple[int, int]]]
 #: The elements of a payload, and how many of the rarest of them share one with any linked item.
@@ -63,6 +63,46 @@ def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray], most: int | No
     return found
 
 
+def spread_wide(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> list[np.ndarray] | None:
+    """Edges, as arrays of two columns, that connect ``n`` items as all their links do, WIDE items at a time.
+
+    ``near(some, todo)`` is a matrix of their links. None if it takes more than
+    ``most`` comparisons.
+    """
+    todo, label, queue, found, tests = np.ones(n, bool), np.arange(n), np.zeros(0, np.int64), [], 0
+    while True:
+        block, queue = queue[:WIDE], queue[WIDE:]
+        if not len(block):
+            block = np.flatnonzero(todo)[:WIDE]
+            todo[block] = False
+            among = near(block, block)
+            np.fill_diagonal(among, False)
+            some = np.flatnonzero(among.any(1))
+            for i, j in spread(len(some), lambda i, left, among=among, some=some: left[among[some[i], some[left]]]) if len(some) else ():
+                a, b = block[some[i]], block[some[j]]
+                label[b] = label[a]
+                found.append(np.array([[a, b]]))
+        left = np.flatnonzero(todo)
+        if not len(left):
+            return found
+        tests += len(block) * len(left)
+        if tests > most:
+            return None
+        ok = near(block, left)
+        hit = ok.any(0)
+        if not hit.any():
+            continue
+        left, ok = left[hit], ok[:, hit]
+        labels = label[block]
+        for own in np.unique(labels[ok.any(1)]):
+            rows = np.flatnonzero(labels == own)
+            at = np.flatnonzero(ok[rows].any(0))
+            found.append(np.stack([block[rows[ok[np.ix_(rows, at)].argmax(0)]], left[at]], 1))
+            label[left[at]] = own
+        todo[left] = False
+        queue = np.concatenate([queue, left])
+
+
 def bytes_of(value: Column, kind: T.DataType) -> Column:
     """About the bytes that a value takes in memory."""
     if isinstance(kind, T.StringType | T.BinaryType):
