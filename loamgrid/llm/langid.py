@@ -64,7 +64,7 @@ def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, int, dict[str, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, df, langs = letter_table(), np.zeros(BUCKETS, np.int64), {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, lang in ((t.as_py(), g.as_py()) for t, g in zip(batch.column(0), batch.column(1), strict=True)):
                 if has_letter(text):
                     df += ngram_counts(text, letters) > 0
                     langs[lang] = langs.get(lang, 0) + 1
@@ -91,13 +91,17 @@ def bounded_sample(docs: DataFrame, langs: dict[str, int]) -> list[tuple]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
         for batch in batches:
-            rows = [(d, lang, ngram_counts(t, letters)) for t, lang, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if has_letter(t)]
-            at = [np.flatnonzero(c) for _, _, c in rows]
+            rows = []
+            for text, lang, draw in ((x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):
+                if has_letter(text):
+                    counts = ngram_counts(text, letters)
+                    at = np.flatnonzero(counts)
+                    rows.append((draw, lang, at.astype(np.int32), counts[at].astype(np.int32)))
             yield pa.RecordBatch.from_pydict({
                 "draw": pa.array([r[0] for r in rows], pa.int64()),
                 "lang": pa.array([r[1] for r in rows], pa.string()),
-                "at": pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
-                "n": pa.array([r[2][a].astype(np.int32) for r, a in zip(rows, at, strict=True)], pa.list_(pa.int32())),
+                "at": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
+                "n": pa.array([r[3] for r in rows], pa.list_(pa.int32())),
             })
 
     got = picked.select("text", "lang", "draw").mapInArrow(run, "draw long, lang string, at array<int>, n array<int>").toArrow()
@@ -197,7 +201,7 @@ def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Colu
     def run(texts: pa.Array) -> pa.Array:
         if not kept:
             kept.update(letters=letter_table(), model=LanguageModel(*shared.value))
-        found = [kept["model"].predict(t, kept["letters"]) for t in texts.to_pylist()]
+        found = [kept["model"].predict(t.as_py(), kept["letters"]) for t in texts]
         return pa.StructArray.from_arrays(
             [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"]
         )
