@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that become Python values at once.
+SLICE = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,14 +31,15 @@ def batch_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFra
     """Map columns to columns, an Arrow batch at a time.
 
     ``fn`` gets a dict of Python lists and returns a dict of lists, arrays or
-    Arrow arrays in the order of ``schema``. Spark bounds a batch in rows and
-    in bytes, so memory does not follow the partition's size.
+    Arrow arrays in the order of ``schema``, for up to SLICE rows at a time.
+    Spark bounds a batch in rows and in bytes, so memory does not follow the
+    partition's size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+            for k in range(0, batch.num_rows, SLICE):
+                out = fn(batch.slice(k, SLICE).to_pydict())
                 yield pa.RecordBatch.from_pydict(
                     {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()}
                 )

@@ -30,8 +30,8 @@ GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Fences stand WIDTH times the median distance from the median apart from it, 8.2 standard deviations of a normal
 #: distribution. Junk moves neither median much while it is well under half of a group.
 WIDTH = 12.2
-#: Groups with fewer documents use their language's sketch, then the sketch of all.
-LEAST_DOCS = 200
+#: Documents that a source's language, and all documents for a language, weigh as much as in its median and spread.
+PRIOR_DOCS = 200
 #: Metric: (numerator, denominator, least slack of the upper fence, whether low values fail too).
 METRICS = {
     "mean_word": ("word_chars", "n_words", 1.5, True),
@@ -120,7 +120,7 @@ def quantiles(sketch: DataFrame, keys: list[str], probs: dict[str, float]) -> Da
 
 
 def spreads(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, metric, n, mid, mad, and the fences lo and hi) of sketches merged like those of :func:`quantiles`."""
+    """(keys, metric, n, median mid, median distance mad) of sketches merged like those of :func:`quantiles`."""
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(*keys, "metric")
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * 2 / (1 + GAMMA))
@@ -129,26 +129,32 @@ def spreads(sketch: DataFrame, keys: list[str]) -> DataFrame:
     apart = half.withColumn("apart", F.abs(F.col("value") - F.col("mid"))).withColumn("within", F.sum("n").over(whole.orderBy("apart")))
     mad = F.min(F.when(2 * F.col("within") >= F.col("total"), F.col("apart")))
     found = apart.groupBy(*keys, "metric").agg(F.first("total").alias("n"), F.first("mid").alias("mid"), mad.alias("mad"))
-    slack = F.coalesce(*[F.when(F.col("metric") == m, F.lit(x)) for m, (_, _, x, _) in METRICS.items()])
-    reach = F.greatest(WIDTH * F.col("mad"), slack)
-    return found.withColumns({"lo": F.col("mid") - reach, "hi": F.col("mid") + reach})
+    return found
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, and lo_/hi_ of each metric), from the first of source, language and all with enough documents.
+    """(lang, source, and lo_/hi_ of each metric).
 
-    A source's fences are bounded by those of its language, or of all.
+    A language's median and median distance are drawn towards those of all
+    documents, and a source's towards its language's, the more the fewer
+    documents there are, in the same way at every size. A source's fences are
+    bounded by those of its language.
     """
     own = spreads(sketch, ["lang", "source"]).alias("own")
     lang = spreads(sketch, ["lang"]).alias("lang")
     every = spreads(sketch, []).alias("every")
     joined = own.join(lang, F.col("own.lang").eqNullSafe(F.col("lang.lang")) & (F.col("own.metric") == F.col("lang.metric"))).join(every, F.col("own.metric") == F.col("every.metric"))
 
-    def pick(name: str, bound) -> Column:
-        wide = F.when(F.col("lang.n") >= LEAST_DOCS, F.col(f"lang.{name}")).otherwise(F.col(f"every.{name}"))
-        return F.when(F.col("own.n") >= LEAST_DOCS, bound(F.col(f"own.{name}"), wide)).otherwise(wide)
+    def drawn(name: str, near: str, far: Column) -> Column:
+        return (F.col(f"{near}.n") * F.col(f"{near}.{name}") + PRIOR_DOCS * far) / (F.col(f"{near}.n") + PRIOR_DOCS)
 
-    flat = joined.select("own.lang", "own.source", "own.metric", pick("lo", F.greatest).alias("lo"), pick("hi", F.least).alias("hi"))
+    slack = F.coalesce(*[F.when(F.col("own.metric") == m, F.lit(x)) for m, (_, _, x, _) in METRICS.items()])
+    wide = {name: drawn(name, "lang", F.col(f"every.{name}")) for name in ("mid", "mad")}
+    tight = {name: drawn(name, "own", wide[name]) for name in ("mid", "mad")}
+    reach = [F.greatest(WIDTH * x["mad"], slack) for x in (wide, tight)]
+    hi = F.least(wide["mid"] + reach[0], tight["mid"] + reach[1])
+    lo = F.greatest(wide["mid"] - reach[0], tight["mid"] - reach[1])
+    flat = joined.select("own.lang", "own.source", "own.metric", lo.alias("lo"), hi.alias("hi"))
     bounds = []
     for m, (_, _, _, both) in METRICS.items():
         here = F.col("metric") == m

@@ -144,29 +144,44 @@ class WordScores(dict):
         return found
 
 
+def scored(text: str | None, scores: WordScores) -> tuple[list[tuple[int, float]], int]:
+    """Position and score of the tokens that score above 0, and the number of tokens."""
+    hits, at = [], 0
+    for words in word_lists(text):
+        hits += [(i, s) for i, s in enumerate(map(scores.__getitem__, words), at) if s > 0]
+        at += len(words)
+    return hits, at
+
+
 def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score) of the tokens' scores.
 
     ``hits``: position and score of the tokens that score above 0, in order;
-    each other token scores ``-drift``. Linear in the number of hits.
+    each other token scores ``-drift``. Linear in the number of hits: each
+    candidate knows the nearest earlier one that begins at a smaller total, and
+    where there is none, all earlier ones are final.
     """
-    stack: list[tuple[float, float, int, int]] = []  # total before, total after, first, last
-    total, last = 0.0, -1
+    found: list[tuple[int, int, float]] = []
+    stack: list[tuple[float, float, int, int, int]] = []  # total before, total after, first, last, nearest smaller
+    total, end = 0.0, -1
     for at, score in hits:
-        total -= drift * (at - last - 1)
-        left, first = total, at
+        total -= drift * (at - end - 1)
+        left, first, end = total, at, at
         total += score
-        last = at
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][0] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][1] >= total:
-                stack.append((left, total, first, at))
                 break
-            left, first = stack[j][0], stack[j][2]
+            left, first, before = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-    return [(first, last, after - before) for before, after, first, last in stack]
+            j = before
+        if j < 0:
+            found += [(a, b, y - x) for x, y, a, b, _ in stack]
+            stack.clear()
+        stack.append((left, total, first, at, j))
+    return found + [(a, b, y - x) for x, y, a, b, _ in stack]
 
 
 def extreme_rate(scores: list[float], weights: list[float]) -> float:
@@ -191,10 +206,7 @@ class ToxicityModel:
 
     def passages(self, text: str | None, scores: WordScores) -> list[tuple[int, int, float, float]]:
         """Significant passages: first word, last word, score, p-value."""
-        hits, at = [], 0
-        for words in word_lists(text):
-            hits += [(i, s) for i, s in enumerate(map(scores.__getitem__, words), at) if s > 0]
-            at += len(words)
+        hits, at = scored(text, scores)
         found = []
         for first, last, score in segments(hits) if hits else ():
             p = -math.expm1(-self.scale * at * math.exp(-self.rate * score))
@@ -233,8 +245,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     draw = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 30))
     picked = marked.where(draw < share * float(1 << 30))
     there_too = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
-    # one of the rows that begin and end alike, so that copies don't count as independent evidence
-    sample = there_too.groupBy(F.left("text", F.lit(40)), F.right("text", F.lit(40)), "toxic").agg(F.min_by("text", "doc_id").alias("text"))
+    # copies don't count as independent evidence
+    sample = there_too.groupBy(F.xxhash64("text"), "toxic").agg(F.min_by("text", "doc_id").alias("text"))
     counted = sample_counts(sample).groupBy("feature").pivot("toxic", [0, 1]).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).na.fill(0)
     rows = counted.where((F.col("1_rows") >= LEAST_ROWS) | F.col("feature").isNull()).select("feature", "1_n", "0_n", "1_rows", "0_rows").collect()
     counts = {r[0]: tuple(r[1:]) for r in rows}
@@ -248,43 +260,51 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def calibrate(model: ToxicityModel, sample: DataFrame, there: dict[int, int]) -> None:
-    """Fit the extreme-value rate and scale on clean texts, then evidence to probability on all of the sample."""
+    """Fit the extreme-value rate and scale on clean texts, then evidence to probability on all of the sample.
+
+    The driver gets the counts of distinct token scores, which are at most as
+    many as features, and a few numbers of each of the sample's rows.
+    """
     shared = sample.sparkSession.sparkContext.broadcast(model.odds)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(shared.value)
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, tokens = WordScores(shared.value), Counter()
         for batch in batches:
-            out = {"toxic": batch.column(1), "length": [], "hits": [], "best": []}
-            for text in batch.column(0).to_pylist():
-                hits, at = [], 0
-                for words in word_lists(text):
-                    hits += [(i, s) for i, s in enumerate(map(scores.__getitem__, words), at) if s > 0]
-                    at += len(words)
-                out["length"].append(at)
-                out["hits"].append([s for _, s in hits])
-                out["best"].append([x[2] for x in segments(hits)])
-            yield pa.RecordBatch.from_pydict({"toxic": pa.array(out["toxic"].to_pylist(), pa.int32()), "length": pa.array(out["length"], pa.int64()), "hits": pa.array(out["hits"], pa.list_(pa.float64())), "best": pa.array(out["best"], pa.list_(pa.float64()))})
-
-    rows = sample.select("text", "toxic").mapInArrow(run, "toxic int, length long, hits array<double>, best array<double>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["toxic"], r["length"], r["best"]))
-    clean = [r for r in rows if r["toxic"] == 0]
-    tokens = sum(r["length"] for r in clean) + 1
-    typical = sorted(s for r in rows for s in r["hits"])
-    typical = typical[len(typical) // 2] if typical else 1.0
-    hits = [s for r in clean for s in r["hits"]] + [typical]  # one more hit than seen
-    model.rate = extreme_rate([*hits, -DRIFT], [1.0] * len(hits) + [tokens])
-    best = np.array([max(r["best"], default=0.0) for r in clean])
-    length = np.array([max(r["length"], 1) for r in clean])
-    seen = (best > 0).sum() + 0.5
-    least = min(typical, *best[best > 0]) if (best > 0).any() else typical
-    model.scale = float(seen / max((length * np.exp(-model.rate * least)).sum(), 1e-12))
-    x, y, w = [], [], []
-    for r in rows:
-        ps = [-math.expm1(-model.scale * r["length"] * math.exp(-model.rate * s)) for s in r["best"]]
-        x.append(model.evidence([(0, 0, 0, max(p, 1e-300)) for p in ps if p <= SIGNIFICANT]))
-        y.append(r["toxic"])
-        w.append(max(1.0, there[r["toxic"]] / SAMPLE[r["toxic"]]))
-    model.slope, model.base = logistic_fit(np.array(x), np.array(y, float), np.array(w))
+            rows: list[tuple] = []
+            for text, toxic in zip(*batch.columns, strict=True):
+                hits, at = scored(text.as_py(), scores)
+                tokens.update((toxic.as_py(), s) for _, s in hits)
+                rows.append((toxic.as_py(), max((x[2] for x in segments(hits)), default=0.0), at))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.float64(), pa.int64()))] + [pa.nulls(len(rows), pa.int64())], ["toxic", "score", "length", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tokens], pa.int32()), pa.array([k[1] for k in tokens], pa.float64()), pa.nulls(len(tokens), pa.int64()), pa.array(list(tokens.values()), pa.int64())], ["toxic", "score", "length", "n"])
+
+    found = sample.select("text", "toxic").mapInArrow(measure, "toxic int, score double, length long, n long")
+    found = found.groupBy("toxic", "score", "length").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    hits = sorted((r["score"], r["n"], r["toxic"]) for r in found if r["length"] is None)
+    rows = sorted((r["score"], r["length"], r["rows"]) for r in found if r["length"] is not None and r["toxic"] == 0)
+    tokens = sum(n * k for _, n, k in rows) + 1
+    seen = np.cumsum([n for _, n, _ in hits])
+    typical = hits[int(np.searchsorted(seen, seen[-1] // 2, "right"))][0] if hits else 1.0
+    clean = Counter({typical: 1})  # one more hit than seen
+    for s, n, toxic in hits:
+        if not toxic:
+            clean[s] += n
+    model.rate = extreme_rate([*clean, -DRIFT], [*map(float, clean.values()), tokens])
+    some = [(s, k) for s, _, k in rows if s > 0]
+    least = min([typical, *(s for s, _ in some)])
+    model.scale = float((sum(k for _, k in some) + 0.5) / max(sum(max(n, 1) * k for _, n, k in rows) * math.exp(-model.rate * least), 1e-12))
+    fitted = sample.sparkSession.sparkContext.broadcast((model.odds, model.rate, model.scale))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ToxicityModel(*fitted.value)
+        scores = WordScores(own.odds)
+        for batch in batches:
+            x = [own.evidence(own.passages(t.as_py(), scores)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "toxic"])
+
+    points = sample.select("text", "toxic").mapInArrow(weigh, "x double, toxic int").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
+    weight = [r["count"] * max(1.0, there[r["toxic"]] / SAMPLE[r["toxic"]]) for r in points]
+    model.slope, model.base = logistic_fit(np.array([r["x"] for r in points]), np.array([r["toxic"] for r in points], float), np.array(weight))
 
 
 def toxicity_of(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
@@ -295,7 +315,7 @@ def toxicity_of(spark: SparkSession, model: ToxicityModel, text: Column) -> Colu
     def run(texts: pa.Array) -> pa.Array:
         if not kept:
             kept.update(scores=WordScores(shared.value[0]), model=ToxicityModel(*shared.value))
-        found = [kept["model"].passages(t, kept["scores"]) for t in texts.to_pylist()]
+        found = [kept["model"].passages(t.as_py(), kept["scores"]) for t in texts]
         spans = pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64()), ("p", pa.float64())])
         keys = ("first_word", "last_word", "score", "p")
         passages = pa.array([[dict(zip(keys, x, strict=True)) for x in f] for f in found], pa.list_(spans))
@@ -304,16 +324,16 @@ def toxicity_of(spark: SparkSession, model: ToxicityModel, text: Column) -> Colu
     return F.arrow_udf(run, "score double, passages array<struct<first_word: long, last_word: long, score: double, p: double>>")(text)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, out: str = "found") -> DataFrame:
     """Toxicity of every row's whole text, learned from all rows of ``labels``.
 
-    Adds ``found`` = struct(score, passages) to all columns of ``docs``, in
+    Adds ``out`` = struct(score, passages) to all columns of ``docs``, in
     place of a column of that name. A null or empty text has no passage and the score of such. A document labelled
     more than once is toxic if any label says so; labels other than 0 and 1
     are ignored. Without both kinds of label every score is small and equal.
     """
     model = train(docs, labels)
-    return docs.withColumn("found", toxicity_of(docs.sparkSession, model, F.col("text")))
+    return docs.withColumn(out, toxicity_of(docs.sparkSession, model, F.col("text")))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
