@@ -2,25 +2,26 @@
 
 For each span of SPAN words the least hash of its word k-grams is kept, in the
 corpus and in the benchmark alike, so any two texts that share SPAN words in a
-row share a fingerprint. Documents that share one are looked at again: their
-spans are compared word by word with the benchmark's, and the spans found are
-extended to the words they cover. Only DataFrame functions are used.
+row share a fingerprint. In the documents that share one, the places of such
+k-grams and of the benchmark's give the shift at which document and item lie
+upon each other; from there the hits are extended word by word, and runs of
+SPAN equal words or more are the words hit. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import table
+from loamgrid.llm.linking import sized
 from loamgrid.session import durable
 
 #: Words in a span; words in a k-gram. A shared span of SPAN words shares SPAN - GRAM + 1 k-grams in a row.
 SPAN, GRAM = 13, 6
-#: Tables of up to this number of rows (a few tens of MB) are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 300_000
 
 _OTHER = "".join(chr(c) for c in range(128) if chr(c) not in string.ascii_letters + string.digits + " ")
 
@@ -31,88 +32,133 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(flat, " "), ""), F.array().cast("array<string>"))
 
 
-def word_slices(words: Column, length: int, make) -> Column:
-    """``make(slice)`` for each slice of ``length`` words; empty if there are fewer."""
-    n = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(n - (length - 1), F.lit(1)))
-    return F.when(n >= length, F.transform(starts, lambda i: make(F.slice(words, i, length)))).otherwise(F.array().cast("array<bigint>"))
+def bound(value: Column, make) -> Column:
+    """``make`` of a lambda's variable that is bound to ``value``, so that the value is computed once."""
+    return F.transform(F.array(value), make)[0]
+
+
+def none_of(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def grams(hashes: Column, size: int) -> Column:
+    """A hash of each run of ``size`` words; empty if there are fewer."""
+    n = F.size(hashes)
+    return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(F.lit(size), *[hashes[i + k] for k in range(size)]))).otherwise(none_of("bigint"))
+
+
+def grams_of(size: int) -> Callable[[Column], Column]:
+    return lambda hashes: grams(hashes, size)
+
+
+def minima(values: Column, width: int) -> Column:
+    """The least of each ``width`` values in a row, by doubling; empty if there are fewer."""
+
+    def step(x: Column, had: int) -> Column:
+        if had == width:
+            return x
+        by = min(had, width - had)
+        return bound(F.transform(F.sequence(F.lit(0), F.size(x) - 1 - by), lambda i: F.least(x[i], x[i + by])), lambda y: step(y, had + by))
+
+    return F.when(F.size(values) >= width, step(values, 1))
 
 
 def fingerprints(words: Column, short: list[int]) -> Column:
-    """The winnowed hashes of ``words``, and the hashes of all slices of each length in ``short``."""
-    width = SPAN - GRAM + 1
-    hashes = word_slices(words, GRAM, lambda s: F.xxhash64(s))
-    count = F.size(words) - (SPAN - 1)
-    # the hashes are bound to a lambda's variable, so that each is computed once
-    least = F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_min(F.slice(h, i, width))))[0]
-    found = F.when(count >= 1, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(found, *[word_slices(words, n, lambda s, n=n: F.xxhash64(F.lit(n), s)) for n in short])
+    """The winnowed hashes of ``words``, and the hashes of all runs of each length in ``short``."""
 
+    def found(h: Column) -> Column:
+        least = bound(grams(h, GRAM), lambda g: minima(g, SPAN - GRAM + 1))
+        return F.concat(F.coalesce(F.array_distinct(least), none_of("bigint")), *[grams(h, n) for n in short])
 
-def benchmark_spans(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, span, fingerprint): the spans of each item; a shorter item is one span."""
-    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
-    words = words.where(F.size("words") > 0).withColumn("n", F.least(F.size("words"), F.lit(SPAN)))
-    spans = words.select("item_id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.slice("words", i, F.col("n")))).alias("span"))
-    grams = F.transform(F.sequence(F.lit(1), F.lit(SPAN - GRAM + 1)), lambda i: F.xxhash64(F.slice("span", i, GRAM)))
-    print_ = F.when(F.col("n") == SPAN, F.array_min(grams)).otherwise(F.xxhash64("n", "span"))
-    return spans.withColumn("fingerprint", print_).withColumn("span", F.array_join("span", " ")).distinct()
+    return bound(hashes_of(words), found)
 
 
-def _places(words: Column, length: int) -> Column:
-    """(at, n, span) of each slice of ``length`` words."""
-    n = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(n - (length - 1), F.lit(1)))
-    span = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(length).alias("n"), F.array_join(F.slice(words, i, length), " ").alias("span")))
-    return F.when(n >= length, span).otherwise(F.array().cast("array<struct<at: int, n: int, span: string>>"))
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, words, n) of the items with words; a window of an item is n words, SPAN or all if it has fewer."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).dropDuplicates()
+    return items.where(F.size("words") > 0).select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.least(F.size("words"), F.lit(SPAN)).alias("n"))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def benchmark_seeds(items: DataFrame, short: list[int]) -> DataFrame:
+    """(item, at, size, fingerprint): the places of the fingerprints in each item and the item's number of words."""
+    size = F.size("words").alias("size")
+    longer = items.where(F.col("n") == SPAN).select("item", size, hashes_of(F.col("words")).alias("h"))
+    placed = longer.select("item", "size", F.posexplode(grams(F.col("h"), GRAM)).alias("at", "fingerprint"))
+    least = longer.select("item", F.explode(F.array_distinct(bound(grams(F.col("h"), GRAM), lambda g: minima(g, SPAN - GRAM + 1)))).alias("fingerprint"))
+    seeds = placed.join(least, ["item", "fingerprint"]).select("item", "at", "size", "fingerprint")
+    for n in short:
+        whole = items.where(F.col("n") == n).select("item", F.lit(0).alias("at"), size, bound(hashes_of(F.col("words")), grams_of(n))[0].alias("fingerprint"))
+        seeds = seeds.unionByName(whole)
+    return seeds
+
+
+def equal_spans(words: Column, theirs: Column, lengths: list[int], n: Column) -> Column:
+    """Where runs of ``n`` equal words, n being one of ``lengths``, begin in two lists of words that lie upon each other."""
+    same = F.zip_with(words, theirs, lambda a, b: (a == b).cast("int"))
+    starts = lambda k: lambda x: F.filter(F.transform(minima(x, k), lambda v, i: F.when(v == 1, i)), lambda i: i.isNotNull())
+    return F.coalesce(*[F.when(n == k, bound(same, starts(k))) for k in lengths], none_of("int"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Benchmark spans in each document.
 
-    Returns doc_id, text_hash, n_words, n_hit (words inside any occurrence of
-    a benchmark span), item_ids (of the items with a span in the document,
-    sorted as strings) and contaminated (at least one word in 20 is hit). Rows
-    that repeat a doc_id and text are returned once; of those that repeat only
-    the doc_id each is judged by its own text. Null and empty texts have no
-    words; items without words are never found; null item_ids are left out.
+    Returns a row for each row of ``docs``: doc_id, text_hash, n_words, n_hit
+    (words inside any occurrence of a benchmark span), item_ids (of the items
+    with a span in the document, sorted as strings) and contaminated (at least
+    one word in 20 is hit). Rows that repeat a doc_id are each judged by their
+    own text. Null and empty texts have no words; items without words are never
+    found; null item_ids are left out.
     """
-    spans = durable(benchmark_spans(benchmark.where("item_id is not null")))
-    size = spans.count()
-    short = sorted(r["n"] for r in spans.where(F.col("n") < SPAN).select("n").distinct().collect())
+    items = durable(benchmark_items(benchmark))
+    short = sorted(r["n"] for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())
+    seeds = durable(benchmark_seeds(items, short))
     key = ["doc_id", "text_hash"]
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
-    wanted = spans.select("fingerprint").distinct().withColumn("known", F.lit(True))
-    read = texts.select(*key, words_of(F.col("text")).alias("words"))
-    prints = read.select(*key, F.size("words").alias("n_words"), F.explode_outer(fingerprints(F.col("words"), short)).alias("fingerprint"))
-    joined = prints.join(_sized(wanted, size), "fingerprint", "left")
-    sized = durable(joined.groupBy(*key).agg(F.max("n_words").cast("long").alias("n_words"), F.max("known").alias("known")))
-
-    marked = sized.where("known").select(*key)
-    n = F.col("n")
-    lengths = [SPAN, *short]
-    words = _matching(texts, marked).select(*key, words_of(F.col("text")).alias("words"))
-    every = F.concat(*[_places(F.col("words"), k) for k in lengths])
-    places = words.select(*key, F.explode(every).alias("p")).select(*key, "p.at", "p.n", "p.span")
-    hits = places.join(_sized(spans.select("item_id", "n", "span"), size), ["n", "span"])
-    found = hits.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + n).alias("end")))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    wanted = seeds.select("fingerprint").distinct().withColumn("known", F.lit(True))
+    read = texts.select(F.monotonically_increasing_id().alias("no"), *key, words_of(F.col("text")).alias("words"))
+    prints = read.select("no", *key, F.size("words").cast("long").alias("n_words"), F.explode_outer(fingerprints(F.col("words"), short)).alias("fingerprint"))
+    joined = prints.join(sized(wanted), "fingerprint", "left")
+    every = durable(joined.groupBy("no", *key).agg(F.max("n_words").alias("n_words"), F.max("known").alias("known")))
+
+    marked = durable(every.where("known").select(*key).distinct())
+    words = durable(matching(texts, marked).select(*key, words_of(F.col("text")).alias("words")))
+    at_words = words.select(*key, bound(hashes_of(F.col("words")), lambda h: F.array(*[F.struct(grams(h, k).alias("grams")) for k in [GRAM, *(n for n in short if n != GRAM)]])).alias("by_size"))
+    places = at_words.select(*key, F.explode("by_size").alias("of")).select(*key, F.posexplode("of.grams").alias("place", "fingerprint"))
+    shifts = places.join(sized(seeds), "fingerprint").select(*key, "item", "size", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    laid = durable(shifts.groupBy(*key).agg(F.collect_list(F.struct("item", "size", "shift")).alias("laid")))
+    found = with_found(words, laid).select(*key, "words", F.explode("laid").alias("l"))
+    over = found.select(
+        *key, F.col("l.item").alias("item"), F.greatest(F.col("l.shift"), F.lit(0)).alias("place"), F.greatest(-F.col("l.shift"), F.lit(0)).alias("skip"),
+        F.slice("words", F.greatest(F.col("l.shift"), F.lit(0)) + 1, F.col("l.size")).alias("part"),
+    )
+    both = over.join(sized(items), "item")
+    theirs = F.slice("words", F.col("skip") + 1, F.size("part"))
+    mine = F.slice("part", 1, F.greatest(F.size("words") - F.col("skip"), F.lit(0)))
+    spans = both.select(*key, "item_id", "n", "place", F.explode(equal_spans(mine, theirs, [SPAN, *short], F.col("n"))).alias("start"))
+    at = F.col("place") + F.col("start")
+    hits = spans.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct(at.alias("at"), (at + F.col("n")).alias("end")))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     start = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("end"))
     merge = lambda a, x: F.struct((a["covered"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["at"], a["end"]))).alias("covered"), F.greatest(a["end"], x["end"]).alias("end"))
-    found = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.aggregate("spans", start, merge, lambda a: a["covered"]).cast("long").alias("n_hit"), "item_ids")
-    whole = sized.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")), "left")
+    counted = hits.select(*key, F.aggregate("spans", start, merge, lambda a: a["covered"]).cast("long").alias("n_hit"), "item_ids")
+    whole = with_found(every, counted, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return whole.select(*key, "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return whole.select(*key, "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", none_of("string")).alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def with_found(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found`` by doc_id and text_hash, nulls matching nulls."""
+    side = sized(durable(found.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})))
+    return rows.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), how).drop("d", "h")
 
 
-def _matching(texts: DataFrame, marked: DataFrame) -> DataFrame:
+def matching(texts: DataFrame, marked: DataFrame) -> DataFrame:
     """The rows of ``texts`` with a key in ``marked``, nulls matching nulls."""
-    side = marked.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-    return texts.join(_sized(side, side.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
+    return with_found(texts, marked, "left_semi")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,34 @@
 """License scans by MinHash bands over overlapping windows.
 
-Templates and documents are cut into overlapping windows of word shingles.
-Windows that agree in a MinHash band retrieve templates, and a match needs the
-document to contain most of the template's shingles exactly. Windows come in
-sizes to suit short and long templates. A template whose copy is whole meets a
-window that shares at least three in five of their shingles, so that one of
-BANDS bands of a single hash agrees with a probability of 1 - 0.4 ** BANDS or
-more; a copy of a long template gives many such chances. Only documents with a
-template's shingle have their windows hashed, as no other window can agree
-with a template's. Only DataFrame functions are used.
+Documents and templates are cut into overlapping windows of WINDOW word
+shingles, and windows that agree in a MinHash band retrieve templates; a band is
+the least hash of a window in one of BANDS orders. A whole copy of a template of
+WINDOW + STEP - 1 shingles or more holds one of its windows whole, which agrees
+in all bands; a shorter template meets a window that shares three in five of
+their shingles, so that it is missed with a probability of 0.4 ** BANDS.
+Templates of fewer than WINDOW shingles are retrieved by windows of one shingle,
+whose bands all agree or all differ, and those of fewer than SHINGLE words have
+shingles of their own length. Of what is retrieved, those match whose shingles
+the document contains to a large part, counted exactly. Only DataFrame functions
+are used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import table
-from loamgrid.llm.decontam import word_slices, words_of
+from loamgrid.llm.decontam import bound, grams, grams_of, hashes_of, with_found, words_of
+from loamgrid.llm.linking import sized
 from loamgrid.session import durable
 
 #: Words in a shingle; bands of one hash; least containment.
 SHINGLE, BANDS, CONTAINMENT = 5, 8, 0.8
-#: Shingles in a window and between windows' starts, for templates of at least that many shingles.
-WINDOWS = ((8, 4), (4, 2), (1, 1))
-BROADCAST_ROWS = 300_000
+#: Shingles in a window, and from one window's start to the next one's in documents.
+WINDOW, STEP = 8, 4
 
 #: Fixed texts: notices by which works state their license.
 TEMPLATES = {
@@ -52,69 +56,53 @@ def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -
     return spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
 
 
-def shingles_of(text: Column) -> Column:
-    """Hashes of a text's shingles; the words are bound to a lambda's variable, so that they are found once."""
-    return F.transform(F.array(words_of(text)), lambda words: word_slices(words, SHINGLE, lambda s: F.xxhash64(s)))[0]
-
-
-def bands_of(window: Column) -> Column:
-    """The least hash of a window under each of BANDS hash functions."""
-    return F.array(*[F.array_min(F.transform(window, _seeded(k))) for k in range(BANDS)])
-
+def in_order(band: int) -> Callable[[Column], Column]:
+    """Puts hashes into another order for each band, by exclusive or."""
+    x = (band + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+    return lambda h: h.bitwiseXOR(F.lit(x - (1 << 64) if x >> 63 else x))
 
-def _seeded(seed: int):
-    return lambda x: F.xxhash64(x, F.lit(seed))
 
-
-def windows_of(shingles: Column, size: int, step: int) -> Column:
-    """Windows of ``size`` shingles, ``step`` apart, and one that ends with the last; one of all if there are fewer."""
-    n = F.size(shingles)
-    last = F.greatest(n - (size - 1), F.lit(1))
+def band_keys(shingles: Column, step: int) -> Column:
+    """A key for each band of each window of ``shingles``, ``step`` apart, and of one that ends with the last; one window if there are few."""
+    last = F.greatest(F.size(shingles) - (WINDOW - 1), F.lit(1))
     starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, F.lit(step)), F.array(last)))
-    return F.when(n > 0, F.transform(starts, lambda i: F.slice(shingles, i, size))).otherwise(F.array().cast("array<array<bigint>>"))
-
+    least = lambda w: F.array(*[F.xxhash64(F.lit(k), F.array_min(F.transform(w, in_order(k)))) for k in range(BANDS)])
+    keys = F.flatten(F.transform(starts, lambda i: bound(F.slice(shingles, i, WINDOW), least)))
+    return F.when(F.size(shingles) > 0, keys).otherwise(F.array().cast("array<bigint>"))
 
-def band_keys(rows: DataFrame, keys: list[str], size: int, step: int) -> DataFrame:
-    """(keys, key) of all bands of the windows of ``rows(keys, shingles)``."""
-    windows = rows.select(*keys, F.explode(windows_of(F.col("shingles"), size, step)).alias("w"))
-    bands = windows.select(*keys, F.posexplode(bands_of(F.col("w"))).alias("band", "least"))
-    return bands.select(*keys, F.xxhash64(F.lit(size), "band", "least").alias("key"))
 
-
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def single_keys(shingles: Column) -> Column:
+    return F.transform(shingles, lambda x: F.xxhash64(F.lit("single"), x))
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, text_hash, license_id, n_shared, n_template, containment) of documents and the templates they contain.
 
-    ``templates(license_id, text)``. Templates of fewer than SHINGLE words and
-    null or empty texts match nothing. Rows that repeat a doc_id and a text
-    count once. Documents without a match have no row.
+    ``templates(license_id, text)``. Templates without a word and null or empty
+    texts match nothing. Rows that repeat a doc_id and a text count once.
+    Documents without a match have no row.
     """
     key = ["doc_id", "text_hash"]
-    ordered = durable(templates.select("license_id", shingles_of(F.col("text")).alias("in_order")))
-    known = ordered.withColumn("shingles", F.array_distinct("in_order")).where(F.size("shingles") > 0)
-    marks = durable(known.select("license_id", F.size("shingles").alias("n_template"), F.explode("shingles").alias("shingle")))
-    wanted = marks.select("shingle").distinct()
+    words = templates.select("license_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    words = durable(words.withColumn("length", F.least(F.size("words"), F.lit(SHINGLE))))
+    short = sorted(r["length"] for r in words.where(F.col("length") < SHINGLE).select("length").distinct().collect())
+    sizes = [SHINGLE, *short]
+    own = F.coalesce(*[F.when(F.col("length") == n, bound(hashes_of(F.col("words")), grams_of(n))) for n in sizes])
+    known = durable(words.select("license_id", own.alias("in_order"), F.array_distinct(own).alias("of_template")))
+    long_enough = F.size("in_order") >= WINDOW
+    wanted = known.select("license_id", F.explode(F.when(long_enough, band_keys(F.col("in_order"), 1)).otherwise(single_keys(F.col("in_order")))).alias("key")).distinct()
+
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    every = texts.select(*key, F.explode(shingles_of(F.col("text"))).alias("shingle"))
-    hits = durable(every.join(_sized(wanted), "shingle").distinct())
-
-    marked = hits.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
-    again = texts.join(_sized(marked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
-    again = durable(again.select(*key, shingles_of(F.col("text")).alias("shingles")))
-    found = None
-    for k, (size, step) in enumerate(WINDOWS):
-        long_enough = (F.size("in_order") >= size) & (F.size("in_order") < WINDOWS[k - 1][0] if k else F.lit(True))
-        mine = band_keys(known.where(long_enough).select("license_id", F.col("in_order").alias("shingles")), ["license_id"], size, 1).distinct()
-        pairs = band_keys(again, key, size, step).join(_sized(mine), "key").select(*key, "license_id")
-        found = pairs if found is None else found.unionByName(pairs)
-    retrieved = found.distinct().withColumnsRenamed({"doc_id": "d", "text_hash": "h", "license_id": "l"})
-    shared = hits.join(_sized(marks), "shingle").groupBy(*key, "license_id", "n_template").agg(F.count("*").alias("n_shared"))
-    contained = shared.where(F.col("n_shared") >= CONTAINMENT * F.col("n_template"))
-    verified = contained.join(retrieved, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("license_id") == F.col("l")), "left_semi")
-    return verified.select(*key, "license_id", "n_shared", F.col("n_template").cast("long").alias("n_template"), F.round(F.col("n_shared") / F.col("n_template"), 6).alias("containment"))
+    sets = lambda h: F.struct(grams(h, SHINGLE).alias("shingles"), F.concat(*[grams(h, n) for n in sizes]).alias("all"))
+    keys = lambda s: F.concat(band_keys(s["shingles"], STEP), single_keys(s["all"]))
+    every = texts.select(*key, F.explode_outer(bound(bound(hashes_of(words_of(F.col("text"))), sets), keys)).alias("key"))
+    retrieved = durable(every.join(sized(wanted), "key").select(*key, "license_id").distinct())
+
+    asked = retrieved.groupBy(*key).agg(F.collect_list("license_id").alias("licenses"))
+    again = with_found(texts, asked).select(*key, "licenses", bound(bound(hashes_of(words_of(F.col("text"))), sets), lambda s: F.array_distinct(s["all"])).alias("all"))
+    pairs = again.select(*key, F.explode("licenses").alias("license_id"), "all").join(sized(known.select("license_id", "of_template")), "license_id")
+    counted = pairs.select(*key, "license_id", F.size(F.array_intersect("all", "of_template")).cast("long").alias("n_shared"), F.size("of_template").cast("long").alias("n_template")).distinct()
+    return counted.where(F.col("n_shared") >= CONTAINMENT * F.col("n_template")).withColumn("containment", F.round(F.col("n_shared") / F.col("n_template"), 6))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
