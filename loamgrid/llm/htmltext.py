@@ -55,7 +55,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noframes ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("applet audio button canvas datalist head iframe math noscript object option script select style svg template textarea title video".split())
+DROPPED = frozenset("button datalist head iframe noscript option script select style svg template textarea title".split())
+FOREIGN = frozenset("math svg".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
 ARTICLE = frozenset("article main".split())
@@ -65,6 +66,8 @@ ASIDE_NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
 ARTICLE_NAMES = frozenset("article articlebody content entry main maincontent post story".split())
+#: Beginnings of names that say what a page's layout has, not what an element is.
+LAYOUT = frozenset("has is layout no page with without".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z|(?=<))", re.S)
 NAMED = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -80,7 +83,8 @@ def marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
             squeezed = value.replace(" ", "")
             aside |= "display:none" in squeezed or "visibility:hidden" in squeezed or (key.lower() == "aria-hidden" and value == "true")
         elif name not in ("html", "body"):
-            parts = PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower())
+            named = [PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) for x in (a or b or c).split()]
+            parts = [p for n in named if n and (len(n) == 1 or n[0] not in LAYOUT) for p in n]
             aside |= not ASIDE_NAMES.isdisjoint(parts)
             article |= not ARTICLE_NAMES.isdisjoint(parts)
             header |= "header" in parts
@@ -88,14 +92,20 @@ def marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
-    """Flat blocks of text: text, words, words in links, in other matter, in an article."""
+    """Flat blocks of text: text, words, words in links, in other matter, in an article.
+
+    An element that is named as other matter but holds an article and more than
+    half of the page's words is the page's frame, and not other matter.
+    """
     found: list = []
     if not page:
         return found
     texts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, other matter, article, dropped
-    state = (False, False, False)
-    links = 0
+    stack: list[tuple[str, int, bool, bool]] = []  # name, outermost element of other matter or -1, article, dropped
+    open_names: dict[str, int] = {}
+    state = (-1, False, False)
+    link = -1  # elements that are open around the open link
+    n_asides, framing = 0, set()
 
     def flush() -> None:
         if texts:
@@ -105,6 +115,11 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
                 found.append((text, text.count(" ") + 1, linked, state[0], state[1]))
             texts.clear()
 
+    def pop_to(k: int) -> None:
+        for name, *_ in stack[k:]:
+            open_names[name] -= 1
+        del stack[k:]
+
     at, n = 0, len(page)
     while at < n:
         start = page.find("<", at)
@@ -112,11 +127,11 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
         if start < 0 or tag is None:
             end = n if start < 0 else start + 1
             if not state[2]:
-                texts.append((page[at:end], links > 0))
+                texts.append((page[at:end], link >= 0))
             at = end
             continue
         if start > at and not state[2]:
-            texts.append((page[at:start], links > 0))
+            texts.append((page[at:start], link >= 0))
         at = max(tag.end(), start + 1)
         name = tag[2].lower() if tag[2] else ""
         if not name:
@@ -125,33 +140,43 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
             texts.append((" ", False))
             continue
         if name == "a":
-            links = 0 if tag[1] else 1
+            link = -1 if tag[1] else len(stack)
         if name in BLOCKS:
             flush()
-            links = 0
         if tag[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    flush()
-                    del stack[k:]
-                    break
-        elif name not in VOID and not tag[3].endswith("/"):
+            if open_names.get(name):
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+                flush()
+                pop_to(k)
+        elif name not in VOID and not (name in FOREIGN and tag[3].endswith("/")):
             if name in RAW:
                 close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else n
                 continue
             if name in CLOSED_BY_NEXT and stack and stack[-1][0] == name:
-                stack.pop()
+                pop_to(len(stack) - 1)
             aside, article, header = marks(name, tag[3])
             aside |= header and not any(s[2] for s in stack)
             if name in BLOCKS or aside or name in DROPPED:
                 if aside:
                     flush()
-                over = stack[-1] if stack else ("", False, False, False)
-                stack.append((name, over[1] or aside, over[2] or article, over[3] or name in DROPPED))
-        state = stack[-1][1:] if stack else (False, False, False)
+                over = stack[-1] if stack else ("", -1, False, False)
+                outer = over[1]
+                if outer >= 0 and article:
+                    framing.add(outer)
+                if aside and outer < 0:
+                    outer, n_asides = n_asides, n_asides + 1
+                stack.append((name, outer, over[2] or article, over[3] or name in DROPPED))
+                open_names[name] = open_names.get(name, 0) + 1
+        if link > len(stack):
+            link = -1
+        state = stack[-1][1:] if stack else (-1, False, False)
     flush()
-    return found
+    held: dict[int, int] = {}
+    for _, words, _, outer, _ in found:
+        held[outer] = held.get(outer, 0) + words
+    frames = {k for k in framing if 2 * held.get(k, 0) > sum(held.values())}
+    return [(text, words, linked, outer >= 0 and outer not in frames, article) for text, words, linked, outer, article in found]
 
 
 def block_features(found: list) -> np.ndarray:
@@ -204,7 +229,7 @@ def main_text_of(page: Column) -> Column:
     tree = train_tree()
 
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([main_text(p, tree) for p in pages.to_pylist()], pa.string())
+        return pa.array([main_text(p.as_py(), tree) for p in pages], pa.string())
 
     return F.arrow_udf(run, "string")(page)
 

@@ -8,19 +8,22 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import id_text, table
+from loamgrid.llm.linking import sized
 from loamgrid.session import durable
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: each value's share of tokens to this power, normed to 1; under 1 it lifts rare values.
 TEMPER = 0.7
-#: Rounds of fitting to each of the three in turn.
-SWEEPS = 8
-#: Sources up to this number (a few tens of MB) are broadcast to the documents; more are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rounds of fitting to each of the three in turn; it warns if the last one corrects a share by more than TOLERANCE of it.
+SWEEPS, TOLERANCE = 8, 0.01
+#: Combinations of languages and topics that the driver combines.
+MOST_CELLS = 10_000
 WORD, DIGIT, SYMBOL = "[^\\x20\\x09-\\x0D]+", "[0-9]", "[#*$%&|<>{}=]"
 
 
@@ -86,14 +89,19 @@ def rake(rows: DataFrame, langs: dict[str, float], topics: dict[str, float], swe
         return rows.withColumn("factor", F.when(total > 0, F.col("share") / total).otherwise(0.0))
 
     fitted = with_factor()
+    off: list[float] = []
     for _ in range(sweeps):
         fitted = with_factor()
         sums = fitted.select("factor", F.explode("cells").alias("c")).groupBy("c.lang", "c.topic").agg(F.sum(F.col("c.tokens") * F.col("factor")).alias("s"))
         table_ = {(r["lang"], r["topic"]): r["s"] for r in sums.collect()}
         was = {k: v * sum(s * of_topic.get(t, 0.0) for (x, t), s in table_.items() if x == k) for k, v in of_lang.items()}
+        off = [abs(was[k] / langs[k] - 1) for k in langs if langs[k] > 0 and was[k] > 0]
         of_lang = {k: v * langs[k] / was[k] if was[k] > 0 else 0.0 for k, v in of_lang.items()}
         was = {k: v * sum(s * of_lang.get(x, 0.0) for (x, t), s in table_.items() if t == k) for k, v in of_topic.items()}
+        off += [abs(was[k] / topics[k] - 1) for k in topics if topics[k] > 0 and was[k] > 0]
         of_topic = {k: v * topics[k] / was[k] if was[k] > 0 else 0.0 for k, v in of_topic.items()}
+    if max(off, default=0.0) > TOLERANCE:
+        warnings.warn(f"the last of {sweeps} rounds corrected a share by {max(off):.2g} of it: ask for more, or the targets contradict each other", stacklevel=2)
     return fitted, of_lang, of_topic
 
 
@@ -118,17 +126,19 @@ def mix(docs: DataFrame, topic: Column | None = None, sources: DataFrame | None
     cell = f"{prefix}mix"
     given = with_cell(docs, topic, cell)
     cells = durable(given.select(f"{cell}.*").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    small = cells.where("tokens > 0").groupBy("lang", "topic").agg(F.sum("tokens").cast("double").alias("t")).collect()
+    small = cells.where("tokens > 0").groupBy("lang", "topic").agg(F.sum("tokens").cast("double").alias("t")).limit(MOST_CELLS + 1).collect()
+    if len(small) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} combinations of languages and topics; give a coarser topic")
     totals: dict[str, dict] = {"lang": {}, "topic": {}}
     for r in small:
         for d, sums in totals.items():
             sums[r[d]] = sums.get(r[d], 0.0) + r["t"]
-    fitted, of_lang, of_topic = rake(source_rows(cells, sources), langs or tempered(totals["lang"]), topics or tempered(totals["topic"]))
+    fitted, of_lang, of_topic = rake(source_rows(cells, sources), langs or tempered(totals["lang"]), topics or tempered(totals["topic"]), sweeps)
     fitted = durable(fitted)
     ratio = lambda factor, lang, topic_: F.col(factor) * looked_up(of_lang, lang) * looked_up(of_topic, topic_)
     most = fitted.agg(F.max(F.array_max(F.transform("cells", lambda c: ratio("factor", c["lang"], c["topic"])))).alias("m"), F.count("*").alias("n")).first()
     factors = fitted.select(F.col("source").alias("_mix_source"), F.col("factor").alias("_mix_factor"))
-    joined = given.join(F.broadcast(factors) if most["n"] <= BROADCAST_ROWS else factors, F.col(f"{cell}.source") == F.col("_mix_source"), "left")
+    joined = given.join(sized(factors), F.col(f"{cell}.source") == F.col("_mix_source"), "left")
     p = F.when(F.col(f"{cell}.n_tokens") > 0, F.coalesce(ratio("_mix_factor", F.col(f"{cell}.lang"), F.col(f"{cell}.topic")) / F.lit(float(most["m"] or 1.0)), F.lit(0.0))).otherwise(0.0)
     return joined.withColumn(f"{prefix}p", p).withColumn(f"{prefix}sampled", draw() < F.col(f"{prefix}p")).drop("_mix_source", "_mix_factor")
 
