@@ -110,7 +110,7 @@ def draw() -> Column:
     return F.conv(F.substring(F.md5(F.concat(id_text(), F.lit("|mix"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, topic: Column | None = None, sources: DataFrame | None = None, langs: dict[str, float] | None = None, topics: dict[str, float] | None = None, prefix: str = "") -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, sources: DataFrame | None = None, langs: dict[str, float] | None = None, topics: dict[str, float] | None = None, prefix: str = "", sweeps: int = SWEEPS) -> DataFrame:
     """Sampling probabilities that bring the tokens of ``docs`` to the target shares.
 
     Adds ``mix`` (struct of source, lang, topic, n_tokens), ``p`` and
