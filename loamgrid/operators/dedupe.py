@@ -11,6 +11,15 @@ def mark_duplicates(items: DataFrame, digest: str, order: list[str]) -> DataFram
     return items.withColumn("copy_no", F.row_number().over(Window.partitionBy(digest).orderBy(*order)))
 
 
+def keep_first(items: DataFrame, digest: str, order: list[str]) -> DataFrame:
+    """The first row of each digest in ``order``, whose columns together identify a row.
+
+    Only these columns are shuffled, and tasks find their own first rows before.
+    """
+    first = items.groupBy(digest).agg(F.min(F.struct(*order)).alias("f")).select("f.*")
+    return items.join(first, order, "left_semi")
+
+
 def label_conflicts(marked: DataFrame, digest: str, label: str, key: str) -> DataFrame:
     """Copies whose label is not that of the row kept for their digest."""
     kept = marked.where("copy_no = 1").select(digest, F.col(label).alias("kept_label"), F.col(key).alias("kept_key"))

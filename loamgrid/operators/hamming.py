@@ -17,27 +17,38 @@ def chunked(items: DataFrame, h: str = "h") -> DataFrame:
     return items.select("*", F.explode(pieces).alias("_p")).select("*", "_p.*").drop("_p")
 
 
-def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", pair_blocks: int = 2) -> DataFrame:
+def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", shared: int = 3) -> DataFrame:
     """(a, b, distance) of all pairs a < b whose hashes differ in at most ``distance`` bits.
 
-    Two such hashes agree in at least CHUNKS - distance bytes. For distances
-    up to CHUNKS - pair_blocks, the join is on ``pair_blocks`` bytes at once,
-    which makes buckets 256 times smaller for each further byte; beyond that
-    on single bytes. Each pair is emitted by the first bytes it agrees in, so
-    no distinct is needed.
+    Hashes are cut into ``distance`` + ``shared`` pieces, of which two such
+    hashes agree in at least ``shared``. The join is on that many pieces at
+    once: 27 bits for a distance of 4, 18 for one of 7, so that buckets stay
+    small. Each pair is emitted by the first pieces it agrees in, so no
+    distinct is needed.
     """
-    if distance > CHUNKS - 1:
-        raise ValueError("hashes that may differ in every byte share no bucket")
-    blocks = min(pair_blocks, CHUNKS - distance)
-    sets = list(combinations(range(CHUNKS), blocks))
-    byte = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
-    pieces = F.array(*[F.struct(F.lit(n).alias("no"), F.concat_ws(",", *[byte(F.col(h), k).cast("string") for k in s]).alias("v")) for n, s in enumerate(sets)])
-    keyed = items.select(F.col(key).alias("a"), F.col(h).alias("ha"), F.explode(pieces).alias("p")).select("a", "ha", "p.no", "p.v")
+    pieces = distance + shared
+    if pieces > 64:
+        raise ValueError("hashes of 64 bits have no more than 64 pieces")
+    cuts = [64 * k // pieces for k in range(pieces + 1)]
+    piece = lambda x, k: F.shiftrightunsigned(x, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+    sets = list(combinations(range(pieces), shared))
+
+    def joined(x, chosen):
+        out = F.lit(0).cast("long")
+        for k in chosen:
+            out = F.shiftleft(out, cuts[k + 1] - cuts[k]).bitwiseOR(piece(x, k))
+        return out
+
+    buckets = F.array(*[F.struct(F.lit(n).alias("no"), joined(F.col(h), s).alias("v")) for n, s in enumerate(sets)])
+    keyed = items.select(F.col(key).alias("a"), F.col(h).alias("ha"), F.explode(buckets).alias("p")).select("a", "ha", "p.no", "p.v")
     other = keyed.select(F.col("a").alias("b"), F.col("ha").alias("hb"), "no", "v")
-    both = keyed.join(other, ["no", "v"]).where(F.col("a") < F.col("b"))
+    both = keyed.join(other, ["no", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance))
     differ = F.col("ha").bitwiseXOR(F.col("hb"))
-    first = F.coalesce(*[F.when(sum((F.when(byte(differ, k) == 0, 1).otherwise(0) for k in s), F.lit(0)) == blocks, F.lit(n)) for n, s in enumerate(sets)])
-    return both.where((F.bit_count(differ) <= distance) & (F.col("no") == first)).select("a", "b", F.bit_count(differ).cast("int").alias("distance"))
+    # the first set in the order of combinations is made of the first pieces that agree
+    alike = F.filter(F.array(*[F.when(piece(differ, k) == 0, k) for k in range(pieces)]), lambda k: k.isNotNull())
+    first = sum((alike[n].cast("long") * 64 ** (shared - 1 - n) for n in range(shared)), F.lit(0).cast("long"))
+    code = F.array(*[F.lit(sum(64 ** (shared - 1 - n) * k for n, k in enumerate(s))).cast("long") for s in sets])
+    return both.where(code[F.col("no")] == first).select("a", "b", F.bit_count(differ).cast("int").alias("distance"))
 
 
 def bucket_sizes(items: DataFrame, h: str = "h") -> DataFrame:

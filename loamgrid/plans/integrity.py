@@ -16,13 +16,18 @@ from loamgrid.plans.registry import query, read
 from loamgrid.session import durable
 
 
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cls"), F.col("source").alias("site"), "text", F.md5("text").alias("digest"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cls"), F.col("source").alias("site"), "text", F.md5("text").alias("digest"))
+    """All files without their texts, copies numbered."""
+    docs = scanned(spark, sf_dir).withColumn("length", F.length("text").cast("long")).drop("text")
     return dedupe.mark_duplicates(docs, "digest", ["cls", "id"])
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where("copy_no = 1").drop("copy_no")
+    return dedupe.keep_first(scanned(spark, sf_dir), "digest", ["cls", "id"])
 
 
 _FILES = "f AS (SELECT doc_id AS id, lang AS cls, source AS site, text, md5(text) AS digest, row_number() OVER (PARTITION BY md5(text) ORDER BY lang, doc_id) AS copy_no FROM documents), k AS (SELECT * FROM f WHERE copy_no = 1)"
@@ -33,7 +38,7 @@ _FILES = "f AS (SELECT doc_id AS id, lang AS cls, source AS site, text, md5(text
 SELECT c.cls, c.n_files, c.n_kept, c.n_copies, t.sites, t.site AS top_site, round(t.share, 6) AS top_share
 FROM (SELECT cls, count(*) AS n_files, count(*) FILTER (copy_no = 1) AS n_kept, count(*) FILTER (copy_no > 1) AS n_copies FROM f GROUP BY cls) c JOIN t ON t.cls = c.cls AND r = 1""")
 def q_exact_dedup_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = files(spark, sf_dir).drop("text")
+    marked = files(spark, sf_dir)
     counts = marked.groupBy("cls").agg(F.count("*").alias("n_files"), F.count(F.when(F.col("copy_no") == 1, 1)).alias("n_kept"), F.count(F.when(F.col("copy_no") > 1, 1)).alias("n_copies"))
     top = dedupe.dominant(marked.where("copy_no = 1"), "cls", "site")
     return counts.join(top, "cls").select("cls", "n_files", "n_kept", "n_copies", F.col("distinct").alias("sites"), F.col("top").alias("top_site"), F.round("share", 6).alias("top_share"))
@@ -41,7 +46,7 @@ def q_exact_dedup_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FILES} SELECT f.id, f.site, k.site AS kept_label, k.id AS kept_key FROM f JOIN k ON f.digest = k.digest WHERE f.copy_no > 1 AND f.site <> k.site")
 def q_dup_label_conflict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.label_conflicts(files(spark, sf_dir).drop("text"), "digest", "site", "id").select("id", "site", "kept_label", "kept_key")
+    return dedupe.label_conflicts(files(spark, sf_dir), "digest", "site", "id").select("id", "site", "kept_label", "kept_key")
 
 
 #: File names with all forms of suffixes.

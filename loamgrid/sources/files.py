@@ -94,7 +94,8 @@ def write_json(table: DataFrame, path: str) -> None:
 
 
 def markdown(table: DataFrame, limit: int = 200) -> str:
-    """A small aggregate as a Markdown table."""
-    rows = table.limit(limit).collect()
+    """A small aggregate as a Markdown table; it says so if there are more than ``limit`` rows."""
+    rows = table.limit(limit + 1).collect()
+    more = [f"\nMore than {limit} rows; these are some."] if len(rows) > limit else []
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
-    return "\n".join([line(table.columns), line(["---"] * len(table.columns)), *map(line, rows)])
+    return "\n".join([line(table.columns), line(["---"] * len(table.columns)), *map(line, rows[:limit]), *more])
