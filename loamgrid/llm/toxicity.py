@@ -84,19 +84,23 @@ def background(docs: DataFrame, wanted: frozenset) -> tuple[dict[str, int], int]
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known, n, total = shared.value, {}, Counter(), 0
+        wanted, words, n, total = shared.value, Counter(), Counter(), 0
+
+        def add() -> None:
+            for w, k in words.items():
+                for f in features(w):
+                    if f in wanted:
+                        n[f] += k
+            words.clear()
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for words in word_lists(text):
-                    total += len(words)
-                    for w, k in Counter(words).items():
-                        hit = known.get(w)
-                        if hit is None:
-                            if len(known) > 400_000:
-                                known.clear()
-                            hit = known[w] = [f for f in features(w) if f in wanted]
-                        for f in hit:
-                            n[f] += k
+            for text in batch.column(0):
+                for some in word_lists(text.as_py()):
+                    total += len(some)
+                    words.update(some)
+                if len(words) > 200_000:
+                    add()
+        add()
         n[None] = total
         yield pa.RecordBatch.from_pydict({"feature": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
