@@ -6,6 +6,7 @@ import numpy as np
 import corpus_pipeline
 from loamgrid.llm import lines
 from loamgrid.llm.common import WordHashes
+from loamgrid.llm.linewords import line_words
 
 WORDS = [a + b for a in ("ba", "ko", "li", "mu", "ra", "te", "vo", "zi") for b in ("ba", "ko", "li", "mu", "ra", "te", "vo", "zi", "su", "do")]
 
@@ -102,3 +103,28 @@ def test_operators_cut_copies_of_lines_of_few_words(spark, tmp_path):
     assert got == {1: (4, 1, 26), 2: (3, 2, 8), 3: (3, 0, 15)}
     staged = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
     assert staged == {1: "Menu\nAll rights reserved.\n", 2: "About us", 3: rows[2][1]}
+
+
+def test_lines_of_documents_against_an_exact_search(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    docs = lines.with_row(spark.read.parquet(path).select("doc_id", "text"))
+    words = {}
+    for r in docs.select("text").collect():
+        for x in (r["text"] or "").split("\n"):
+            w = line_words(x)
+            if len(w) >= 5:
+                words[int(lines.Lines([x]).key[0])] = w
+    keys, sets, links = list(words), {k: set(lines.numbered(w)) for k, w in words.items()}, []
+    for a, b in itertools.combinations(keys, 2):
+        most = max(len(words[a]), len(words[b])) // 5
+        if max(len(words[a]), len(words[b])) - len(sets[a] & sets[b]) <= most and lines.edit_distance(words[a], words[b], most) <= most:
+            links.append((a, b))
+    got = {}
+    linked = lines.linked_components
+    try:
+        lines.linked_components = lambda *args: [got.update({r["node"]: r["component"] for r in (found := linked(*args)).collect()}), found][1]
+        lines.repeated_lines(docs).count()
+    finally:
+        lines.linked_components = linked
+    group = lambda k: got.get(k, k)
+    assert len(links) > 20 and sum(group(a) == group(b) for a, b in links) >= 0.98 * len(links)
