@@ -105,7 +105,7 @@ def test_operators_cut_copies_of_lines_of_few_words(spark, tmp_path):
     assert staged == {1: "Menu\nAll rights reserved.\n", 2: "About us", 3: rows[2][1]}
 
 
-def test_lines_of_documents_against_an_exact_search(spark):
+def test_lines_of_documents_against_an_exact_search(spark, monkeypatch):
     path = "/root/testdata/sf0.001/documents.parquet"
     docs = lines.with_row(spark.read.parquet(path).select("doc_id", "text"))
     words = {}
@@ -119,12 +119,14 @@ def test_lines_of_documents_against_an_exact_search(spark):
         most = max(len(words[a]), len(words[b])) // 5
         if max(len(words[a]), len(words[b])) - len(sets[a] & sets[b]) <= most and lines.edit_distance(words[a], words[b], most) <= most:
             links.append((a, b))
-    got = {}
-    linked = lines.linked_components
-    try:
-        lines.linked_components = lambda *args: [got.update({r["node"]: r["component"] for r in (found := linked(*args)).collect()}), found][1]
-        lines.repeated_lines(docs).count()
-    finally:
-        lines.linked_components = linked
+    got, linked = {}, lines.linked_components
+
+    def seen(*args):
+        found = linked(*args)
+        got.update({r["node"]: r["component"] for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(lines, "linked_components", seen)
+    lines.repeated_lines(docs).count()
     group = lambda k: got.get(k, k)
     assert len(links) > 20 and sum(group(a) == group(b) for a, b in links) >= 0.98 * len(links)
