@@ -77,12 +77,29 @@ def token_hash(token: Column) -> Column:
 
 
 def simhash(tokens: Column) -> Column:
-    """64-bit SimHash of distinct tokens: a bit is set if more tokens' hashes have it than not."""
+    """64-bit SimHash of distinct tokens: a bit is set if more tokens' hashes have it than not.
+
+    Three bits are counted at a time, in lanes of 21 bits of one number, which
+    hold the counts of up to two million tokens.
+    """
     hashes = F.transform(F.array_distinct(tokens), lambda t: token_hash(t))
-    n = lambda hs: F.size(hs)
-    ones = lambda hs, k: F.aggregate(hs, F.lit(0), lambda s, h: s + F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(1)).cast("int"))
-    bits = lambda hs: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.when(2 * ones(hs, k) > n(hs), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))))
-    return F.transform(F.array(hashes), lambda hs: bits(hs))[0]
+    lanes, step = (1 << 42) + (1 << 21) + 1, 21
+
+    def counts(hs: Column, shift: int) -> Column:
+        mask = 1 if shift == 63 else lanes
+        return F.aggregate(hs, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask).cast("long")))
+
+    def bits(x: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(64):
+            lane, shift = (0, 63) if k == 63 else divmod(k, step)
+            count = F.shiftrightunsigned(x["ones"][step if k == 63 else shift], step * lane).bitwiseAND(F.lit((1 << step) - 1).cast("long"))
+            bit = (1 << k) - (1 << 64 if k == 63 else 0)
+            out = out.bitwiseOR(F.when(2 * count > x["n"], F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out
+
+    counted = F.transform(F.array(hashes), lambda hs: F.struct(F.array(*[counts(hs, s) for s in (*range(step), 63)]).alias("ones"), F.size(hs).alias("n")))
+    return F.transform(counted, bits)[0]
 
 
 def number_of(fields: dict[str, Column], *keys: str) -> Column:

@@ -17,14 +17,15 @@ def chunked(items: DataFrame, h: str = "h") -> DataFrame:
     return items.select("*", F.explode(pieces).alias("_p")).select("*", "_p.*").drop("_p")
 
 
-def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", shared: int = 3) -> DataFrame:
+def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", shared: int = 2) -> DataFrame:
     """(a, b, distance) of all pairs a < b whose hashes differ in at most ``distance`` bits.
 
     Hashes are cut into ``distance`` + ``shared`` pieces, of which two such
     hashes agree in at least ``shared``. The join is on that many pieces at
-    once: 27 bits for a distance of 4, 18 for one of 7, so that buckets stay
-    small. Each pair is emitted by the first pieces it agrees in, so no
-    distinct is needed.
+    once: with 2 of them 21 bits for a distance of 4 and 14 for one of 7, with
+    3 of them 27 and 19 bits at the cost of 2 to 3 times as many rows; more
+    suit larger tables. Each pair is emitted by the first pieces it agrees in,
+    so no distinct is needed.
     """
     pieces = distance + shared
     if pieces > 64:
