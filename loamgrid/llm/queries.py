@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loamgrid.llm.bytebpe import op11_byte_bpe
 from loamgrid.llm.decontam import OP5_SQL, op5_decontaminate
 from loamgrid.llm.htmltext import op10_html_text
 from loamgrid.llm.langid import op1_language_id
@@ -13,5 +14,5 @@ from loamgrid.llm.quality import op4_quality_rules
 from loamgrid.llm.toxicity import op3_toxicity
 from loamgrid.llm.warc import OP7_SQL, op7_warc_revisits
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_toxicity, op4_quality_rules, op5_decontaminate, op6_near_duplicates, op7_warc_revisits, op8_line_dedup, op9_mix_sources, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_toxicity, op4_quality_rules, op5_decontaminate, op6_near_duplicates, op7_warc_revisits, op8_line_dedup, op9_mix_sources, op10_html_text, op11_byte_bpe)}
 ORACLE: dict[str, str] = {"op2_license_scan": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_warc_revisits": OP7_SQL, "op9_mix_sources": OP9_SQL}
