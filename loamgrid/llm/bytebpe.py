@@ -18,6 +18,7 @@ import base64
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,14 +90,14 @@ def opened(text: str):
 
 
 @lru_cache(maxsize=2)
-def token_bytes(text: str) -> list[bytes | None]:
-    """Bytes of each id, by the reversed table."""
+def token_bytes(text: str) -> pa.Array:
+    """Bytes of each id, by the reversed table; null where an id has no token."""
     back = {c: b for b, c in enumerate(byte_characters())}
     vocab = json.loads(text)["model"]["vocab"]
     found: list[bytes | None] = [None] * (max(vocab.values()) + 1)
     for token, rank in vocab.items():
         found[rank] = bytes(back[c] for c in token)
-    return found
+    return pa.array(found, pa.binary())
 
 
 def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -147,7 +148,7 @@ def encode(df: DataFrame, tokenizer: Broadcast, text: str = "text", offsets: boo
                 found = model.encode_batch(texts, add_special_tokens=False) if offsets else model.encode_batch_fast(texts, add_special_tokens=False)
                 ids = [x.ids for x in found]
                 lengths = list(map(len, ids))
-                columns = [list_array(lengths, np.fromiter((i for x in ids for i in x), np.int32, sum(lengths)))]
+                columns = [list_array(lengths, np.fromiter(chain.from_iterable(ids), np.int32, sum(lengths)))]
                 if offsets:
                     spans = np.fromiter((v for x in found for s in x.offsets for v in s), np.int32, 2 * sum(lengths)).reshape(-1, 2)
                     columns += [list_array(lengths, np.ascontiguousarray(spans[:, k])) for k in (0, 1)]
@@ -174,12 +175,19 @@ def decode(df: DataFrame, tokenizer: Broadcast, ids: str = "_ids") -> DataFrame:
             sizes = pc.list_value_length(batch[held]).to_numpy(zero_copy_only=False)
             for first, end in cuts(sizes, SLICE_IDS):
                 part = batch.slice(first, end - first)
-                joined = []
-                for row in part[held].to_pylist():
-                    if any(i is None or not 0 <= i < len(known) or known[i] is None for i in row):
-                        raise ValueError("an id is not in the vocabulary")
-                    joined.append(b"".join(map(known.__getitem__, row)))
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in others), pa.array(joined, pa.binary())], names=[*others, "_bytes"])
+                rows = part[held]
+                values = rows.flatten()
+                numbers = values.to_numpy(zero_copy_only=False)
+                if values.null_count or len(numbers) and (numbers.min() < 0 or numbers.max() >= len(known)):
+                    raise ValueError("an id is not in the vocabulary")
+                pieces = known.take(values)
+                if pieces.null_count:
+                    raise ValueError("an id is not in the vocabulary")
+                ends = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False), dtype=np.int64)])
+                bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).to_numpy(zero_copy_only=False), dtype=np.int64)])
+                joined = pieces.buffers()[2]  # take makes a new array, whose values are the tokens joined
+                joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends[bounds].astype(np.int64)), joined]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in others), joined], names=[*others, "_bytes"])
 
     return kept.mapInArrow(run, schema)
 
