@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import vec
+from loamgrid.operators import ranking
+from loamgrid.session import durable
 
 
 def confusion(predicted: DataFrame, truth: str = "label", guess: str = "pred") -> DataFrame:
@@ -108,7 +110,7 @@ def auroc(scored: DataFrame, score: str, positive: str, slices: int = 4096) -> D
 
 def energy_threshold(scored: DataFrame, energy: str, ood: str, percentile: float = 0.95) -> DataFrame:
     """One row: the percentile of in-distribution energy, and the share of the others at or under it."""
-    threshold = scored.where(~F.col(ood)).agg(F.percentile(energy, percentile).alias("threshold"))
+    threshold = ranking.quantiles(scored.where(~F.col(ood)), energy, [percentile]).select(F.col("quantile").alias("threshold"))
     return scored.join(F.broadcast(threshold), F.lit(True)).agg(F.max("threshold").alias("threshold"), F.avg(F.when(F.col(ood), (F.col(energy) <= F.col("threshold")).cast("double"))).alias("fpr"))
 
 
@@ -119,3 +121,77 @@ def fit_temperature(scored: DataFrame, grid: list[float], logits: str = "logits"
     means = scored.select(F.posexplode(losses).alias("k", "loss")).groupBy("k").agg(F.avg("loss").alias("nll"))
     named = means.withColumn("temperature", F.get(F.array(*map(F.lit, grid)), F.col("k")))
     return named.agg(F.min_by("temperature", F.struct("nll", "temperature")).alias("temperature"), F.min("nll").alias("nll"))
+
+
+#: Bounds of a fitted temperature, and the step of 1 / temperature, relative to it, at which the fit ends.
+COLDEST, HOTTEST, SETTLED = 0.01, 1000.0, 1e-10
+
+
+def loss_terms(logits: Column, label: Column, beta: Column | float) -> Column:
+    """(loss, slope, bend): a row's log-loss at temperature 1 / beta, and its first two derivatives by beta."""
+    apart = lambda m: F.transform(logits, lambda z: z - m)
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"), F.lit(0.0).alias("dd"))
+    sums = lambda ds: F.aggregate(ds, start, lambda acc, d: F.struct((acc["n"] + F.exp(beta * d)).alias("n"), (acc["d"] + F.exp(beta * d) * d).alias("d"), (acc["dd"] + F.exp(beta * d) * d * d).alias("dd")))
+    own = F.get(logits, label) - F.array_max(logits)
+    terms = lambda s: F.struct((F.ln(s["n"]) - beta * own).alias("loss"), (s["d"] / s["n"] - own).alias("slope"), (s["dd"] / s["n"] - (s["d"] / s["n"]) ** 2).alias("bend"))
+    return vec.bound(sums(apart(F.array_max(logits))), terms)
+
+
+def minimised_temperature(scored: DataFrame, logits: str = "logits", label: str = "label", start: float = 1.5, tolerance: float = SETTLED, most: int = 100) -> DataFrame:
+    """One row (temperature, nll, slope, steps): the temperature of least mean log-loss.
+
+    The loss is convex in 1 / temperature, so each pass over the rows takes a
+    Newton step from the mean slope and bend, or halves the interval that the
+    slopes' signs leave where the step would go out of it. The temperature stays
+    between COLDEST and HOTTEST, where data have no minimum in between. Rows with
+    a null or unusable label, or null, missing or infinite logits, don't count;
+    without rows, all columns but steps are null.
+    """
+    z, y = F.col(logits).cast("array<double>"), F.col(label).cast("int")
+    rows = durable(scored.select(z.alias("z"), y.alias("y")).where(F.coalesce(F.forall("z", lambda x: x.isNotNull()) & F.col("y").isNotNull(), F.lit(False))).where(usable_rows("z", "y")))
+    low, high, beta, at, steps = 1 / HOTTEST, 1 / COLDEST, 1 / start, None, 0
+    while steps < most:
+        at = rows.select(loss_terms(F.col("z"), F.col("y"), F.lit(beta)).alias("t")).agg(F.avg("t.loss").alias("loss"), F.avg("t.slope").alias("slope"), F.avg("t.bend").alias("bend")).first()
+        steps += 1
+        if at["loss"] is None:
+            break
+        low, high = (beta, high) if at["slope"] < 0 else (low, beta)
+        if at["slope"] == 0 or high - low <= tolerance * beta:
+            break
+        step = beta - at["slope"] / at["bend"] if at["bend"] > 0 else float("nan")
+        if not low <= step <= high:
+            # The end of the range is the result where the loss falls all the way to it.
+            step = (low + high) / 2
+        if abs(step - beta) <= tolerance * beta:
+            break
+        beta = step
+    none = at["loss"] is None
+    row = (None, None, None, steps) if none else (1 / beta, at["loss"], at["slope"], steps)
+    return scored.sparkSession.createDataFrame([row], "temperature double, nll double, slope double, steps int")
+
+
+def usable_rows(logits: str, label: str) -> Column:
+    """Whether a row has a label among its logits, all of them numbers."""
+    return F.forall(logits, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.col(label) >= 0) & (F.col(label) < F.size(logits))
+
+
+def calibrate(val: DataFrame, test: DataFrame, ood: DataFrame, bins: int = 10, percentile: float = 0.95) -> DataFrame:
+    """One row: temperature, energy_threshold, uncalibrated_ece, calibrated_ece, ood_auroc, fpr.
+
+    The temperature and the threshold, a percentile of the energy at it, are
+    fitted on ``val``; errors of confidence are those of ``test``, and energies
+    of ``test`` are held against those of ``ood``. All have logits, the first two
+    a label.
+    """
+    fitted = minimised_temperature(val).select("temperature")
+    t = fitted.first()[0]
+    scored = lambda rows, by: rows.select(vec.softmax(vec.scaled(F.col("logits"), by)).alias("p"), "label").select(F.array_max("p").alias("confidence"), (vec.argmax(F.col("p")) == F.col("label")).alias("correct"))
+    errors = [expected_calibration_error(calibration_bins(scored(test, by), bins)).withColumnRenamed("ece", name) for by, name in ((1.0, "uncalibrated_ece"), (t, "calibrated_ece"))]
+    energy = lambda rows: rows.select(vec.energy(F.col("logits"), t).alias("energy"))
+    threshold = ranking.quantiles(energy(val), "energy", [percentile]).select(F.col("quantile").alias("energy_threshold"))
+    both = durable(energy(test).withColumn("ood", F.lit(False)).unionByName(energy(ood).withColumn("ood", F.lit(True))))
+    under = both.where("ood").join(F.broadcast(threshold), F.lit(True)).agg(F.avg((F.col("energy") <= F.col("energy_threshold")).cast("double")).alias("fpr"))
+    out = fitted
+    for one in (threshold, *errors, auroc(both, "energy", "ood").withColumnRenamed("auroc", "ood_auroc"), under):
+        out = out.join(F.broadcast(one), F.lit(True))
+    return out

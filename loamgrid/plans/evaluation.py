@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamgrid.functions import models, vec
 from loamgrid.operators import metrics, predict
 from loamgrid.plans.registry import query, read
+from loamgrid.session import durable
 
 #: Classes, and the factor that sharpens the head's logits.
 CLASSES, SHARPNESS = 10, 20.0
@@ -135,6 +136,38 @@ def q_temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.fit_temperature(logits(spark, sf_dir), GRID).select("temperature", F.round("nll", 6).alias("nll"))
 
 
+#: A logit's distance from the greatest, and the sums of a row's weights at the inverse temperature b, of which the loss and its derivatives are made.
+_D = "[x - list_max(z) FOR x IN z]"
+_STEPS = f"""st(k, b) AS (SELECT 0, CAST(1 / 1.5 AS DOUBLE) UNION ALL SELECT k + 1, max(b) - avg(d1 - o) / avg(d2 - d1 * d1) FROM
+ (SELECT k, b, list_dot_product(w, d) / list_sum(w) AS d1, list_dot_product(w, [x * x FOR x IN d]) / list_sum(w) AS d2, o FROM (SELECT k, b, d, [exp(b * x) FOR x IN d] AS w, o FROM st CROSS JOIN fit WHERE k < 25)) GROUP BY k)"""
+_FIT = f"WITH RECURSIVE {_LOGITS}, fit AS (SELECT {_D} AS d, z[label + 1] - list_max(z) AS o FROM lg %s), {_STEPS}, best AS (SELECT 1 / b AS t FROM st WHERE k = 25)"
+
+
+@query(f"{_FIT % ''} SELECT round(t, 5) AS temperature, round(avg(ln(list_sum([exp(x / t) FOR x IN d])) - o / t), 6) AS nll FROM best CROSS JOIN fit GROUP BY t")
+def q_temperature_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The temperature of least loss, by Newton steps."""
+    return metrics.minimised_temperature(logits(spark, sf_dir)).select(F.round("temperature", 5).alias("temperature"), F.round("nll", 6).alias("nll"))
+
+
+_ECE = "(SELECT round(sum(abs(c - a) * n) / sum(n), 6) FROM (SELECT ceil(c * 10) AS b, avg(c) AS c, avg(CAST(o AS INTEGER)) AS a, count(*) AS n FROM (SELECT list_max(z) / %s AS m, 1 / list_sum([exp((x - list_max(z)) / %s) FOR x IN z]) AS c, list_position(z, list_max(z)) - 1 = label AS o FROM test CROSS JOIN best) GROUP BY 1))"
+
+
+@query(f"""{_FIT % f"WHERE label < {OOD_FROM} AND vec_id % 3 = 0"}, test AS (SELECT * FROM lg WHERE label < {OOD_FROM} AND vec_id % 3 = 1),
+ en AS (SELECT label, vec_id % 3 AS part, -t * (list_max(z) / t + ln(list_sum([exp((x - list_max(z)) / t) FOR x IN z]))) AS energy FROM lg CROSS JOIN best),
+ th AS (SELECT quantile_cont(energy, 0.95) AS th FROM en WHERE label < {OOD_FROM} AND part = 0), both_ AS (SELECT energy, label >= {OOD_FROM} AS ood FROM en WHERE label >= {OOD_FROM} OR part = 1),
+ rk AS (SELECT ood, rank() OVER (ORDER BY energy) + (count(*) OVER (PARTITION BY energy) - 1) / 2.0 AS r FROM both_)
+SELECT round(t, 5) AS temperature, round(th, 5) AS energy_threshold, {_ECE % ('1', '1')} AS uncalibrated_ece, {_ECE % ('t', 't')} AS calibrated_ece,
+ (SELECT round((sum(r) FILTER (ood) - count(*) FILTER (ood) * (count(*) FILTER (ood) + 1) / 2.0) / (count(*) FILTER (ood) * count(*) FILTER (NOT ood)), 6) FROM rk) AS ood_auroc,
+ (SELECT round(avg(CAST(energy <= th AS INTEGER)), 6) FROM both_ WHERE ood) AS fpr FROM best CROSS JOIN th""")
+def q_calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperature and energy threshold fitted on a part of the known classes, and what they do on another part and on the others."""
+    rows = durable(logits(spark, sf_dir))
+    known = rows.where(F.col("label") < OOD_FROM)
+    out = metrics.calibrate(known.where("vec_id % 3 = 0"), known.where("vec_id % 3 = 1"), rows.where(F.col("label") >= OOD_FROM))
+    digits = {"temperature": 5, "energy_threshold": 5}
+    return out.select(*(F.round(c, digits.get(c, 6)).alias(c) for c in out.columns))
+
+
 NAMES = [f"class_{k}" for k in range(CLASSES)]
 _ENERGY = "-(list_max(z) + ln(list_sum([exp(x - list_max(z)) FOR x IN z])))"
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import text, vec
-from loamgrid.operators import dedupe, hamming, splits
+from loamgrid.operators import dedupe, hamming, ranking, splits
 from loamgrid.operators.components import connected_components
 from loamgrid.plans.registry import query, read
 from loamgrid.session import durable
@@ -141,8 +141,11 @@ def q_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PAIRS % 7}, {_CORR}
 SELECT count(*) AS n, round(quantile_cont(r, 0.05), 5) AS p05, round(median(r), 5) AS p50, round(quantile_cont(r, 0.95), 5) AS p95, round(min(r), 5) AS lo, round(max(r), 5) AS hi FROM scored""")
 def q_dup_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda p: F.round(F.percentile("r", p), 5)
-    return scored_pairs(spark, sf_dir, 7, -1.0).agg(F.count("*").alias("n"), at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.min("r"), 5).alias("lo"), F.round(F.max("r"), 5).alias("hi"))
+    pairs = durable(scored_pairs(spark, sf_dir, 7, -1.0))
+    marks = {0.05: "p05", 0.5: "p50", 0.95: "p95"}
+    at = ranking.quantiles(pairs, "r", list(marks)).groupBy().agg(*(F.round(F.max(F.when(F.col("fraction") == f, F.col("quantile"))), 5).alias(name) for f, name in marks.items()))
+    ends = pairs.agg(F.count("*").alias("n"), F.round(F.min("r"), 5).alias("lo"), F.round(F.max("r"), 5).alias("hi"))
+    return ends.join(F.broadcast(at), F.lit(True)).select("n", *marks.values(), "lo", "hi")
 
 
 _COMP = f"{_PAIRS % 7}, both_ways AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), reach(node, other) AS (SELECT x, x FROM both_ways UNION SELECT reach.node, y FROM reach JOIN both_ways ON other = x), comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"
