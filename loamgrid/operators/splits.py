@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgrid.operators import ranking
 from loamgrid.operators.components import connected_components
 from loamgrid.operators.dedupe import first_per_key, majority
+from loamgrid.session import durable
 
 SPLITS = ("train", "val", "test")
+#: Runs of groups of one size (under 100 bytes each) that are broadcast; more are joined by shuffle.
+MOST_RUNS = 100_000
 
 
 def assign_groups(items: DataFrame, pairs: DataFrame, leaf: list[str], key: str = "id") -> DataFrame:
@@ -45,27 +53,75 @@ def holdout_sites(items: DataFrame, label: str, site: str, least: int, key: str
     return first_per_key(ranked.where(f"rank > 1 and n >= {least}"), label, ["n", "rank"]).select(label, site, "n")
 
 
+def next_split(have: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """For each row, the split furthest below its target; ties go to the one that has least, then to the first."""
+    missing = targets - have
+    return np.where(missing == missing.max(axis=1, keepdims=True), have, np.inf).argmin(axis=1)
+
+
+def after_groups(have: np.ndarray, targets: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each row, what the splits have after ``count`` groups of ``size`` went to one split after the other.
+
+    Filling the splits to a common level tells how many groups each gets, but for
+    the last few: as long as a split is more than two groups over the level, its
+    turn comes before the count is used up. Only these last ones, under three for
+    each split, are given out one at a time.
+    """
+    have = have.astype(float)
+    missing = targets - have
+    deep = -np.sort(-missing, axis=1)
+    levels = (np.cumsum(deep, axis=1) - (count * size)[:, None]) / np.arange(1, deep.shape[1] + 1)
+    filled = (deep > levels).cumprod(axis=1).sum(axis=1).clip(1)
+    level = levels[np.arange(len(levels)), filled - 1]
+    given = np.maximum(0.0, np.floor((missing - level[:, None]) / size[:, None]) - 1)
+    have += given * size[:, None]
+    left = count - given.sum(axis=1)
+    while (open_ := np.flatnonzero(left > 0)).size:
+        have[open_, next_split(have[open_], targets[open_])] += size[open_]
+        left[open_] -= 1
+    return have
+
+
 def allocate(sizes: DataFrame, fractions: dict[str, float], seed: int) -> DataFrame:
     """(group_id, split): within each label, groups from large to small go to the split furthest below its share.
 
-    ``sizes(group_id, label, size)``. Ties between splits go to the smaller
-    one, then in order of ``fractions``; ties between groups are shuffled by a
-    seeded hash. The rule is sequential, so it runs per label; it sees one
-    small row per group, not the groups' items.
+    ``sizes(group_id, label, size)``, sizes of 1 or more. Ties between splits go
+    to the smaller one, then in order of ``fractions``; ties between groups are
+    shuffled by a seeded hash. The rule is sequential, but groups of one size are
+    a run whose outcome can be computed at once, and a label of n items has
+    sqrt(2 n) different sizes at most: these are what a label's task sees. What
+    the splits have before each run is then joined to the groups, and each gets
+    its split by its rank within the run.
     """
-    names, shares = list(fractions), list(fractions.values())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "tie", "group_id"], ascending=[False, True, True])
-        total, have, out = float(pdf["size"].sum()), [0] * len(names), []
-        for size in pdf["size"]:
-            best = min(range(len(names)), key=lambda k: (have[k] - shares[k] * total, have[k], k))
-            have[best] += size
-            out.append(names[best])
-        return pd.DataFrame({"group_id": pdf["group_id"].to_numpy(), "split": out})
-
-    tied = sizes.withColumn("tie", F.xxhash64("group_id", F.lit(seed)))
-    return tied.groupBy("label").applyInPandas(run, "group_id long, split string")
+    names, shares = list(fractions), np.array(list(fractions.values()), float)
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size", ascending=False)
+        total = float((pdf["size"] * pdf["n"]).sum())
+        have, starts = np.zeros((1, len(names))), []
+        for size, n in zip(pdf["size"], pdf["n"], strict=True):
+            starts.append(have[0].tolist())
+            have = after_groups(have, shares[None, :] * total, np.array([float(size)]), np.array([float(n)]))
+        return pdf[["label", "size"]].assign(have=starts, total=total)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            have = batch["have"].flatten().to_numpy().reshape(batch.num_rows, len(names))
+            total, size, rank = (batch[c].to_numpy().astype(float) for c in ("total", "size", "rank"))
+            targets = shares[None, :] * total[:, None]
+            chosen = next_split(after_groups(have, targets, size, rank), targets)
+            yield pa.RecordBatch.from_arrays([batch["group_id"], pa.array(np.array(names, object)[chosen], pa.string())], ["group_id", "split"])
+
+    label, wanted = sizes.schema["label"].dataType.simpleString(), sizes.select("group_id").schema.add("split", "string")
+    tie = F.md5(F.concat(F.lit(f"{seed}:"), F.col("group_id").cast("string")))
+    runs = sizes.groupBy("label", F.col("size").cast("long").alias("size")).agg(F.count("*").alias("n"))
+    starts = durable(runs.groupBy("label").applyInPandas(begin, f"label {label}, size long, have array<double>, total double"))
+    ranks = ranking.ranked(sizes.select("group_id", "label", F.col("size").cast("long").alias("size"), tie.alias("tie")), ["label", "size"], ["tie", "group_id"])
+    near = F.broadcast(starts) if starts.count() <= MOST_RUNS else starts
+    met = ranks.alias("r").join(near.alias("s"), F.col("r.label").eqNullSafe(F.col("s.label")) & (F.col("r.size") == F.col("s.size")))
+    return met.select("r.group_id", "r.size", "r.rank", "s.have", "s.total").mapInArrow(place, wanted)
 
 
 def build_splits(grouped: DataFrame, label: str, site: str, least: int = 100, fractions: dict[str, float] | None = None, seed: int = 1337, key: str = "id") -> DataFrame:

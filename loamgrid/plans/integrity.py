@@ -217,7 +217,19 @@ def q_holdout_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.holdout_sites(kept(spark, sf_dir).drop("text"), "cls", "site", 5)
 
 
-@query()
+_SEED = 1337
+#: Groups whose rows are in no held-out site, by size and a seeded hash, go one by one to the split furthest below its share.
+_ALLOCATED = f"""{_HOLD}, drag AS (SELECT DISTINCT group_id FROM g JOIN held USING (cls, site)), rc AS (SELECT group_id, cls, count(*) AS n FROM g WHERE group_id NOT IN (SELECT group_id FROM drag) GROUP BY ALL),
+ sz AS (SELECT group_id, CAST(sum(n) OVER (PARTITION BY group_id) AS BIGINT) AS size, cls FROM rc QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n DESC, cls NULLS FIRST) = 1),
+ sq AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY size DESC, md5('{_SEED}:' || group_id), group_id) AS i, CAST(sum(size) OVER (PARTITION BY cls) AS DOUBLE) AS total FROM sz),
+ al(cls, i, group_id, split, h0, h1, h2) AS (SELECT DISTINCT cls, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM sq
+   UNION ALL SELECT cls, i, group_id, pick, h0 + CASE WHEN pick = 'train' THEN size ELSE 0 END, h1 + CASE WHEN pick = 'val' THEN size ELSE 0 END, h2 + CASE WHEN pick = 'test' THEN size ELSE 0 END FROM (
+     SELECT al.cls, sq.i, sq.group_id, size, h0, h1, h2, list_sort([(h0 - CAST(0.70 AS DOUBLE) * total, h0, 0, 'train'), (h1 - CAST(0.15 AS DOUBLE) * total, h1, 1, 'val'), (h2 - CAST(0.15 AS DOUBLE) * total, h2, 2, 'test')])[1][4] AS pick
+     FROM al JOIN sq ON sq.cls IS NOT DISTINCT FROM al.cls AND sq.i = al.i + 1)),
+ made AS (SELECT group_id, split FROM al WHERE split IS NOT NULL UNION ALL SELECT group_id, 'test_site' FROM drag)"""
+
+
+@query(f"WITH RECURSIVE {_GROUPED}, {_ALLOCATED} SELECT id, group_id, cls, site, split FROM g JOIN made USING (group_id)")
 def q_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.build_splits(durable(grouped(spark, sf_dir)), "cls", "site", least=5).select("id", "group_id", "cls", "site", "split")
 
