@@ -74,12 +74,3 @@ def harvest_sources(items: DataFrame, quality: DataFrame | None, key: str, label
         good = quality.where(F.col("ok") & (F.coalesce("resid_frac", F.lit(1.0)) <= most)).select(key)
         from_ = from_.join(good, key, "left_semi")
     return from_.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(key))).where(F.col("_n") <= per_label).drop("_n")
-
-
-def without_own_class(items: DataFrame, banks: DataFrame, label: str) -> DataFrame:
-    """Each label with the files of all other labels; all files where no other label has any."""
-    labels = items.select(label).distinct()
-    pools = banks.groupBy(F.col(label).alias("of")).agg(F.sort_array(F.collect_list("file")).alias("files"))
-    other = labels.join(F.broadcast(pools), F.col(label) != F.col("of"), "left").groupBy(label).agg(F.sort_array(F.flatten(F.collect_list("files"))).alias("pool"))
-    every = pools.agg(F.sort_array(F.flatten(F.collect_list("files"))).alias("all_files"))
-    return other.join(F.broadcast(every), F.lit(True)).select(label, F.when(F.size("pool") > 0, F.col("pool")).otherwise(F.col("all_files")).alias("pool"))

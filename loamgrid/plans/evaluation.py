@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.functions import models, vec
-from loamgrid.operators import metrics, predict
+from loamgrid.operators import backgrounds, metrics, predict
 from loamgrid.plans.registry import query, read
 from loamgrid.session import durable
 
@@ -255,3 +255,24 @@ def q_gaussian_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = models.gaussian_bayes(items, "label", "v")
     found = items.join(F.broadcast(model), F.lit(True)).select("vec_id", "classes", models.bayes_scores(F.col("v"), F.col("classes"), F.col("total")).alias("s"))
     return found.select("vec_id", F.get("classes", vec.argmax(F.col("s")))["label"].alias("pred"), F.round(F.array_max("s"), 4).alias("score"))
+
+
+def _u(seed: int, key: str = "id") -> str:
+    return f"CAST('0x' || substr(md5({key} || '|{seed}'), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(f"""WITH {_QC}, hb AS (SELECT lang AS label, CAST(doc_id AS VARCHAR) AS file, doc_id % 17 <> 0 AS readable, row_number() OVER (ORDER BY lang NULLS FIRST, CAST(doc_id AS VARCHAR)) - 1 AS place FROM qc WHERE {_REASON} = '' AND coalesce(toxic, 1) <= 0.01),
+ iv AS (SELECT label, min(place) AS first, count(*) AS held FROM hb GROUP BY label), nh AS (SELECT count(*) AS n FROM hb),
+ fb AS (SELECT CAST(item_id AS VARCHAR) AS file, item_id % 5 <> 0 AS readable, row_number() OVER (ORDER BY CAST(item_id AS VARCHAR)) - 1 AS place FROM benchmark), nf AS (SELECT count(*) AS n FROM fb),
+ it AS (SELECT doc_id AS id, lang, nf.n AS nf, nh.n AS nh, coalesce(CASE WHEN held < nh.n THEN held END, 0) AS held, coalesce(first, 0) AS first FROM documents LEFT JOIN iv ON label IS NOT DISTINCT FROM lang CROSS JOIN nh CROSS JOIN nf),
+ dr AS (SELECT *, CASE WHEN {_u(11)} < 0.3 AND nf > 0 THEN CAST(floor({_u(12)} * nf) AS BIGINT) END AS f, CASE WHEN {_u(13)} >= 0.4 AND nh > 0 THEN CAST(floor({_u(14)} * (nh - held)) AS BIGINT) END AS h FROM it),
+ fd AS (SELECT id, lang, fb.file AS ff, hb.file AS hf FROM dr LEFT JOIN fb ON fb.readable AND fb.place = f LEFT JOIN hb ON hb.readable AND hb.place = CASE WHEN h >= first THEN h + held ELSE h END)
+SELECT id AS doc_id, lang, CASE WHEN ff IS NOT NULL THEN 'field' WHEN hf IS NOT NULL THEN 'harvested' ELSE 'procedural' END AS source, coalesce(ff, hf) AS file,
+ CASE WHEN ff IS NULL AND hf IS NULL THEN {list(backgrounds.KINDS)}[CAST(floor({_u(15)} * {len(backgrounds.KINDS)}) AS INTEGER) + 1] END AS kind FROM fd""")
+def q_background_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backdrop for every document: a benchmark item, a sound document of another language, or a made one."""
+    table = quality_table(spark, sf_dir).where(F.col("ok") & (F.coalesce("leak_frac", F.lit(1.0)) <= 0.01))
+    harvested = backgrounds.bank(table.select("lang", F.col("doc_id").cast("string").alias("file"), (F.col("doc_id") % 17 != 0).alias("can")), "lang", readable="can")
+    field = backgrounds.bank(read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("file"), (F.col("item_id") % 5 != 0).alias("can")), readable="can")
+    items = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return backgrounds.draw_backdrops(items, "doc_id", "lang", harvested, field, 11, p_field=0.3, p_procedural=0.4)
