@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import signal, tensor, vec
 from loamgrid.plans.registry import query, read
-from loamgrid.streaming import batch
+from loamgrid.streaming import batch, variables
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,3 +182,22 @@ def q_asof_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     so_far = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.max(F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id", "value"))).over(so_far)
     return both.withColumn("seen", seen).where("event_type = 'click'").select("event_id", F.col("seen.value").alias("last_purchase"))
+
+
+#: Half a day without an event ends what a user's variables hold.
+IDLE = 43_200
+_ACT = "CASE WHEN event_id % 40 = 0 THEN 'reset' WHEN event_id % 4 = 0 THEN 'assign' WHEN event_id % 4 = 1 THEN 'add' ELSE 'read' END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS key, ts AS tm, event_id AS seq, {_ACT} AS act, event_type AS name, round(value, 3) AS v, epoch_us(ts) AS us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+ g AS (SELECT *, lag(us) OVER o AS before, coalesce(us - lag(us) OVER o > {IDLE} * 1000000, false) AS gap FROM e WINDOW o AS (PARTITION BY key ORDER BY tm, seq)),
+ l AS (SELECT *, sum(CAST(gap OR act = 'reset' AS INTEGER)) OVER (PARTITION BY key ORDER BY tm, seq) AS life FROM g),
+ r AS (SELECT *, sum(CAST(act = 'assign' AS INTEGER)) OVER (PARTITION BY key, life, name ORDER BY tm, seq) AS run FROM l),
+ n AS (SELECT *, sum(CASE WHEN act IN ('assign', 'add') THEN v END) OVER (PARTITION BY key, life, name, run ORDER BY tm, seq) AS now FROM r)
+SELECT key, seq, act, name, round(now, 3) AS value, us FROM n WHERE act = 'read' UNION ALL SELECT key, -1, 'expired', NULL, NULL, before + CAST({IDLE} AS BIGINT) * 1000000 FROM g WHERE gap""")
+def q_state_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each reading event finds in its user's variables, and when these expired."""
+    act = F.when(F.col("event_id") % 40 == 0, "reset").when(F.col("event_id") % 4 == 0, "assign").when(F.col("event_id") % 4 == 1, "add").otherwise("read")
+    events = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", act.alias("act"), "event_type", F.round("value", 3).alias("value"))
+    found = variables.batch_variables(events, IDLE, "user_id", "ts", "event_id", "act", "event_type", "value")
+    return found.select("key", "seq", "act", "name", F.round("value", 3).alias("value"), F.unix_micros(F.col("at").cast("timestamp")).alias("us"))
