@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import signal, tensor, vec
 from loamgrid.plans.registry import query, read
-from loamgrid.streaming import batch, variables
+from loamgrid.session import checkpoint_dir
+from loamgrid.streaming import batch, sinks, variables
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +193,7 @@ _ACT = "CASE WHEN event_id % 40 = 0 THEN 'reset' WHEN event_id % 4 = 0 THEN 'ass
 
 
 @query(f"""WITH e AS (SELECT user_id AS key, ts AS tm, event_id AS seq, {_ACT} AS act, event_type AS name, round(value, 3) AS v, epoch_us(ts) AS us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
- g AS (SELECT *, lag(us) OVER o AS before, coalesce(us - lag(us) OVER o > {IDLE} * 1000000, false) AS gap FROM e WINDOW o AS (PARTITION BY key ORDER BY tm, seq)),
+ g AS (SELECT *, lag(us) OVER o AS before, coalesce(us - lag(us) OVER o > CAST({IDLE} AS BIGINT) * 1000000, false) AS gap FROM e WINDOW o AS (PARTITION BY key ORDER BY tm, seq)),
  l AS (SELECT *, sum(CAST(gap OR act = 'reset' AS INTEGER)) OVER (PARTITION BY key ORDER BY tm, seq) AS life FROM g),
  r AS (SELECT *, sum(CAST(act = 'assign' AS INTEGER)) OVER (PARTITION BY key, life, name ORDER BY tm, seq) AS run FROM l),
  n AS (SELECT *, sum(CASE WHEN act IN ('assign', 'add') THEN v END) OVER (PARTITION BY key, life, name, run ORDER BY tm, seq) AS now FROM r)
@@ -201,3 +204,16 @@ def q_state_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", act.alias("act"), "event_type", F.round("value", 3).alias("value"))
     found = variables.batch_variables(events, IDLE, "user_id", "ts", "event_id", "act", "event_type", "value")
     return found.select("key", "seq", "act", "name", F.round("value", 3).alias("value"), F.unix_micros(F.col("at").cast("timestamp")).alias("us"))
+
+
+@query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def q_stream_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, read as a stream into a sink that takes each micro-batch once."""
+    schema = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value").schema
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    # The pattern takes the table as a file and as a folder of files.
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/events.parque[t]")
+    done = sinks.start(events, sinks.keep_newest(f"{folder}/rows", ["user_id"], ["ts", "event_id"]), f"{folder}/state")
+    done.awaitTermination()
+    found = sinks.current(spark, f"{folder}/rows", schema.simpleString()[7:-1].replace(":", " "), ["user_id"], ["ts", "event_id"])
+    return found.select("user_id", "event_id", "event_type", "value")
