@@ -215,5 +215,5 @@ def q_stream_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/events.parque[t]")
     done = sinks.start(events, sinks.keep_newest(f"{folder}/rows", ["user_id"], ["ts", "event_id"]), f"{folder}/state")
     done.awaitTermination()
-    found = sinks.current(spark, f"{folder}/rows", schema.simpleString()[7:-1].replace(":", " "), ["user_id"], ["ts", "event_id"])
+    found = sinks.current(spark, f"{folder}/rows", schema, ["user_id"], ["ts", "event_id"])
     return found.select("user_id", "event_id", "event_type", "value")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.operators import segment
+from loamgrid.functions import text
+from loamgrid.operators import resize, segment
 from loamgrid.plans.registry import query, read
 
 #: Rows and columns of a picture; its frame; sizes of its opening and closing, and of the closing and dilation of a generous mask.
@@ -160,3 +161,46 @@ def q_build_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = ["area_frac", "largest_cc_frac", "border_frac", "leak_frac", "resid_frac"]
     tidy = stats.select("image", *(F.round(c, 6).alias(c) for c in measures), F.round("chroma_inside", 5).alias("chroma_inside"), F.round("chroma_outside", 5).alias("chroma_outside"), "ok", "reason", "method")
     return tidy.join(drawn(rows, "picture"), "image")
+
+
+#: Vectors that make one larger picture of rows of sixteen pixels; the last one has fewer rows, if it has fewer vectors.
+TILES, WIDTH = 4, 16
+
+
+def large_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, y, v): the vectors of TILES neighbouring ids on top of each other, as levels from 0 to 255."""
+    items = read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), 128.0 + F.rint(x * 256)))).alias("v"))
+    rows = items.select((F.col("vec_id") - F.col("vec_id") % TILES).alias("image"), (F.col("vec_id") % TILES * 4).alias("_top"), "v", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_y"))
+    return rows.select("image", (F.col("_top") + F.col("_y")).cast("int").alias("y"), F.slice("v", F.col("_y") * WIDTH + 1, F.lit(WIDTH)).alias("v"))
+
+
+def _band(name: str, sizes: str, to: int) -> str:
+    """name(size, k, i, w): whole weights of old pixel i for new pixel k."""
+    return f"""{name}_c AS (SELECT size, k, greatest(size / {to}, 1.0) AS wide, (k + 0.5) * (size / {to}) AS c FROM ({sizes}) CROSS JOIN range({to}) r(k)),
+ {name}_x AS (SELECT size, k, i, pi() * (i - c + 0.5) / wide AS a FROM {name}_c CROSS JOIN range(4096) q(i) WHERE i >= greatest(0, floor(c - wide * {resize.LOBES} + 0.5)) AND i < least(size, floor(c + wide * {resize.LOBES} + 0.5))),
+ {name}_l AS (SELECT size, k, i, CASE WHEN abs(a) >= pi() * {resize.LOBES} THEN 0 WHEN a = 0 THEN 1 ELSE {resize.LOBES} * sin(a) * sin(a / {resize.LOBES}) / (a * a) END AS w FROM {name}_x),
+ {name} AS (SELECT size, k, i, CAST(floor(w / sum(w) OVER (PARTITION BY size, k) * {2**resize.DIGITS} + 0.5) AS BIGINT) AS w FROM {name}_l)"""
+
+
+def _level(total: str) -> str:
+    return f"greatest(0, least(255, (CAST({total} AS BIGINT) + {2 ** (resize.DIGITS - 1)}) >> {resize.DIGITS}))"
+
+
+def _resized(name: str, height: int, width: int) -> str:
+    """name(image, y, x, v): the large pictures in another size."""
+    return f"""{_band(name + '_a', f'SELECT {WIDTH} AS size', width)}, {name}_n AS (SELECT image, y, k AS x, {_level('sum(w * v)')} AS v FROM lp JOIN {name}_a ON i = x GROUP BY ALL),
+ {name}_h AS (SELECT image, max(y) + 1 AS size FROM lp GROUP BY image), {_band(name + '_d', f'SELECT DISTINCT size FROM {name}_h', height)},
+ {name} AS (SELECT image, k AS y, x, {_level('sum(w * v)')} AS v FROM {name}_n JOIN {name}_h USING (image) JOIN {name}_d d ON d.size = {name}_h.size AND i = y GROUP BY ALL)"""
+
+
+_LP = f"""lp AS (SELECT vec_id - vec_id % {TILES} AS image, vec_id % {TILES} * 4 + p // {WIDTH} AS y, p % {WIDTH} AS x, CAST(greatest(0, least(255, 128 + round_even(256 * CAST(embedding[p + 1] AS DOUBLE), 0))) AS BIGINT) AS v FROM embeddings CROSS JOIN range(64) r(p))"""
+
+
+@query(f"""WITH {_LP}, {_resized('s', 8, 9)}, {_resized('t', 6, 6)}, b AS (SELECT l.image, string_agg(CASE WHEN r.v > l.v THEN '1' ELSE '0' END, '' ORDER BY l.y, l.x) AS bits FROM s l JOIN s r ON r.image = l.image AND r.y = l.y AND r.x = l.x + 1 GROUP BY l.image)
+SELECT b.image, lower(string_agg(printf('%x', CAST(CAST(substr(bits, CAST(4 * g + 1 AS INTEGER), 4) AS BIT) AS INTEGER)), '' ORDER BY g)) AS hex, any_value(thumb) AS thumb
+FROM b CROSS JOIN range(16) q(g) JOIN (SELECT image, string_agg(v, ' ' ORDER BY y, x) AS thumb FROM t GROUP BY image) USING (image) GROUP BY b.image""")
+def q_picture_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The difference hash of each larger picture, and a thumbnail of it."""
+    rows = large_pictures(spark, sf_dir)
+    hashes = resize.dhash(rows).select("image", text.hash_to_hex(F.col("h")).alias("hex"))
+    return hashes.join(resize.thumbnails(rows, 6).select("image", F.array_join(F.col("thumb").cast("array<string>"), " ").alias("thumb")), "image")

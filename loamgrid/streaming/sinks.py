@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 #: What Spark's writers leave in a folder that is complete.
@@ -54,7 +55,7 @@ def written_once(folder: str, change: Callable[[DataFrame], DataFrame] | None =
     return write
 
 
-def read_batches(spark: SparkSession, folder: str, schema: str, after: int = -1) -> DataFrame:
+def read_batches(spark: SparkSession, folder: str, schema: str | T.StructType, after: int = -1) -> DataFrame:
     """The rows of all complete batches after a given one, with ``batch``; none if there are none."""
     paths = [p for p in _whole(spark, folder) if "/batch=" in p and int(p.rsplit("=", 1)[1]) > after]
     rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
@@ -78,7 +79,7 @@ def keep_newest(folder: str, keys: Sequence[str], order: Sequence[str]) -> Write
     return written_once(folder, lambda rows: newest(rows, keys, order))
 
 
-def current(spark: SparkSession, folder: str, schema: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def current(spark: SparkSession, folder: str, schema: str | T.StructType, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key of all batches; what was compacted is read from there.
 
     Where rows are equal in ``order``, a later batch's row is later.
@@ -91,7 +92,7 @@ def current(spark: SparkSession, folder: str, schema: str, keys: Sequence[str],
     return newest(rows, keys, [*order, "batch"]).drop("batch")
 
 
-def compact(spark: SparkSession, folder: str, schema: str, keys: Sequence[str], order: Sequence[str]) -> int:
+def compact(spark: SparkSession, folder: str, schema: str | T.StructType, keys: Sequence[str], order: Sequence[str]) -> int:
     """Writes the current table to a folder that later reads start from; the last batch in it, -1 if there is none.
 
     Nothing is deleted: readers that began before go on with what they listed.
