@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import text, vec
-from loamgrid.operators import dedupe, hamming, ranking, splits
+from loamgrid.operators import calibration, dedupe, hamming, ranking, splits
 from loamgrid.operators.components import connected_components
 from loamgrid.plans.registry import query, read
 from loamgrid.session import durable
@@ -65,7 +65,13 @@ def q_parse_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir).withColumn("h", text.simhash(F.split(F.lower("text"), " "))).drop("text")
+    return spread(kept(spark, sf_dir)).withColumn("h", text.simhash(F.split(F.lower("text"), " "))).drop("text")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt to all cores if they are read from fewer files than that; rows of many files stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 _SIM = f"""{_FILES}, tok AS (SELECT DISTINCT id, unnest(string_split(lower(text), ' ')) AS t FROM k),
@@ -148,6 +154,28 @@ def q_dup_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.join(F.broadcast(at), F.lit(True)).select("n", *marks.values(), "lo", "hi")
 
 
+_NEGATIVE = f"""ln_ AS (SELECT id AS a, site AS la, row_number() OVER (ORDER BY {{u}}, id) AS place FROM k), rn_ AS (SELECT id AS b, site AS lb, row_number() OVER (ORDER BY {{v}}, id) AS place FROM k),
+ neg AS (SELECT a, b FROM ln_ JOIN rn_ USING (place) WHERE place <= 12000 AND la <> lb ORDER BY place LIMIT 3000)""".format(u="CAST('0x' || substr(md5(id || '|0'), 1, 8) AS BIGINT) / 4294967296.0", v="CAST('0x' || substr(md5(id || '|1'), 1, 8) AS BIGINT) / 4294967296.0")
+_POPULATIONS = f"""{_PAIRS % 7}, {_FEATURES}, {_NEGATIVE},
+ pop AS (SELECT 'same key' AS population, x.id AS a, y.id AS b FROM k x JOIN k y ON x.cls = y.cls AND x.site = y.site AND length(x.text) % 50 = length(y.text) % 50 AND x.id < y.id UNION ALL SELECT 'cross class', a, b FROM neg UNION ALL SELECT 'candidates', a, b FROM pairs),
+ val AS (SELECT population, a, b, round(corr(x.x, y.x), 5) AS r FROM pop JOIN fv x ON x.id = a JOIN fv y ON y.id = b AND y.d = x.d GROUP BY ALL)"""
+
+
+def calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The files as pictures: those of a class, a site and a remainder of the length are likely copies, and sites are the labels."""
+    lengths = kept(spark, sf_dir).select("id", (F.length("text") % 50).alias("shot"))
+    items = features(spark, sf_dir).join(simhashes(spark, sf_dir).select("id", "h"), "id").join(lengths, "id")
+    return calibration.calibrate_duplicates(items, ["cls", "site", "shot"], "site", "h", "feature", THRESHOLDS, distance=7)
+
+
+@query(f"""WITH {_POPULATIONS} SELECT population, count(r) AS n, round(min(r), 4) AS lo, round(max(r), 4) AS hi, round(quantile_cont(r, 0.05), 4) AS p05, round(quantile_cont(r, 0.5), 4) AS p50, round(quantile_cont(r, 0.99), 4) AS p99
+FROM val WHERE NOT isnan(r) GROUP BY population""")
+def q_threshold_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of likely copies, of unlike files and of candidates."""
+    measured, _ = calibrated(spark, sf_dir)
+    return measured.select("population", "n", *(F.round(c, 4).alias(c) for c in ("lo", "hi", "p05", "p50", "p99")))
+
+
 _COMP = f"{_PAIRS % 7}, both_ways AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), reach(node, other) AS (SELECT x, x FROM both_ways UNION SELECT reach.node, y FROM reach JOIN both_ways ON other = x), comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"
 
 
