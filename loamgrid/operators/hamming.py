@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.session import durable
+
 #: Blocks of bits that hashes are indexed by.
 CHUNKS = 8
+#: Hashes of a bucket that are compared in pairs, and of a block of a larger one; rows of a hash and a number that are broadcast.
+SMALL, BLOCK, MOST_BROADCAST = 8, 512, 300_000
 
 
 def chunked(items: DataFrame, h: str = "h") -> DataFrame:
@@ -28,28 +35,141 @@ def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", s
     so no distinct is needed.
     """
     pieces = distance + shared
+    cuts, piece, sets = _cut(pieces, shared)
+    keyed = _keyed(items, pieces, shared, key, h)
+    other = keyed.select(F.col("a").alias("b"), F.col("ha").alias("hb"), "no", "v")
+    both = keyed.join(other, ["no", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance))
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    # the first set in the order of combinations is made of the first pieces that agree
+    alike = F.filter(F.array(*[F.when(piece(differ, k) == 0, k) for k in range(pieces)]), lambda k: k.isNotNull())
+    first = sum((alike[n].cast("long") * 64 ** (shared - 1 - n) for n in range(shared)), F.lit(0).cast("long"))
+    code = F.array(*[F.lit(sum(64 ** (shared - 1 - n) * k for n, k in enumerate(s))).cast("long") for s in sets])
+    return both.where(code[F.col("no")] == first).select("a", "b", F.bit_count(differ).cast("int").alias("distance"))
+
+
+def _cut(pieces: int, shared: int) -> tuple:
+    """Where hashes are cut, the expression of a piece, and the sets of pieces that a bucket is made of."""
     if pieces > 64:
         raise ValueError("hashes of 64 bits have no more than 64 pieces")
     cuts = [64 * k // pieces for k in range(pieces + 1)]
-    piece = lambda x, k: F.shiftrightunsigned(x, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
-    sets = list(combinations(range(pieces), shared))
+    return cuts, lambda x, k: F.shiftrightunsigned(x, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)), list(combinations(range(pieces), shared))
 
-    def joined(x, chosen):
+
+def _keyed(items: DataFrame, pieces: int, shared: int, key: str, h: str) -> DataFrame:
+    """(a, ha, no, v): each item in the buckets of its pieces, ``shared`` at once."""
+    cuts, piece, sets = _cut(pieces, shared)
+
+    def joined(x: Column, chosen: tuple) -> Column:
         out = F.lit(0).cast("long")
         for k in chosen:
             out = F.shiftleft(out, cuts[k + 1] - cuts[k]).bitwiseOR(piece(x, k))
         return out
 
     buckets = F.array(*[F.struct(F.lit(n).alias("no"), joined(F.col(h), s).alias("v")) for n, s in enumerate(sets)])
-    keyed = items.select(F.col(key).alias("a"), F.col(h).alias("ha"), F.explode(buckets).alias("p")).select("a", "ha", "p.no", "p.v")
-    other = keyed.select(F.col("a").alias("b"), F.col("ha").alias("hb"), "no", "v")
-    both = keyed.join(other, ["no", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance))
-    differ = F.col("ha").bitwiseXOR(F.col("hb"))
-    # the first set in the order of combinations is made of the first pieces that agree
-    alike = F.filter(F.array(*[F.when(piece(differ, k) == 0, k) for k in range(pieces)]), lambda k: k.isNotNull())
-    first = sum((alike[n].cast("long") * 64 ** (shared - 1 - n) for n in range(shared)), F.lit(0).cast("long"))
-    code = F.array(*[F.lit(sum(64 ** (shared - 1 - n) * k for n, k in enumerate(s))).cast("long") for s in sets])
-    return both.where(code[F.col("no")] == first).select("a", "b", F.bit_count(differ).cast("int").alias("distance"))
+    return items.select(F.col(key).alias("a"), F.col(h).alias("ha"), F.explode(buckets).alias("p")).select("a", "ha", "p.no", "p.v")
+
+
+def forest(hashes: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links that connect the hashes as all their links of ``distance`` bits or less do: each is met once, breadth first."""
+    todo, found = np.ones(len(hashes), bool), []
+    for first in range(len(hashes)):
+        queue = [first] if todo[first] else []
+        todo[first] = False
+        while queue:
+            i, left = queue.pop(), np.flatnonzero(todo)
+            if not len(left):
+                return found
+            new = left[np.bitwise_count(hashes[left] ^ hashes[i]) <= distance]
+            todo[new] = False
+            found += [(i, int(j)) for j in new]
+            queue += new.tolist()
+    return found
+
+
+def new_links(hashes: np.ndarray, own: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A forest of one block; of two, what connects the parts that each has by itself."""
+    if own[0] == own[-1] and (own == own[0]).all():
+        return forest(hashes, distance)
+    root = list(range(len(hashes)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for block in np.unique(own):
+        at = np.flatnonzero(own == block)
+        for i, j in forest(hashes[at], distance):
+            root[find(int(at[j]))] = find(int(at[i]))
+    found = []
+    for i, j in forest(hashes, distance):
+        a, b = find(i), find(j)
+        if a != b:
+            root[b] = a
+            found.append((i, j))
+    return found
+
+
+def near_links(items: DataFrame, distance: int, key: str = "id", h: str = "h", shared: int = 2) -> DataFrame:
+    """(a, b): links between near hashes that connect items as those of :func:`near_pairs` do, but not all pairs of a group.
+
+    Items of one hash are linked through the least of them, and only that one
+    meets others. Hashes of a bucket of few are compared in pairs; those of a
+    larger one in blocks, of which each gives a forest, and two at a time what
+    connects their parts. Keys are whole numbers; a null hash is linked with
+    nothing.
+    """
+    rows = items.where(F.col(h).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(h).alias("h"))
+    heads = durable(rows.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("n")))
+    several = heads.where("n > 1").select("h", "head")
+    same = rows.join(_few(several), "h").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    keyed = _keyed(heads, distance + shared, shared, "head", "h")
+    sizes = keyed.groupBy("no", "v").agg(F.count("*").alias("n")).where("n > 1")
+    met = durable(keyed.join(sizes, ["no", "v"]))
+    small = met.where(F.col("n") <= SMALL).select("no", "v", "a", "ha")
+    other = small.select("no", "v", F.col("a").alias("b"), F.col("ha").alias("hb"))
+    near = small.join(other, ["no", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance)).select("a", "b")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = met.where(F.col("n") > SMALL).withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int"))
+    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("no", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "a", "ha")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links(rows: pa.Table) -> pa.RecordBatch:
+            ids, hashes = rows["a"].to_numpy(), rows["ha"].to_numpy().view(np.uint64)
+            keys = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("no", "v", "p", "q")])
+            cuts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            own = rows["own"].to_numpy()
+            found = [(ids[s + i], ids[s + j]) for s, e in zip(cuts, np.append(cuts[1:], len(ids))) for i, j in new_links(hashes[s:e], own[s:e], distance)]
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(ends[:, 0]), "b": np.ascontiguousarray(ends[:, 1])})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last block of a batch may go on in the next one.
+            last = np.ones(batch.num_rows, bool)
+            for c in ("no", "v", "p", "q"):
+                last &= batch[c].to_numpy() == batch[c][batch.num_rows - 1].as_py()
+            begin = batch.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+            if begin:
+                yield links(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+                held = []
+            elif held and any(held[0][c][0].as_py() != batch[c][0].as_py() for c in ("no", "v", "p", "q")):
+                yield links(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    parts = dealt.repartition("no", "v", "p", "q").sortWithinPartitions("no", "v", "p", "q", "a")
+    return same.unionByName(near).unionByName(parts.mapInArrow(run, "a long, b long"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` of two numbers, to be broadcast while they are few; larger tables are joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
 def bucket_sizes(items: DataFrame, h: str = "h") -> DataFrame:

@@ -181,13 +181,13 @@ _COMP = f"{_PAIRS % 7}, both_ways AS (SELECT a AS x, b AS y FROM pairs UNION SEL
 
 @query(f"WITH RECURSIVE {_COMP} SELECT node, component FROM comp")
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(hamming.near_pairs(durable(simhashes(spark, sf_dir)), 7))
+    return connected_components(hamming.near_links(durable(simhashes(spark, sf_dir)), 7))
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept files with the group of their near-duplicates; the site stands for the class, so that groups can conflict."""
     hashed = durable(simhashes(spark, sf_dir))
-    pairs = hamming.near_pairs(hashed, 7)
+    pairs = hamming.near_links(hashed, 7)
     return splits.assign_groups(hashed.select("id", "cls", "site"), pairs, ["id"])
 
 
