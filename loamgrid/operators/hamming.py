@@ -15,7 +15,7 @@ from loamgrid.session import durable
 #: Blocks of bits that hashes are indexed by.
 CHUNKS = 8
 #: Hashes of a bucket that are compared in pairs, and of a block of a larger one; rows of a hash and a number that are broadcast.
-SMALL, BLOCK, MOST_BROADCAST = 8, 512, 300_000
+SMALL, BLOCK, MOST_BROADCAST = 8, 8192, 300_000
 
 
 def chunked(items: DataFrame, h: str = "h") -> DataFrame:
