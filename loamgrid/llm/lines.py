@@ -200,9 +200,10 @@ def pair_simhashes(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 ROW = np.dtype([("run", "<u4"), ("id", "<i8"), ("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("own", "?"), ("far", "?")])
 #: A line's document, key, and number in it.
 LINE = np.dtype([("did", "<i8"), ("row", "<i8"), ("key", "<i8"), ("line_no", "<i4")])
-#: What comes of a shard: a line (key, did, row, line_no), an edge between keys, or a key in a group (a run that many unlike lines have).
+#: What comes of a shard: a line (key, did, row, line_no), an edge between keys, a key in a group (a run that many unlike lines have), or a key
+#: among those that edges of a run connect, in which edges stand for pairs that aren't written.
 FOUND = "kind int, a long, b long, c long, line_no int"
-IS_LINE, IS_EDGE, IS_GROUP = range(3)
+IS_LINE, IS_EDGE, IS_GROUP, IS_SHARED = range(4)
 
 
 def piece_table(docs: DataFrame, shards: list[int]) -> DataFrame:
@@ -281,14 +282,17 @@ def run_bounds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(rows)))
 
 
-def run_links(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, rest): pairs of places in ``rows`` that connect the lines of a run that may be similar, and the rows of runs with too many unlike lines.
+def run_links(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(edges, rest, held, part): pairs of places in ``rows`` that connect the lines of a run that may be similar, and the rows of runs with too many unlike lines.
 
     In runs of many lines those that are very close are connected first, so that
-    they stay connected whatever becomes of the other edges.
+    they stay connected whatever becomes of the other edges. ``held`` are the
+    rows of these runs that edges connect, and ``part`` names what connects
+    them: not all of its pairs have edges, so that if some of its edges turn out
+    to be none, its lines must be compared again.
     """
     first, count = run_bounds(rows)
-    edges, rest = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+    edges, rest, held, part = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for c in range(2, PAIRS_UP_TO + 1):
         a, b = np.triu_indices(c, 1)
         every = first[count == c]
@@ -303,7 +307,13 @@ def run_links(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             rest.append(np.arange(f, f + c))
         else:
             edges += [links + f for forest in forests for links in forest]
-    return np.concatenate(edges), np.concatenate(rest)
+            label = np.arange(c)
+            for links in forests[-1]:  # lines come from those that were reached before
+                label[links[:, 1]] = label[links[:, 0]]
+            several = np.flatnonzero(np.bincount(label, minlength=c)[label] > 2)
+            held.append(several + f)
+            part.append(label[several] + f)
+    return np.concatenate(edges), np.concatenate(rest), np.concatenate(held), np.concatenate(part)
 
 
 def found_rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -314,11 +324,12 @@ def found_rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k : k + 50_000], np.int32 if n in ("kind", "line_no") else np.int64)) for n, x in zip(names, whole, strict=True)], names)
 
 
-def lines_and_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines(did, row, line_no, key), edges(a, b), groups(gid, id)) of ``docs(did, row, text)``.
+def lines_and_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(lines(did, row, line_no, key), edges(a, b), groups(gid, id), shared(gid, id)) of ``docs(did, row, text)``.
 
     ``lines`` has every line with a word; keys of lines that may be similar are
-    connected by edges or in a group.
+    connected by edges or in a group. ``shared`` are the lines of a run of many
+    that its edges connect.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -339,14 +350,17 @@ def lines_and_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
             rows = shared_runs(held.pop(shard))
             if not len(rows):
                 continue
-            at, rest = run_links(rows)
+            at, rest, held_rows, part = run_links(rows)
             ends = np.unique(np.sort(rows["id"][at], axis=1), axis=0)
             yield from found_rows(IS_EDGE, ends[:, 0], ends[:, 1])
             yield from found_rows(IS_GROUP, rows["id"][rest], rows["run"][rest].astype(np.int64) | np.int64(shard) << np.int64(32))
+            name = mixed(rows["id"][part].view(np.uint64) ^ mixed(rows["run"][part].astype(np.uint64)))
+            yield from found_rows(IS_SHARED, rows["id"][held_rows], name.view(np.int64))
 
     found = durable(piece_table(docs, shards).repartition(n, "shard").mapInArrow(run, FOUND))
     lines = found.where(F.col("kind") == IS_LINE).select(F.col("b").alias("did"), F.col("c").alias("row"), "line_no", F.col("a").alias("key"))
-    return lines, found.where(F.col("kind") == IS_EDGE).select("a", "b"), found.where(F.col("kind") == IS_GROUP).select(F.col("b").alias("gid"), F.col("a").alias("id"))
+    named = lambda kind: found.where(F.col("kind") == kind).select(F.col("b").alias("gid"), F.col("a").alias("id"))
+    return lines, found.where(F.col("kind") == IS_EDGE).select("a", "b"), named(IS_GROUP), named(IS_SHARED)
 
 
 def places(a: list) -> dict:
@@ -492,13 +506,23 @@ def marked_alike(edges: DataFrame, known: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
+def parted(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``shared(gid, id)`` whose lines are in several of ``groups(gid, id)``, or in none; groups of the same lines count once."""
+    own = groups.select("id", F.col("gid").alias("own"))
+    named = shared.join(sized(own), "id", "left").select("gid", "id", F.coalesce("own", "id").alias("own"))
+    apart = named.groupBy("gid").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("ids")).where("lo < hi")
+    once = compact(apart.groupBy("n", "ids").agg(F.min("gid").alias("gid")).select("gid"))
+    return shared.join(sized(once), "gid")
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(did, row, lines): the numbers of the lines that go, of each row of :func:`with_row` that has such."""
-    lines, edges, large = lines_and_candidates(docs)
+    lines, edges, large, shared = lines_and_candidates(docs)
     edges = compact(edges.distinct())
     ends = edges.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select(F.col("id").alias("key")))
     known = candidate_words(docs, lines, compact(ends.distinct()))
-    groups = connected_components(marked_alike(edges, known)).select(F.col("component").alias("gid"), F.col("node").alias("id")).unionByName(large)
+    alike = compact(connected_components(marked_alike(edges, known)).select(F.col("component").alias("gid"), F.col("node").alias("id")))
+    groups = alike.unionByName(large).unionByName(parted(shared, alike))
     items = groups.join(known.select("id", F.col("n").alias("weight")), "id").select("id", "gid", "weight")
     linked = compact(linked_components(items, lambda asked: known.select("id", "payload").join(sized(asked), "id"), link, BLOCK_WEIGHT, elements))
     named = lines.join(sized(linked), F.col("key") == F.col("node"), "left").select("did", "row", "line_no", F.coalesce("component", "key").alias("group"))

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from loamgrid.llm import lines
@@ -130,3 +131,53 @@ def test_lines_of_documents_against_an_exact_search(spark, monkeypatch):
     lines.repeated_lines(docs).count()
     group = lambda k: got.get(k, k)
     assert len(links) > 20 and sum(group(a) == group(b) for a, b in links) >= 0.98 * len(links)
+
+
+def grown_families(rng, sizes, copies):
+    """Lines that differ from their family's first by up to a fifth of their words, at random places; not all are similar to each other."""
+    out = []
+    for n in sizes:
+        base = [rng.choice(WORDS) for _ in range(n)]
+        for _ in range(copies):
+            line = list(base)
+            for at in rng.sample(range(n), rng.randrange(n // 12, n // 5)):
+                line[at] = rng.choice(WORDS)
+            out.append(line)
+    rng.shuffle(out)
+    return out
+
+
+def lost_links(texts, found):
+    """Similar pairs, and those of them that ``found`` puts in different groups."""
+    n, lost = 0, 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = texts[i], texts[j]
+        most = max(len(a), len(b)) // 5
+        if abs(len(a) - len(b)) <= most and lines.edit_distance(a, b, most) <= most:
+            n += 1
+            lost += found[i] != found[j]
+    return n, lost
+
+
+def groups_of(spark, texts, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got, linked = {}, lines.linked_components
+
+    def seen(*args):
+        found = linked(*args)
+        got.update({r["node"]: r["component"] for r in found.collect()})
+        return found
+
+    with monkeypatch.context() as m:
+        m.setattr(lines, "linked_components", seen)
+        lines.repeated_lines(lines.with_row(docs)).count()
+    keys = [int(lines.Lines([" ".join(t)]).key[0]) for t in texts]
+    return [got.get(k, k) for k in keys]
+
+
+@pytest.mark.parametrize("copies", [6, 23, 60, 200])
+def test_families_of_many_lines_keep_their_links(spark, monkeypatch, copies):
+    rng = random.Random(copies)
+    texts = grown_families(rng, [30, 40, 60, 30, 40, 60] if copies < 100 else [40, 90], copies)
+    n, lost = lost_links(texts, groups_of(spark, texts, monkeypatch))
+    assert n > 10 and lost <= n * 0.01, (n, lost)
