@@ -29,9 +29,9 @@ from loamgrid.session import durable
 #: Lines are similar if at most one in so many words of the longer one must be edited.
 EDITS = 5
 #: Words up to which a line's pieces are sought in all places; longer lines have a sample of runs instead.
-PIECED = 20
+PIECED = 32
 #: Words of a shared piece, at most; words of a sampled run, and runs sampled.
-PIECE, RUN, SAMPLE = 4, 3, 10
+PIECE, RUN, SAMPLE = 4, 3, 14
 #: Lines of up to so many words are told apart by 128 bits that mark their words, which loses none; longer ones by a SimHash.
 SET_WORDS = 120
 #: Bits of 128 in which SimHashes of similar lines may differ: 36 are expected at one replaced word in five, with a deviation of 5.
@@ -119,8 +119,8 @@ def runs_of(ids: np.ndarray, words: int) -> np.ndarray:
     return mixed(run + np.uint64(words))
 
 
-def pieces(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, line, far, own) of the runs of words that lines share with similar ones.
+def pieces(ids: np.ndarray, starts: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, line, far, own) of the runs of words that lines share with similar ones; if ``exact``, the pieces of lines of any length.
 
     ``ids`` are the hashes of the words of lines that begin at ``starts``.
     ``own`` marks the pieces of a line itself and sampled runs; the rest are
@@ -128,7 +128,9 @@ def pieces(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     than SET_WORDS words; runs of one kind meet no other kind.
     """
     n = np.diff(np.append(starts, len(ids)))
-    found = whole_pieces(*some_lines(ids, n, n <= PIECED))
+    found = whole_pieces(*some_lines(ids, n, (n <= PIECED) | exact), exact)
+    if exact:
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     run, line, n_of = least_runs(*some_lines(ids, n, n >= reaches(PIECED)))
     for far, some in ((False, n_of <= SET_WORDS), (True, n_of >= reaches(SET_WORDS))):
         found.append((mixed(run[some] ^ np.uint64(0x5851F42D4C957F2D + far)), line[some], np.full(some.sum(), far), np.ones(some.sum(), bool)))
@@ -142,8 +144,8 @@ def some_lines(ids: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> tuple[np.n
     return ids[np.repeat(wanted, n)], np.repeat(np.flatnonzero(wanted), size), np.arange(size.sum()) - np.repeat(starts, size), np.repeat(size, size)
 
 
-def whole_pieces(ids: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.ndarray) -> list[tuple]:
-    """The pieces of short lines and the runs in which those of similar lines are sought."""
+def whole_pieces(ids: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.ndarray, exact: bool = False) -> list[tuple]:
+    """The pieces of lines and the runs in which those of similar lines are sought, of up to PIECED words or, if ``exact``, of any number."""
     number = size // EDITS + 1
     no = -(-place * number // size)
     first = (no < number) & (no * size // number == place)
@@ -151,8 +153,10 @@ def whole_pieces(ids: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.
     for k in range(2, PIECE + 1):
         run = runs_of(ids, k)
         fits = slice(len(run))
-        at = np.flatnonzero((place[fits] + k <= size[fits]) & SOUGHT[k][size[fits]])
-        found.append((run[at], line[at], np.zeros(len(at), bool), first[at] & OWN[k][size[at]]))
+        # From 19 words on pieces are of PIECE words, whatever the length.
+        sought = (SOUGHT[k] | (np.arange(PIECED + 1) >= reaches(PIECED)) & (k == PIECE)) if exact else SOUGHT[k]
+        at = np.flatnonzero((place[fits] + k <= size[fits]) & sought[np.minimum(size[fits], PIECED)])
+        found.append((run[at], line[at], np.zeros(len(at), bool), first[at] & OWN[k][np.minimum(size[at], PIECED)]))
     return found
 
 
@@ -206,7 +210,7 @@ FOUND = "kind int, a long, b long, c long, line_no int"
 IS_LINE, IS_EDGE, IS_GROUP, IS_SHARED = range(4)
 
 
-def piece_table(docs: DataFrame, shards: list[int]) -> DataFrame:
+def piece_table(docs: DataFrame, shards: list[int], exact: bool = False) -> DataFrame:
     """(shard, rows, lines): packed ROWs of the lines of ``docs(did, row, text)``, dealt to ``shards`` by the runs' hashes, and LINEs, in turn.
 
     A line that is repeated within a task has mostly one lot of ROWs.
@@ -234,7 +238,7 @@ def piece_table(docs: DataFrame, shards: list[int]) -> DataFrame:
             starts = np.cumsum(n) - n
             ids = found.ids[np.repeat(found.starts[first] - starts, n) + np.arange(n.sum())]
             marks, sims = word_sets(ids, starts), pair_simhashes(ids, starts)
-            h, line, far, own = pieces(ids, starts)
+            h, line, far, own = pieces(ids, starts, exact)
             shard = ((h >> np.uint64(32)) % np.uint64(len(labels))).astype(np.uint16 if len(labels) < 1 << 16 else np.uint32)
             order = np.argsort(shard, kind="stable")
             packed = np.empty(len(h), ROW)
@@ -324,7 +328,7 @@ def found_rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k : k + 50_000], np.int32 if n in ("kind", "line_no") else np.int64)) for n, x in zip(names, whole, strict=True)], names)
 
 
-def lines_and_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def lines_and_candidates(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(lines(did, row, line_no, key), edges(a, b), groups(gid, id), shared(gid, id)) of ``docs(did, row, text)``.
 
     ``lines`` has every line with a word; keys of lines that may be similar are
@@ -357,7 +361,7 @@ def lines_and_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
             name = mixed(rows["id"][part].view(np.uint64) ^ mixed(rows["run"][part].astype(np.uint64)))
             yield from found_rows(IS_SHARED, rows["id"][held_rows], name.view(np.int64))
 
-    found = durable(piece_table(docs, shards).repartition(n, "shard").mapInArrow(run, FOUND))
+    found = durable(piece_table(docs, shards, exact).repartition(n, "shard").mapInArrow(run, FOUND))
     lines = found.where(F.col("kind") == IS_LINE).select(F.col("b").alias("did"), F.col("c").alias("row"), "line_no", F.col("a").alias("key"))
     named = lambda kind: found.where(F.col("kind") == kind).select(F.col("b").alias("gid"), F.col("a").alias("id"))
     return lines, found.where(F.col("kind") == IS_EDGE).select("a", "b"), named(IS_GROUP), named(IS_SHARED)
@@ -515,9 +519,9 @@ def parted(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return shared.join(sized(once), "gid")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
     """(did, row, lines): the numbers of the lines that go, of each row of :func:`with_row` that has such."""
-    lines, edges, large, shared = lines_and_candidates(docs)
+    lines, edges, large, shared = lines_and_candidates(docs, exact)
     edges = compact(edges.distinct())
     ends = edges.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select(F.col("id").alias("key")))
     known = candidate_words(docs, lines, compact(ends.distinct()))
@@ -533,7 +537,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("did", "row").agg(F.collect_set("line_no").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``docs`` with its repeated and nearly repeated lines cut from ``text``.
 
     Adds n_lines (before) and n_removed to all columns. Of each group the
@@ -541,12 +545,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     are what newlines part; lines without a word stay, and lines of fewer than
     EDITS words are similar only if equal. Letters of scripts that put no spaces
     between words count as words. Null and empty texts are returned as they
-    are, with 0 lines if null. Rows that repeat a doc_id and a text are one
+    are, with 0 lines if null. Lines of over PIECED words are compared if they
+    share one of SAMPLE runs of words; ``exact`` looks for the pieces of all
+    lines instead, with about a row for each word. Rows that repeat a doc_id and a text are one
     document; a null doc_id comes before all others. An empty table gives an
     empty result.
     """
     keyed = with_row(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c in ("did", "row", "lines", "n_lines", "n_removed")}))
-    gone = durable(repeated_lines(keyed))
+    gone = durable(repeated_lines(keyed, exact))
 
     joined = keyed.join(sized(gone), ["did", "row"], "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)

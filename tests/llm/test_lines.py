@@ -159,7 +159,7 @@ def lost_links(texts, found):
     return n, lost
 
 
-def groups_of(spark, texts, monkeypatch):
+def groups_of(spark, texts, monkeypatch, exact=False):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got, linked = {}, lines.linked_components
 
@@ -170,7 +170,7 @@ def groups_of(spark, texts, monkeypatch):
 
     with monkeypatch.context() as m:
         m.setattr(lines, "linked_components", seen)
-        lines.repeated_lines(lines.with_row(docs)).count()
+        lines.repeated_lines(lines.with_row(docs), exact).count()
     keys = [int(lines.Lines([" ".join(t)]).key[0]) for t in texts]
     return [got.get(k, k) for k in keys]
 
@@ -181,3 +181,16 @@ def test_families_of_many_lines_keep_their_links(spark, monkeypatch, copies):
     texts = grown_families(rng, [30, 40, 60, 30, 40, 60] if copies < 100 else [40, 90], copies)
     n, lost = lost_links(texts, groups_of(spark, texts, monkeypatch))
     assert n > 10 and lost <= n * 0.01, (n, lost)
+
+
+def test_the_exact_search_loses_no_link_at_any_length(spark, monkeypatch):
+    rng = random.Random(77)
+    texts = []
+    for n in [5, 9, 14, 19, 20, 24, 25, 31, 33, 40, 41, 64, 119, 121, 150, 260]:
+        base = [rng.choice(WORDS) for _ in range(n)]
+        texts.append(base)
+        for _ in range(4):  # as many edits as are allowed, at the worst places for runs
+            texts.append(edited(rng, base, n // 5))
+    texts = [t for t in texts if len(t) >= lines.EDITS]  # shorter ones are similar only if equal
+    n, lost = lost_links(texts, groups_of(spark, texts, monkeypatch, exact=True))
+    assert n > 60 and lost == 0, (n, lost)
