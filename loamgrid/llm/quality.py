@@ -6,7 +6,11 @@ the number of values in each of a row of buckets whose bounds grow by a fixed
 factor, so sketches merge by adding counts, in any order and with the same
 result. The median of a group's sketch and the median distance from it give its
 fences, which are never wider than its language's, and a document is kept if
-all its ratios lie within the fences of its own group.
+all its ratios lie within the fences of its own group. Where most documents have
+a ratio of 0, that distance is 0 too; then the least count that a document can
+have, over the median length of the group's documents, stands for it, or the
+median of the ratios over 0 if these are less. So fences follow from the sketches
+alone: no ratio has a cutoff of its own.
 """
 
 from __future__ import annotations
@@ -32,13 +36,16 @@ GAMMA = (1 + ALPHA) / (1 - ALPHA)
 WIDTH = 12.2
 #: Documents that a source's language, and all documents for a language, weigh as much as in its median and spread.
 PRIOR_DOCS = 200
-#: Metric: (numerator, denominator, least slack of the upper fence, whether low values fail too).
+#: Metric: (numerator, denominator, least numerator over 0 in general, whether low values fail too). A window of three
+#: words that comes again covers six of them; a mean has no least step.
 METRICS = {
-    "mean_word": ("word_chars", "n_words", 1.5, True),
-    "symbols": ("n_symbols", "n_words", 0.05, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.15, False),
-    "repeats": ("n_repeat_words", "n_words", 0.15, False),
+    "mean_word": ("word_chars", "n_words", 0, True),
+    "symbols": ("n_symbols", "n_words", 1, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1, False),
+    "repeats": ("n_repeat_words", "n_words", 6, False),
 }
+#: Lengths that have sketches beside the metrics.
+LENGTHS = ("n_words", "n_lines")
 
 
 def repeat_words(words: list) -> int:
@@ -99,7 +106,8 @@ def base_failed() -> Column:
 
 def sketches(stats: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n): the sketch of each group and metric. Bucket null: the value 0."""
-    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(a) / F.col(b)).alias("x")) for m, (a, b, _, _) in METRICS.items()])
+    ratios = [F.struct(F.lit(m).alias("metric"), (F.col(a) / F.col(b)).alias("x")) for m, (a, b, _, _) in METRICS.items()]
+    metrics = F.array(*ratios, *[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in LENGTHS])
     bucket = F.when(F.col("m.x") > 0, F.ceil(F.ln("m.x") / math.log(GAMMA)).cast("int"))
     long = stats.where(~base_failed()).select("lang", "source", F.explode(metrics).alias("m"))
     return long.select("lang", "source", "m.metric", bucket.alias("bucket")).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
@@ -120,25 +128,37 @@ def quantiles(sketch: DataFrame, keys: list[str], probs: dict[str, float]) -> Da
 
 
 def spreads(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, metric, n, median mid, median distance mad) of sketches merged like those of :func:`quantiles`."""
+    """(keys, metric, n, mid, spread) of sketches merged like those of :func:`quantiles`.
+
+    ``mid`` is the median, ``spread`` the median distance from it, but no less
+    than a value is known to, nor than the metric's unit: the median of its
+    values over 0, or its least count over the median length if that is less.
+    """
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy(*keys, "metric")
+    whole, group = Window.partitionBy(*keys, "metric"), Window.partitionBy(*keys)
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * 2 / (1 + GAMMA))
-    ranked = merged.withColumn("value", value).withColumns({"upto": F.sum("n").over(whole.orderBy("value")), "total": F.sum("n").over(whole)})
+    sums = {"upto": F.sum("n").over(whole.orderBy("value")), "total": F.sum("n").over(whole), "zeros": F.sum(F.when(F.col("value") == 0, F.col("n")).otherwise(0)).over(whole)}
+    ranked = merged.withColumn("value", value).withColumns(sums)
     half = ranked.withColumn("mid", F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("value"))).over(whole))
     apart = half.withColumn("apart", F.abs(F.col("value") - F.col("mid"))).withColumn("within", F.sum("n").over(whole.orderBy("apart")))
     mad = F.min(F.when(2 * F.col("within") >= F.col("total"), F.col("apart")))
-    found = apart.groupBy(*keys, "metric").agg(F.first("total").alias("n"), F.first("mid").alias("mid"), mad.alias("mad"))
-    return found
+    some = F.min(F.when((F.col("value") > 0) & (2 * (F.col("upto") - F.col("zeros")) >= F.col("total") - F.col("zeros")), F.col("value")))
+    found = apart.groupBy(*keys, "metric").agg(F.first("total").alias("n"), F.first("mid").alias("mid"), mad.alias("mad"), some.alias("some"))
+    # The medians of the lengths, beside each metric of their group.
+    lengths = {m: F.max(F.when(F.col("metric") == m, F.col("mid"))).over(group) for m in LENGTHS}
+    step = F.coalesce(*[F.when(F.col("metric") == m, F.lit(float(k)) / lengths[b]) for m, (_, b, k, _) in METRICS.items()])
+    with_step = found.withColumn("step", step).where(F.col("metric").isin(*METRICS))
+    spread = F.greatest("mad", F.least("step", "some"), 2 * ALPHA * F.col("mid"))
+    return with_step.select(*keys, "metric", "n", "mid", spread.alias("spread"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """(lang, source, and lo_/hi_ of each metric).
 
-    A language's median and median distance are drawn towards those of all
-    documents, and a source's towards its language's, the more the fewer
-    documents there are, in the same way at every size. A source's fences are
-    bounded by those of its language.
+    A language's median and spread are drawn towards those of all documents, and
+    a source's towards its language's, the more the fewer documents there are,
+    in the same way at every size. A source's fences are bounded by those of its
+    language.
     """
     own = spreads(sketch, ["lang", "source"]).alias("own")
     lang = spreads(sketch, ["lang"]).alias("lang")
@@ -148,12 +168,10 @@ def fences(sketch: DataFrame) -> DataFrame:
     def drawn(name: str, near: str, far: Column) -> Column:
         return (F.col(f"{near}.n") * F.col(f"{near}.{name}") + PRIOR_DOCS * far) / (F.col(f"{near}.n") + PRIOR_DOCS)
 
-    slack = F.coalesce(*[F.when(F.col("own.metric") == m, F.lit(x)) for m, (_, _, x, _) in METRICS.items()])
-    wide = {name: drawn(name, "lang", F.col(f"every.{name}")) for name in ("mid", "mad")}
-    tight = {name: drawn(name, "own", wide[name]) for name in ("mid", "mad")}
-    reach = [F.greatest(WIDTH * x["mad"], slack) for x in (wide, tight)]
-    hi = F.least(wide["mid"] + reach[0], tight["mid"] + reach[1])
-    lo = F.greatest(wide["mid"] - reach[0], tight["mid"] - reach[1])
+    wide = {name: drawn(name, "lang", F.col(f"every.{name}")) for name in ("mid", "spread")}
+    tight = {name: drawn(name, "own", wide[name]) for name in ("mid", "spread")}
+    hi = F.least(*(x["mid"] + WIDTH * x["spread"] for x in (wide, tight)))
+    lo = F.greatest(*(x["mid"] - WIDTH * x["spread"] for x in (wide, tight)))
     flat = joined.select("own.lang", "own.source", "own.metric", lo.alias("lo"), hi.alias("hi"))
     bounds = []
     for m, (_, _, _, both) in METRICS.items():

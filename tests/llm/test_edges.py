@@ -36,27 +36,44 @@ def brute_verdicts(rows):
     def rounded(x):
         return 2 * quality.GAMMA ** np.ceil(np.log(x) / np.log(quality.GAMMA)) / (1 + quality.GAMMA) if x > 0 else 0.0
 
-    def spread(values):
-        low = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+    def low(values):
+        return sorted(values)[(len(values) + 1) // 2 - 1]
+
+    def spread(values, least, lengths):
+        """The median, and the median distance from it, which no ratio's least step nor what values are known to falls under."""
         mid = low(values)
-        return mid, low([abs(v - mid) for v in values])
+        some = [v for v in values if v > 0]
+        unit = min([least / low(lengths), *([low(some)] if some else [])])
+        return mid, max(low([abs(v - mid) for v in values]), unit, 0.02 * mid)
 
+    # characters a word, symbols a word, repeated lines a line, words of repeated windows (two of three words at least) a word
+    ratios = (("word_chars", "n_words", 0, True), ("n_symbols", "n_words", 1, False), ("n_dup_lines", "n_lines", 1, False), ("n_repeat_words", "n_words", 6, False))
     kept = {i: not f for i, f in failed.items()}
-    for a, b, slack, both in quality.METRICS.values():
+    group = {r[0]: (r[2], r[3]) for r in rows}
+    for a, b, least, both in ratios:
         x = {i: s[names[a]] / s[names[b]] for i, s in stats.items() if not failed[i]}
-        group = {r[0]: (r[2], r[3]) for r in rows}
-        of = lambda want: [rounded(v) for i, v in x.items() if want(group[i])]
-        k = quality.PRIOR_DOCS
+        long = {i: rounded(stats[i][names[b]]) for i in x}
         for i, v in x.items():
-            every, lang, own = spread(of(lambda g: True)), of(lambda g, i=i: g[0] == group[i][0]), of(lambda g, i=i: g == group[i])
-            wide = [(len(lang) * p + k * q) / (len(lang) + k) for p, q in zip(spread(lang), every, strict=True)]
-            tight = [(len(own) * p + k * q) / (len(own) + k) for p, q in zip(spread(own), wide, strict=True)]
-            bounds = [(m - max(quality.WIDTH * d, slack), m + max(quality.WIDTH * d, slack)) for m, d in (wide, tight)]
-            if v > min(h for _, h in bounds) or both and v < max(lo for lo, _ in bounds):
+            every = [j for j in x]
+            lang = [j for j in x if group[j][0] == group[i][0]]
+            own = [j for j in lang if group[j] == group[i]]
+            of = [spread([rounded(x[j]) for j in some], least, [long[j] for j in some]) for some in (every, lang, own)]
+            wide = [(len(lang) * p + 200 * q) / (len(lang) + 200) for p, q in zip(of[1], of[0], strict=True)]
+            tight = [(len(own) * p + 200 * q) / (len(own) + 200) for p, q in zip(of[2], wide, strict=True)]
+            if v > min(m + 12.2 * d for m, d in (wide, tight)) or both and v < max(m - 12.2 * d for m, d in (wide, tight)):
                 kept[i] = False
     return kept
 
 
+def test_groups_of_different_texts_have_different_fences(spark):
+    from loamgrid.llm.common import table
+
+    limits = quality.fences(quality.sketches(quality.base_stats(table(spark, "/root/testdata/sf0.1", "documents")))).collect()
+    assert len(limits) == 80
+    for m in ("mean_word", "symbols", "dup_lines", "repeats"):
+        assert len({round(r[f"hi_{m}"], 6) for r in limits}) > 8, m
+
+
 def test_fences_equal_brute_force(spark):
     rng, rows = random.Random(2), []
     for i in range(300):
