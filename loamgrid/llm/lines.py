@@ -29,9 +29,9 @@ from loamgrid.session import durable
 #: Lines are similar if at most one in so many words of the longer one must be edited.
 EDITS = 5
 #: Words up to which a line's pieces are sought in all places; longer lines have a sample of runs instead.
-PIECED = 32
+PIECED = 20
 #: Words of a shared piece, at most; words of a sampled run, and runs sampled.
-PIECE, RUN, SAMPLE = 4, 3, 14
+PIECE, RUN, SAMPLE = 4, 3, 10
 #: Lines of up to so many words are told apart by 128 bits that mark their words, which loses none; longer ones by a SimHash.
 SET_WORDS = 120
 #: Bits of 128 in which SimHashes of similar lines may differ: 36 are expected at one replaced word in five, with a deviation of 5.
