@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import table
@@ -446,6 +446,11 @@ def elements(payload: bytes) -> tuple[np.ndarray, int]:
     return np.array([hash_of(w, k) for w, k in numbered(words)], np.int64), len(words) // EDITS + 1
 
 
+def needed(n: Column, m: Column) -> Column:
+    """Numbered words that similar lines of n and m words have in common."""
+    return F.greatest(n, m) - F.floor(F.greatest(n, m) / EDITS)
+
+
 def hash_of(word: bytes, no: int) -> int:
     import xxhash
 
@@ -528,7 +533,7 @@ def repeated_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
     alike = compact(connected_components(marked_alike(edges, known)).select(F.col("component").alias("gid"), F.col("node").alias("id")))
     groups = alike.unionByName(large).unionByName(parted(shared, alike))
     items = groups.join(known.select("id", F.col("n").alias("weight")), "id").select("id", "gid", "weight")
-    linked = compact(linked_components(items, lambda asked: known.select("id", "payload").join(sized(asked), "id"), link, BLOCK_WEIGHT, elements))
+    linked = compact(linked_components(items, lambda asked: known.select("id", "payload").join(sized(asked), "id"), link, BLOCK_WEIGHT, elements, needed))
     named = lines.join(sized(linked), F.col("key") == F.col("node"), "left").select("did", "row", "line_no", F.coalesce("component", "key").alias("group"))
     several = compact(named.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"))
     again = durable(named.join(sized(several), "group"))

@@ -37,6 +37,10 @@ BATCH, WIDE = 100_000, 64
 Link = Callable[[list], list[tuple[int, int]]]
 #: The elements of a payload, and how many of the rarest of them share one with any linked item.
 Elements = Callable[[object], tuple[np.ndarray, int]]
+#: How many elements linked items of two sizes have in common at least; it doesn't fall as a size grows.
+Needed = Callable[[Column, Column], Column]
+#: How often items that can't be linked with any other of their element are left out; each time others may follow.
+ROUNDS = 2
 
 
 def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray], most: int | None = None) -> list[tuple[int, int]] | None:
@@ -128,7 +132,7 @@ def compact(df: DataFrame) -> DataFrame:
     return written.coalesce(-(-max(written.count(), 1) // PART_ROWS))
 
 
-def candidate_groups(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], payloads: Callable[[DataFrame], DataFrame], link: Link, elements: Elements | None = None) -> DataFrame:
+def candidate_groups(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], payloads: Callable[[DataFrame], DataFrame], link: Link, elements: Elements | None = None, needed: Needed | None = None) -> DataFrame:
     """(node, component) of the items of ``buckets(key, id)`` that may be linked.
 
     ``test(pairs(a, b))`` keeps the pairs that are close in a wide sense; it is
@@ -145,7 +149,7 @@ def candidate_groups(buckets: DataFrame, test: Callable[[DataFrame], DataFrame],
     rest = durable(shared.select("key", "id").join(sized(mixed), "key").select("id", F.col("key").alias("gid"), F.lit(1).alias("weight")))
     if rest.isEmpty():
         return groups
-    more = linked_components(rest, payloads, link, 1 << 40, elements).where("node <> component")
+    more = linked_components(rest, payloads, link, 1 << 40, elements, needed).where("node <> component")
     return connected_components(edges.unionByName(more.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
@@ -188,12 +192,16 @@ def in_slots(payloads: Callable[[DataFrame], DataFrame], asked: DataFrame) -> Da
     return payloads(asked).select("gid", F.explode("slots").alias("slot"), "id", "payload")
 
 
-def rare_groups(parts: DataFrame, payloads: Callable[[DataFrame], DataFrame], elements: Elements) -> DataFrame:
+def rare_groups(parts: DataFrame, payloads: Callable[[DataFrame], DataFrame], elements: Elements, needed: Needed | None = None) -> DataFrame:
     """Items (id, gid, weight) of ``parts(id, gid, own, weight)`` in groups that share a rare element but not ``own``.
 
     Elements are ranked by the items of their group that have them; of each
     item as many of the rarest count as ``elements`` says, so that any two
-    linked items share one of these. Groups of the same items count once.
+    linked items share one of these. The first one that they share has before it
+    only elements that they don't share: with ``needed``, an item stays with an
+    element only if what follows it suffices for a link with the smallest other
+    item there. So items that have a template in common, but too much else
+    besides, meet nowhere. Groups of the same items count once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,21 +219,26 @@ def rare_groups(parts: DataFrame, payloads: Callable[[DataFrame], DataFrame], el
     of_item = Window.partitionBy("gid", "id")
     ranked = every.join(known, ["gid", "element"]).withColumns({"shared": F.count("*").over(of_item), "rank": F.row_number().over(of_item.orderBy("n", "element"))})
     # elements that no other item has come first
-    rare = ranked.where(F.col("rank") <= F.col("take") - (F.col("size") - F.col("shared"))).select("gid", "id", "element")
-    at = durable(rare.join(parts, ["gid", "id"]))
+    rare = ranked.where(F.col("rank") <= F.col("take") - (F.col("size") - F.col("shared"))).select("gid", "id", "element", "size", (F.col("shared") - F.col("rank") + 1).alias("left"))
+    for _ in range(ROUNDS if needed else 0):
+        rare = durable(rare)
+        least = rare.groupBy("gid", "element").agg(F.min("size").alias("least"), F.count("*").alias("n")).where("n > 1").select("gid", "element", "least")
+        rare = rare.join(least, ["gid", "element"]).where(F.col("left") >= needed(F.col("size"), F.col("least"))).drop("least")
+    at = durable(rare.select("gid", "id", "element").join(parts, ["gid", "id"]))
     here = at.groupBy("gid", "element").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("items")).where("lo < hi")
     once = here.groupBy("gid", "n", "items").agg(F.min("element").alias("element")).select("gid", "element")
     return at.join(once, ["gid", "element"]).select("id", F.xxhash64("gid", "element").alias("gid"), "weight")
 
 
-def linked_components(items: DataFrame, payloads: Callable[[DataFrame], DataFrame], link: Link, block_weight: int, elements: Elements | None = None) -> DataFrame:
+def linked_components(items: DataFrame, payloads: Callable[[DataFrame], DataFrame], link: Link, block_weight: int, elements: Elements | None = None, needed: Needed | None = None) -> DataFrame:
     """(node, component) by the exact measure within candidate groups.
 
     ``items(id, gid, weight)``; ``payloads(t)`` adds a column ``payload`` to a
     table of id, gid and slots; ``link`` gives a spanning forest of the links
     among a list of payloads. A block holds up to about BLOCK items and
     ``block_weight`` of weight. With ``elements`` no group whose parts are
-    large is compared whole.
+    large is compared whole, and with ``needed`` items that only have a common
+    part too small for a link aren't compared at all.
     """
     items = durable(items)
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / block_weight)).cast("int")
@@ -253,6 +266,6 @@ def linked_components(items: DataFrame, payloads: Callable[[DataFrame], DataFram
         edges = edges.unionByName(compact(block_edges(in_slots(payloads, again), link)))
     many = apart.where(F.col("t") > BLOCK).select("id", "gid", "own", "weight")
     if elements is not None and not many.isEmpty():
-        more = linked_components(rare_groups(durable(many), payloads, elements), payloads, link, block_weight)
+        more = linked_components(rare_groups(durable(many), payloads, elements, needed), payloads, link, block_weight)
         edges = edges.unionByName(more.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
     return connected_components(edges)

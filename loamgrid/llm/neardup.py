@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import WordHashes, ascii_words, batch_map, table
@@ -151,6 +151,10 @@ def sketch_elements(payload: dict) -> tuple[np.ndarray, int]:
     return values * REGISTERS + np.arange(REGISTERS), REGISTERS - math.ceil(STRICT * REGISTERS) + 1
 
 
+def sketch_needed(n: Column, m: Column) -> Column:
+    return F.lit(math.ceil(STRICT * REGISTERS))
+
+
 def linker(percent: int) -> Callable[[list], list[tuple[int, int]]]:
     """A spanning forest of the sets (bytes of sorted 64-bit hashes) with 100 * intersection >= percent * union."""
 
@@ -186,6 +190,11 @@ def set_elements(percent: int) -> Callable[[bytes], tuple[np.ndarray, int]]:
     return found
 
 
+def set_needed(percent: int) -> Callable[[Column, Column], Column]:
+    """Elements in common of linked sets of n and m: 100 * both >= percent * (n + m - both)."""
+    return lambda n, m: F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of word shingles agree by ``percent``.
 
@@ -204,7 +213,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
     known = classes.select("id", F.col("n_shingles").alias("n"), "sketch")
     sketched = known.select("id", F.struct("sketch", "n").alias("payload"))
-    groups = durable(candidate_groups(classes.select(F.explode(keys).alias("key"), "id"), lambda pairs: similar_pairs(pairs, known, LOOSE), lambda t: t.join(sketched, "id"), sketch_link, sketch_elements))
+    groups = durable(candidate_groups(classes.select(F.explode(keys).alias("key"), "id"), lambda pairs: similar_pairs(pairs, known, LOOSE), lambda t: t.join(sketched, "id"), sketch_link, sketch_elements, sketch_needed))
     items = groups.join(known.select("id", "n"), F.col("node") == F.col("id")).select("id", F.col("component").alias("gid"), F.col("n").alias("weight"))
 
     def payloads(wanted: DataFrame) -> DataFrame:
@@ -216,7 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized(wanted), "id")
         return texts.select(*wanted.columns, F.arrow_udf(run, "binary")("text").alias("payload"))
 
-    linked = linked_components(items, payloads, linker(percent), BLOCK_WEIGHT, set_elements(percent))
+    linked = linked_components(items, payloads, linker(percent), BLOCK_WEIGHT, set_elements(percent), set_needed(percent))
     # copies follow the document that stands for them
     heads = classes.join(linked, F.col("id") == F.col("node"), "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     named = signed.join(heads, same, "left")

@@ -111,18 +111,41 @@ def test_work_on_unlinked_halves_grows_with_the_items(spark, monkeypatch):
             return wanted.join(held, "id")
 
         items = spark.range(n).select("id", F.lit(1).cast("long").alias("gid"), F.lit(1).alias("weight"))
-        found = {r["node"]: r["component"] for r in linking.linked_components(items, payloads, neardup.linker(80), 1 << 40, neardup.set_elements(80)).collect()}
+        found = {r["node"]: r["component"] for r in linking.linked_components(items, payloads, neardup.linker(80), 1 << 40, neardup.set_elements(80), neardup.set_needed(80)).collect()}
         assert found == {i: i % 2 for i in range(n)}
         made.append(sum(asked))
     assert made[1] < 2.6 * made[0] and made[2] < 2.6 * made[1]
 
 
-@pytest.mark.parametrize("seed", range(3))
+def test_work_on_a_template_grows_with_the_items(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BLOCK", 16)
+    made = []
+    for n in (400, 800, 1600):
+        # 85 elements of a template and 15 of its own: 85 of 115 in common, so nothing is linked
+        sets = {i: np.sort(np.append(np.arange(85, dtype=np.uint64), np.arange(15, dtype=np.uint64) + np.uint64(1000 + 15 * i))).tobytes() for i in range(n)}
+        held = durable(spark.createDataFrame(list(sets.items()), "id long, payload binary"))
+        asked = []
+
+        def payloads(wanted, held=held, asked=asked):
+            wanted = durable(wanted)
+            asked.append(wanted.agg(F.sum(F.greatest(F.size("slots"), F.lit(1)))).first()[0] or 0)
+            return wanted.join(held, "id")
+
+        items = spark.range(n).select("id", F.lit(1).cast("long").alias("gid"), F.lit(1).alias("weight"))
+        found = linking.linked_components(items, payloads, neardup.linker(80), 1 << 40, neardup.set_elements(80), neardup.set_needed(80))
+        assert found.where("node <> component").count() == 0
+        made.append(sum(asked))
+    assert made[1] < 2.6 * made[0] and made[2] < 2.6 * made[1] and made[2] < 12 * 1600, made
+
+
+@pytest.mark.parametrize("seed", range(6))
 def test_rare_elements_lose_no_link(spark, monkeypatch, seed):
     monkeypatch.setattr(linking, "BLOCK", 4)
     monkeypatch.setattr(linking, "HUBS", 1)
     rng = np.random.default_rng(seed)
     bases = [rng.choice(200, 30, replace=False) for _ in range(6)]
+    if seed > 2:  # a template that all have, so that links hang on a few elements
+        bases = [np.append(np.arange(24), rng.choice(np.arange(24, 200), int(rng.integers(2, 9)), replace=False)) for _ in range(6)]
     sets = {}
     for i in range(60):
         s = set(bases[i % 6].tolist())
@@ -143,7 +166,7 @@ def test_rare_elements_lose_no_link(spark, monkeypatch, seed):
             root[y] = x
     held = spark.createDataFrame([(i, np.sort(np.array(list(s), np.uint64)).tobytes()) for i, s in sets.items()], "id long, payload binary")
     items = spark.range(60).select("id", F.lit(1).cast("long").alias("gid"), F.lit(1).alias("weight"))
-    found = {r["node"]: r["component"] for r in linking.linked_components(items, lambda t: t.join(held, "id"), neardup.linker(80), 1 << 40, neardup.set_elements(80)).collect()}
+    found = {r["node"]: r["component"] for r in linking.linked_components(items, lambda t: t.join(held, "id"), neardup.linker(80), 1 << 40, neardup.set_elements(80), neardup.set_needed(80)).collect()}
     assert {i: found.get(i, i) for i in range(60)} == {i: find(i) for i in range(60)}
 
 
