@@ -187,10 +187,13 @@ def q_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.round(F.avg(same), 6).alias("top1_agreement"), F.round(F.max(vec.chebyshev(F.col("logits"), F.col("d"))), 6).alias("max_diff"))
 
 
-@query("SELECT vec_id, greatest(-128, least(127, CAST(round_even(CAST(embedding[1] AS DOUBLE) / 0.01, 0) AS INTEGER))) AS q FROM embeddings")
+@query("""WITH q AS (SELECT vec_id, [greatest(-128, least(127, CAST(round_even(CAST(x AS DOUBLE) / 0.01, 0) AS INTEGER))) FOR x IN embedding] AS q FROM embeddings)
+SELECT vec_id, CAST(list_sum(q) AS BIGINT) AS total, round(list_sum([x * CAST(0.01 AS DOUBLE) * x * CAST(0.01 AS DOUBLE) FOR x IN q]), 6) AS power FROM q""")
 def q_quantize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "embeddings").select("vec_id", vec.quantize(vec.doubles(F.slice("embedding", 1, 1)), 0.01).alias("q"))
-    return items.select("vec_id", F.col("q")[0].alias("q"))
+    """Every value of each vector as an 8-bit number: their sum, and the power of the vector that they give back."""
+    items = read(spark, sf_dir, "embeddings").select("vec_id", vec.quantize(vec.doubles(F.col("embedding")), 0.01).alias("q"))
+    back = vec.dequantize(F.col("q"), 0.01)
+    return items.select("vec_id", vec.total(F.col("q").cast("array<double>")).cast("long").alias("total"), F.round(vec.dot(back, back), 6).alias("power"))
 
 
 @query("""WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), q AS (SELECT vec_id, v, [greatest(-128, least(127, CAST(round_even(x / 0.01, 0) AS INTEGER))) FOR x IN v] AS q FROM v)
@@ -231,12 +234,12 @@ def q_harvest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.harvest_sources(items, table.select("doc_id", "ok", F.col("leak_frac").alias("resid_frac")), "doc_id", "lang", per_label=5).select("doc_id", "lang")
 
 
-@query("SELECT * FROM (VALUES ('a', true, ''), ('b', false, ''), ('c', false, 'npu')) t(name, passed, unmeasured)")
+@query("""SELECT p_partkey, p_retailprice <= 1500 AND coalesce(p_size % 7 <> 0 AND p_size >= 10, false) AS passed, CASE WHEN p_size % 7 = 0 THEN 'npu' ELSE '' END AS unmeasured FROM part""")
 def q_gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gate with a bound exceeded fails, and so does one with a value that wasn't measured."""
-    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("sram"), F.lit(u).cast("double").alias("npu")) for n, s, u in (("a", 400.0, 1.0), ("b", 4000.0, 1.0), ("c", 400.0, None))])).alias("r")).select("r.*")
-    checks = {"sram": F.col("sram") <= 2048, "npu": F.col("npu") >= 0.9}
-    return rows.select("name", predict.passes(*checks.values()).alias("passed"), F.array_join(predict.unmeasured(checks), ",").alias("unmeasured"))
+    """Parts through a gate: one with a bound exceeded fails, and so does one with a value that wasn't measured."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("sram"), F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("npu"))
+    checks = {"sram": F.col("sram") <= 1500, "npu": F.col("npu") >= 10}
+    return rows.select("p_partkey", predict.passes(*checks.values()).alias("passed"), F.array_join(predict.unmeasured(checks), ",").alias("unmeasured"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 11 <= 5 THEN 'CMD_TREAT' ELSE 'CMD_PRUNE' END AS command, CASE WHEN doc_id % 3 = 0 THEN 'UNCERTAIN' WHEN lang = 'en' THEN 'HEALTHY' ELSE 'PATHOLOGY' END AS status FROM documents")

@@ -49,18 +49,19 @@ def q_dup_label_conflict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.label_conflicts(files(spark, sf_dir), "digest", "site", "id").select("id", "site", "kept_label", "kept_key")
 
 
-#: File names with all forms of suffixes.
-NAMES = ("00fc2ee5-x___RS_HL 1864.JPG", "000146ff-x___GH_HL Leaf 259.1.JPG", "d0badc95-x___GHLB Leaf 10 Day 6.jpeg", "x___GHLB Leaf 2.1 Day 16.JPG", "svn-r6Yb5c.JPG", "v___GHLB Leaf 2 day 3.JPG")
-_NAMES = ", ".join(f"('{n}')" for n in NAMES)
+#: A file name for each document, in all forms of names and suffixes by turns.
+_NAMES = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN hex || '-x___' || site || ' ' || doc_id || '.JPG' WHEN 1 THEN hex || '-x___' || site || ' Leaf ' || doc_id || '.' || (doc_id % 9) || '.JPG' WHEN 2 THEN hex || '-x___' || site || ' Leaf ' || doc_id || ' Day ' || (doc_id % 30) || '.jpeg'
+ WHEN 3 THEN 'x___' || site || ' Leaf ' || (doc_id % 50) || '.' || (doc_id % 3) || ' Day ' || (doc_id % 20) || '.JPG' WHEN 4 THEN 'svn-r' || hex || '.JPG' ELSE 'v___' || site || ' Leaf ' || doc_id || ' day ' || (doc_id % 7) || '.JPG' END AS name
+ FROM (SELECT doc_id, substr(md5(CAST(doc_id AS TEXT_TYPE)), 1, 8) AS hex, coalesce(source, 'x') AS site FROM documents)"""
 
 
-@query(rf"""WITH n(name) AS (VALUES {_NAMES}), s AS (SELECT name, regexp_replace(name, '\.[^.]*$', '') AS stem FROM n),
+@query(rf"""WITH n AS ({_NAMES.replace('TEXT_TYPE', 'VARCHAR')}), s AS (SELECT name, regexp_replace(name, '\.[^.]*$', '') AS stem FROM n),
  d AS (SELECT name, CASE WHEN contains(stem, '___') THEN trim(split_part(stem, '___', 1)) ELSE '' END AS uuid, trim(CASE WHEN contains(stem, '___') THEN substr(stem, instr(stem, '___') + 3) ELSE stem END) AS descriptor FROM s),
  e AS (SELECT *, coalesce(regexp_extract(descriptor, '(?i)\s+Day\s+(\d+)\s*$', 1), '') AS day, trim(regexp_replace(descriptor, '(?i)\s+Day\s+(\d+)\s*$', '')) AS dayless FROM d),
  c AS (SELECT *, coalesce(regexp_extract(dayless, '\.(\d+)$', 1), '') AS shot, trim(regexp_replace(dayless, '\.(\d+)$', '')) AS core FROM e)
 SELECT name, uuid, split_part(core, ' ', 1) AS site, core AS leaf_core, shot, day FROM c""")
 def q_parse_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, NAMES))).alias("name"))
+    names = spark.sql(_NAMES.replace("FROM documents", "FROM {documents}").replace("TEXT_TYPE", "STRING"), documents=read(spark, sf_dir, "documents"))
     return names.withColumn("p", text.parse_filename(F.col("name"))).select("name", "p.uuid", "p.site", "p.leaf_core", "p.shot", "p.day")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import masks, vec
-from loamgrid.operators import predict, sampling, splits
+from loamgrid.operators import predict, ranking, sampling, splits
 from loamgrid.operators.components import connected_components
 from loamgrid.plans.evaluation import _SCORED, scored
 from loamgrid.plans.integrity import _FILES, files, kept
@@ -97,12 +97,13 @@ def q_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("user_id", "b.epoch", "b.score")
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey % 400 AS a, o_orderkey % 700 + 1000 AS b FROM orders WHERE o_orderkey % 5 = 0), w AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT 2 * o_custkey AS a, 2 * o_orderkey + 1 AS b FROM orders), w AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
  r(node, other) AS (SELECT x, x FROM w UNION SELECT r.node, y FROM r JOIN w ON other = x), c AS (SELECT node, min(other) AS component FROM r GROUP BY node), s AS (SELECT component, count(*) AS area FROM c GROUP BY component)
 SELECT count(*) AS components, max(area) AS largest, round(max(area) / sum(area), 6) AS share FROM s""")
 def q_component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
-    found = connected_components(orders.select((F.col("o_custkey") % 400).alias("a"), (F.col("o_orderkey") % 700 + 1000).alias("b")))
+    """Customers and their orders as nodes: even and odd numbers."""
+    orders = read(spark, sf_dir, "orders")
+    found = connected_components(orders.select((2 * F.col("o_custkey")).alias("a"), (2 * F.col("o_orderkey") + 1).alias("b")))
     areas = found.groupBy("component").agg(F.count("*").alias("area"))
     return areas.agg(F.count("*").alias("components"), F.max("area").alias("largest"), F.round(F.max("area") / F.sum("area"), 6).alias("share"))
 
@@ -110,19 +111,24 @@ def q_component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 DECAY = 0.999
 
 
-@query(f"""WITH s AS (SELECT label, embedding[1] AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
-SELECT label, round(sum(CAST(x AS DOUBLE) * pow({DECAY}, n - k) * CASE WHEN k = 1 THEN 1 ELSE 1 - {DECAY} END), 6) AS average FROM s GROUP BY label""")
+@query(f"""WITH s AS (SELECT label, embedding AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+SELECT label, CAST(i AS INTEGER) AS i, round(sum(CAST(v[i + 1] AS DOUBLE) * pow({DECAY}, n - k) * CASE WHEN k = 1 THEN 1 ELSE 1 - {DECAY} END), 6) AS average FROM s CROSS JOIN range(64) r(i) GROUP BY label, i""")
 def q_parameter_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A moving average over updates, as a sum: the weight of an update follows from how many come after it."""
-    order, whole = Window.partitionBy("label").orderBy("vec_id"), Window.partitionBy("label")
-    steps = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("x")).withColumns({"k": F.row_number().over(order), "n": F.count("*").over(whole)})
-    weight = F.pow(F.lit(DECAY), F.col("n") - F.col("k")) * F.when(F.col("k") == 1, 1.0).otherwise(1 - DECAY)
-    return steps.groupBy("label").agg(F.round(F.sum(F.col("x") * weight), 6).alias("average"))
+    """A moving average over updates of whole vectors, as a sum: the weight of an update follows from how many come after it."""
+    placed = ranking.ranked(read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label"], ["vec_id"])
+    weight = F.pow(F.lit(DECAY), F.col("n") - F.col("rank") - 1) * F.when(F.col("rank") == 0, 1.0).otherwise(1 - DECAY)
+    steps = placed.select("label", weight.alias("weight"), F.posexplode("embedding").alias("i", "x"))
+    return steps.groupBy("label", "i").agg(F.round(F.sum(F.col("x").cast("double") * F.col("weight")), 6).alias("average"))
 
 
-@query(f"SELECT CAST(e AS BIGINT) AS epoch, round(CASE WHEN e < 5 THEN (e + 1) / 5.0 ELSE 0.01 + 0.99 * 0.5 * (1 + cos({math.pi} * (e - 5) / 55.0)) END, 8) AS factor FROM range(0, 60) r(e)")
+_EPOCH = "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))"
+
+
+@query(f"SELECT event_id, round(CASE WHEN e < 5 THEN (e + 1) / 5.0 ELSE 0.01 + 0.99 * 0.5 * (1 + cos({math.pi} * (e - 5) / 55.0)) END, 8) AS factor FROM (SELECT event_id, {_EPOCH} AS e FROM events)")
 def q_rate_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(60).select(F.col("id").alias("epoch"), F.round(masks.warmup_cosine(F.col("id"), 5, 60, 0.01), 8).alias("factor"))
+    """The learning rate's factor on each event's day, days being epochs."""
+    epoch = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    return read(spark, sf_dir, "events").select("event_id", F.round(masks.warmup_cosine(epoch, 5, 60, 0.01), 8).alias("factor"))
 
 
 @query("""WITH p AS (SELECT l_returnflag AS g, l_linenumber % 3 = 0 AS mask, l_quantity > 20 AS leaf, l_linenumber = 1 AS edge FROM lineitem)

@@ -89,11 +89,12 @@ def q_autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round(F.col("r")[66], 5).alias("lag3"), F.round(F.col("r")[63], 5).alias("lag0"))
 
 
-@query("SELECT n, round(0.5 - 0.5 * cos(2 * pi() * n / 16), 6) AS hanning, round(0.54 - 0.46 * cos(2 * pi() * n / 16), 6) AS hamming, round(1 - pow(n / 8.0 - 1, 2), 6) AS welch FROM (SELECT CAST(n AS INTEGER) AS n FROM range(0, 16) r(n))")
+@query(f"""WITH {_V}, w AS (SELECT vec_id, a * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 64)) AS hanning, a * (0.54 - 0.46 * cos(2 * pi() * (i - 1) / 64)) AS hamming, a * (1 - pow((i - 1) / 32.0 - 1, 2)) AS welch FROM x)
+SELECT vec_id, round(sum(hanning * hanning), 5) AS hanning, round(sum(hamming * hamming), 5) AS hamming, round(sum(welch * welch), 5) AS welch FROM w GROUP BY vec_id""")
 def q_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("hanning", "hamming", "welch")
-    rows = spark.range(1).select(F.explode(F.arrays_zip(*[signal.window(n, 16).alias(n) for n in names], F.sequence(F.lit(0), F.lit(15)).alias("n"))).alias("r"))
-    return rows.select("r.n", *[F.round(F.col(f"r.{n}"), 6).alias(n) for n in names])
+    """What each window leaves of a vector's power."""
+    power = lambda n: vec.total(F.zip_with("a", signal.window(n, 64), lambda x, w: (x * w) * (x * w)))
+    return vectors(spark, sf_dir).select("vec_id", *[F.round(power(n), 5).alias(n) for n in ("hanning", "hamming", "welch")])
 
 
 @query(f"WITH {_V}, c AS (SELECT vec_id, i, sum(a) OVER (PARTITION BY vec_id ORDER BY i) AS s FROM x) SELECT vec_id, round(max(s), 5) AS top, round(arg_max(s, i), 5) AS total FROM c GROUP BY vec_id")
@@ -109,12 +110,19 @@ def q_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("vec_id", F.round(vec.total(F.transform("m", lambda x, i: x * (i + 1))), 5).alias("pooled"), F.round(vec.total(F.col("t")), 5).alias("tops"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, k AS (SELECT CAST(k AS INTEGER) AS k FROM range(0, 64) r(k)),
+ ft AS (SELECT vec_id, k, sum(a * cos(2 * pi() * k * (i - 1) / 64)) AS re, -sum(a * sin(2 * pi() * k * (i - 1) / 64)) AS im FROM x CROSS JOIN k WHERE k <= 32 GROUP BY ALL),
+ dc AS (SELECT vec_id, k, sqrt(2.0 / 64) * sum(a * cos(pi() / 64 * (k + 0.5) * (i - 0.5))) AS c FROM x CROSS JOIN k GROUP BY ALL),
+ bq(vec_id, i, x1, x2, y1, y2, total) AS (SELECT vec_id, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM v
+   UNION ALL SELECT vec_id, i, a, x1, y, y1, total + i * y FROM (SELECT bq.vec_id, x.i, x.a, x1, y1, total, CAST(0.2 AS DOUBLE) * x.a + CAST(0.4 AS DOUBLE) * x1 + CAST(0.2 AS DOUBLE) * x2 + CAST(0.3 AS DOUBLE) * y1 - CAST(0.1 AS DOUBLE) * y2 AS y FROM bq JOIN x ON x.vec_id = bq.vec_id AND x.i = bq.i + 1))
+SELECT vec_id, (SELECT round(sum((2 * k + 1) * re + (2 * k + 2) * im), 4) FROM ft WHERE ft.vec_id = bq.vec_id) AS rfft, (SELECT round(sum((k + 1) * c), 4) FROM dc WHERE dc.vec_id = bq.vec_id) AS dct4, round(total, 4) AS biquad FROM bq WHERE i = 64""")
 def q_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Real FFT, DCT-IV and a biquad section of each embedding, in Arrow batches."""
+    """Real FFT, DCT-IV and a biquad section of each embedding, in Arrow batches: the sums of all values, each times its number."""
     a = F.col("a")
     section = signal.biquad_cascade([(0.2, 0.4, 0.2, 0.3, -0.1)])
-    return vectors(spark, sf_dir).select("vec_id", signal.RFFT(a).alias("rfft"), signal.DCT4(a).alias("dct4"), section(a).alias("biquad"))
+    weighed = lambda x: F.round(vec.total(F.transform(x, lambda v, i: v * (i + 1))), 4)
+    found = vectors(spark, sf_dir).select("vec_id", signal.RFFT(a).alias("rfft"), signal.DCT4(a).alias("dct4"), section(a).alias("biquad"))
+    return found.select("vec_id", *[weighed(F.col(c)).alias(c) for c in ("rfft", "dct4", "biquad")])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,14 +148,19 @@ def q_circular_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("event_id", F.size("frame").cast("long").alias("n"), F.round(vec.mean(F.col("frame")), 6).alias("mean"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+ f(key, r, free, waiting, served, dropped) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), CAST('-infinity' AS DOUBLE), false, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM o
+   UNION ALL SELECT key, r, CASE WHEN t >= free AND NOT waiting THEN t + 3600.0 ELSE free END, NOT (t >= free AND NOT waiting), served + CASE WHEN waiting THEN 0 ELSE 1 END, dropped + CASE WHEN waiting THEN 1 ELSE 0 END FROM (
+     SELECT f.key, o.r, o.t, CASE WHEN waiting AND t >= free THEN free + 3600.0 ELSE free END AS free, waiting AND t < free AS waiting, served, dropped FROM f JOIN o ON o.key = f.key AND o.r = f.r + 1))
+SELECT key, arg_max(served, r) AS served, arg_max(dropped, r) AS dropped FROM f GROUP BY key""")
 def q_coalesced_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.coalesced(events(spark, sf_dir), "user_id", "ts", "event_id", service_seconds=3600.0)
 
 
-@query("SELECT k, (40 + 5 * (k + 1)) % 100 AS moisture FROM (SELECT CAST(k AS BIGINT) AS k FROM range(0, 40) r(k))")
+@query("SELECT event_id, (40 + 5 * (event_id + 1)) % 100 AS moisture FROM events")
 def q_simulated_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(40).select(F.col("id").alias("k"), batch.sensor_value(F.col("id")).alias("moisture"))
+    """The sensor's reading at each event."""
+    return events(spark, sf_dir).select("event_id", batch.sensor_value(F.col("event_id")).alias("moisture"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
