@@ -44,15 +44,20 @@ def weighted_draws(items: DataFrame, weight: str, n: int, seed: int, key: str =
     """(draw, key): ``n`` draws with replacement, each item with a probability in proportion to its weight.
 
     Items lie in the order of their keys on a line, each as long as its weight;
-    sums are formed in spans of ``span`` keys and over these. Draws are joined
-    by the n-th parts of the line that an item covers, not by a range.
+    sums are formed in spans of ``span`` keys, in spans of as many spans, and
+    over these, one for each 16 million keys. Draws are joined by the n-th parts
+    of the line that an item covers, not by a range.
     """
     placed = items.select(key, F.col(weight).cast("double").alias("_w"), F.floor(F.col(key) / span).alias("_span"))
     spans = placed.groupBy("_span").agg(F.sum("_w").alias("_of"))
-    spans = spans.withColumn("_before", F.sum("_of").over(Window.orderBy("_span")) - F.col("_of"))
-    total = spans.agg(F.sum("_of").alias("_total"))
+    spans = spans.withColumn("_wide", F.floor(F.col("_span") / span))
+    wide = spans.groupBy("_wide").agg(F.sum("_of").alias("_sum"))
+    wide = wide.withColumn("_start", F.sum("_sum").over(Window.orderBy("_wide")) - F.col("_sum"))
+    total = wide.agg(F.sum("_sum").alias("_total"))
+    inner = F.sum("_of").over(Window.partitionBy("_wide").orderBy("_span")) - F.col("_of")
+    spans = spans.join(wide.select("_wide", "_start"), "_wide").select("_span", (F.col("_start") + inner).alias("_before"))
     here = F.sum("_w").over(Window.partitionBy("_span").orderBy(key))
-    line = placed.join(F.broadcast(spans), "_span").join(F.broadcast(total), F.lit(True)).withColumn("_hi", (F.col("_before") + here) / F.col("_total"))
+    line = placed.join(spans, "_span").join(F.broadcast(total), F.lit(True)).withColumn("_hi", (F.col("_before") + here) / F.col("_total"))
     line = line.withColumn("_lo", F.col("_hi") - F.col("_w") / F.col("_total"))
     cells = line.select(key, "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") * n), F.floor(F.col("_hi") * n))).alias("_cell"))
     draws = items.sparkSession.range(n).select(F.col("id").alias("draw"), draw("id", seed).alias("_u")).withColumn("_cell", F.floor(F.col("_u") * n))
