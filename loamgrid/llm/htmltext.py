@@ -40,6 +40,7 @@ LABELLED = (
     # headings and paragraphs of an article
     (7, 0.0, 1, 1.0, 50, 0.0, 0, 1, 1), (2, 0.0, 60, 0.0, 80, 0.0, 0, 1, 1), (1, 0.0, 40, 0.0, 40, 0.0, 0, 1, 1),
     (9, 0.0, 9, 0.0, 30, 0.0, 0, 1, 1), (50, 0.0, 9, 0.0, 70, 0.0, 0, 1, 1), (120, 0.1, 60, 0.0, 40, 0.2, 0, 1, 1),
+    (1, 0.0, 30, 0.0, 2, 1.0, 0, 1, 1), (4, 0.0, 60, 0.0, 3, 1.0, 0, 1, 1), (8, 0.0, 20, 0.0, 1, 1.0, 0, 1, 1), (15, 0.1, 45, 0.0, 2, 0.9, 0, 1, 1),
     (3, 0.0, 2, 0.0, 4, 0.0, 0, 1, 1), (25, 0.3, 40, 0.0, 3, 0.0, 0, 1, 1), (6, 0.5, 50, 0.0, 45, 0.0, 0, 1, 1),
     (4, 1.0, 60, 0.0, 55, 0.0, 0, 1, 1), (300, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (5, 0.0, 12, 0.0, 9, 0.1, 0, 1, 1),
     (2, 0.0, 1, 0.0, 0, 0.0, 0, 1, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (10, 0.4, 20, 0.1, 30, 0.1, 0, 1, 1),
@@ -66,46 +67,68 @@ ASIDE_NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
 ARTICLE_NAMES = frozenset("article articlebody content entry main maincontent post story".split())
-#: Beginnings of names that say what a page's layout has, not what an element is.
+#: Beginnings of names that say what a page's layout has, not what an element is; words after which a name says so.
 LAYOUT = frozenset("has is layout no page with without".split())
+WITH = frozenset("has no with without".split())
+#: Names of what readers add, which is never a page's frame, however long.
+READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z|(?=<))", re.S)
 NAMED = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 
 
-def marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element holds other matter, whether it holds an article, and whether it is a header of either."""
-    aside, article, header = name in ASIDE, name in ARTICLE, name == "header"
+def named_parts(value: str) -> list[str]:
+    """The words of class names, but for those that say what a layout has."""
+    parts: list[str] = []
+    for x in value.split():
+        words = PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())
+        if len(words) == 1 or words and words[0] not in LAYOUT:
+            parts += words[: next((k for k, w in enumerate(words) if k and w in WITH), len(words))]
+    return parts
+
+
+def marks(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element holds other matter, whether it holds an article, whether it is a header of either, and whether it may be a page's frame.
+
+    Names of headings are where links lead to, and say nothing.
+    """
+    aside, article, header, frame = name in ASIDE, name in ARTICLE, name == "header", name not in ASIDE
     for key, a, b, c in NAMED.findall(attributes) if "=" in attributes else ():
         value = (a or b or c).lower()
         if key.lower() in ("style", "aria-hidden", "hidden"):
             squeezed = value.replace(" ", "")
-            aside |= "display:none" in squeezed or "visibility:hidden" in squeezed or (key.lower() == "aria-hidden" and value == "true")
-        elif name not in ("html", "body"):
-            named = [PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) for x in (a or b or c).split()]
-            parts = [p for n in named if n and (len(n) == 1 or n[0] not in LAYOUT) for p in n]
+            hidden = "display:none" in squeezed or "visibility:hidden" in squeezed or (key.lower() == "aria-hidden" and value == "true")
+            aside, frame = aside or hidden, frame and not hidden
+        elif name not in ("html", "body") and name not in HEADINGS:
+            parts = named_parts(a or b or c)
             aside |= not ASIDE_NAMES.isdisjoint(parts)
             article |= not ARTICLE_NAMES.isdisjoint(parts)
             header |= "header" in parts
-    return aside, article and not aside, header
+            frame &= READERS.isdisjoint(parts)
+    return aside, article and not aside, header, frame
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
     """Flat blocks of text: text, words, words in links, in other matter, in an article.
 
-    An element that is named as other matter but holds an article and more than
-    half of the page's words is the page's frame, and not other matter.
+    An element that is named as other matter but has more than half of the
+    page's words is the page's frame, and not other matter, if it holds an
+    article, or if no text outside of other matter is in one. What is named so
+    within a frame stays other matter.
     """
     found: list = []
     if not page:
         return found
     texts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # name, outermost element of other matter or -1, article, dropped
+    stack: list[tuple[str, int, bool, bool]] = []  # name, innermost element of other matter or -1, article, dropped
     open_names: dict[str, int] = {}
     state = (-1, False, False)
     link = -1  # elements that are open around the open link
-    n_asides, framing = 0, set()
+    outer_of: list[int] = []  # of each element of other matter, the one around it
+    framing: list[bool] = []  # whether it holds an article
+    may_frame: list[bool] = []
 
     def flush() -> None:
         if texts:
@@ -155,28 +178,40 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
                 continue
             if name in CLOSED_BY_NEXT and stack and stack[-1][0] == name:
                 pop_to(len(stack) - 1)
-            aside, article, header = marks(name, tag[3])
-            aside |= header and not any(s[2] for s in stack)
+            aside, article, header, frame = marks(name, tag[3])
+            aside |= header and not (stack and stack[-1][2])
             if name in BLOCKS or aside or name in DROPPED:
                 if aside:
                     flush()
                 over = stack[-1] if stack else ("", -1, False, False)
                 outer = over[1]
                 if outer >= 0 and article:
-                    framing.add(outer)
-                if aside and outer < 0:
-                    outer, n_asides = n_asides, n_asides + 1
+                    framing[outer] = True
+                if aside:
+                    outer_of.append(outer)
+                    framing.append(False)
+                    may_frame.append(frame)
+                    outer = len(outer_of) - 1
                 stack.append((name, outer, over[2] or article, over[3] or name in DROPPED))
                 open_names[name] = open_names.get(name, 0) + 1
         if link > len(stack):
             link = -1
         state = stack[-1][1:] if stack else (-1, False, False)
     flush()
-    held: dict[int, int] = {}
+    held = [0] * len(outer_of)
     for _, words, _, outer, _ in found:
-        held[outer] = held.get(outer, 0) + words
-    frames = {k for k in framing if 2 * held.get(k, 0) > sum(held.values())}
-    return [(text, words, linked, outer >= 0 and outer not in frames, article) for text, words, linked, outer, article in found]
+        if outer >= 0:
+            held[outer] += words
+    for k in range(len(outer_of) - 1, -1, -1):  # inner ones come after those around them
+        if outer_of[k] >= 0:
+            held[outer_of[k]] += held[k]
+            framing[outer_of[k]] |= framing[k]
+    total, plain = sum(b[1] for b in found), not any(outer < 0 and article for *_, outer, article in found)
+    other: list[bool] = []
+    for k, outer in enumerate(outer_of):
+        frame = 2 * held[k] > total and (framing[k] or plain and may_frame[k])
+        other.append(outer >= 0 and other[outer] or not frame)
+    return [(text, words, linked, outer >= 0 and other[outer], article) for text, words, linked, outer, article in found]
 
 
 def block_features(found: list) -> np.ndarray:
