@@ -15,7 +15,7 @@ from loamgrid.session import durable
 #: Blocks of bits that hashes are indexed by.
 CHUNKS = 8
 #: Hashes of a bucket that are compared in pairs, and of a block of a larger one; rows of a hash and a number that are broadcast.
-SMALL, BLOCK, MOST_BROADCAST = 8, 8192, 300_000
+SMALL, BLOCK, MOST_BROADCAST = 16, 8192, 300_000
 
 
 def chunked(items: DataFrame, h: str = "h") -> DataFrame:
@@ -126,11 +126,8 @@ def near_links(items: DataFrame, distance: int, key: str = "id", h: str = "h", s
     keyed = _keyed(heads, distance + shared, shared, "head", "h")
     sizes = keyed.groupBy("no", "v").agg(F.count("*").alias("n")).where("n > 1")
     met = durable(keyed.join(sizes, ["no", "v"]))
-    small = met.where(F.col("n") <= SMALL).select("no", "v", "a", "ha")
-    other = small.select("no", "v", F.col("a").alias("b"), F.col("ha").alias("hb"))
-    near = small.join(other, ["no", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance)).select("a", "b")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = met.where(F.col("n") > SMALL).withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int"))
+    large = met.withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int"))
     dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("no", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "a", "ha")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +137,17 @@ def near_links(items: DataFrame, distance: int, key: str = "id", h: str = "h", s
             ids, hashes = rows["a"].to_numpy(), rows["ha"].to_numpy().view(np.uint64)
             keys = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("no", "v", "p", "q")])
             cuts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            size = np.diff(np.append(cuts, len(ids)))
+            group, few = np.repeat(np.arange(len(cuts)), size), np.repeat(size <= SMALL, size)
+            near = [np.zeros((0, 2), np.int64)]
+            for step in range(1, min(SMALL, len(ids))):  # pairs of a small group, at one distance in it after the other
+                at = np.flatnonzero(few[step:] & (group[step:] == group[:-step]))
+                at = at[np.bitwise_count(hashes[at] ^ hashes[at + step]) <= distance]
+                near.append(np.stack([ids[at], ids[at + step]], 1))
             own = rows["own"].to_numpy()
-            found = [(ids[s + i], ids[s + j]) for s, e in zip(cuts, np.append(cuts[1:], len(ids))) for i, j in new_links(hashes[s:e], own[s:e], distance)]
-            ends = np.array(found, np.int64).reshape(-1, 2)
+            large = np.flatnonzero(size > SMALL)
+            found = [(ids[s + i], ids[s + j]) for s, e in zip(cuts[large], (cuts + size)[large]) for i, j in new_links(hashes[s:e], own[s:e], distance)]
+            ends = np.concatenate([*near, np.array(found, np.int64).reshape(-1, 2)])
             return pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(ends[:, 0]), "b": np.ascontiguousarray(ends[:, 1])})
 
         for batch in batches:
@@ -164,7 +169,7 @@ def near_links(items: DataFrame, distance: int, key: str = "id", h: str = "h", s
             yield links(pa.Table.from_batches(held))
 
     parts = dealt.repartition("no", "v", "p", "q").sortWithinPartitions("no", "v", "p", "q", "a")
-    return same.unionByName(near).unionByName(parts.mapInArrow(run, "a long, b long"))
+    return same.unionByName(parts.mapInArrow(run, "a long, b long"))
 
 
 def _few(rows: DataFrame) -> DataFrame:
