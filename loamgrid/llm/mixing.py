@@ -20,9 +20,10 @@ from loamgrid.session import durable
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: each value's share of tokens to this power, normed to 1; under 1 it lifts rare values.
 TEMPER = 0.7
-#: Rounds of fitting to each of the three in turn; it warns if the last one corrects a share by more than TOLERANCE of it.
-SWEEPS, TOLERANCE = 8, 0.01
-#: Combinations of languages and topics that the driver combines.
+#: Fitting to each of the three in turn ends when no share is corrected by more than TOLERANCE of it. If STALL rounds bring
+#: nothing, or after SWEEPS, it ends with a warning: the targets contradict each other, or all but do.
+SWEEPS, TOLERANCE, STALL = 200, 1e-9, 10
+#: Combinations of languages and topics that the driver combines; more stay in tables.
 MOST_CELLS = 10_000
 WORD, DIGIT, SYMBOL = "[^\\x20\\x09-\\x0D]+", "[0-9]", "[#*$%&|<>{}=]"
 
@@ -81,6 +82,7 @@ def rake(rows: DataFrame, langs: dict[str, float], topics: dict[str, float], swe
     sum per language and topic, is small; the rest is arithmetic on it.
     A value whose target is missing or 0 gets the factor 0.
     """
+    langs, topics = normed(langs), normed(topics)
     of_lang, of_topic = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
 
     def with_factor() -> DataFrame:
@@ -88,8 +90,7 @@ def rake(rows: DataFrame, langs: dict[str, float], topics: dict[str, float], swe
         total = F.aggregate("cells", F.lit(0.0), term)
         return rows.withColumn("factor", F.when(total > 0, F.col("share") / total).otherwise(0.0))
 
-    fitted = with_factor()
-    off: list[float] = []
+    history: list[float] = []
     for _ in range(sweeps):
         fitted = with_factor()
         sums = fitted.select("factor", F.explode("cells").alias("c")).groupBy("c.lang", "c.topic").agg(F.sum(F.col("c.tokens") * F.col("factor")).alias("s"))
@@ -100,11 +101,71 @@ def rake(rows: DataFrame, langs: dict[str, float], topics: dict[str, float], swe
         was = {k: v * sum(s * of_lang.get(x, 0.0) for (x, t), s in table_.items() if t == k) for k, v in of_topic.items()}
         off += [abs(was[k] / topics[k] - 1) for k in topics if topics[k] > 0 and was[k] > 0]
         of_topic = {k: v * topics[k] / was[k] if was[k] > 0 else 0.0 for k, v in of_topic.items()}
-    if max(off, default=0.0) > TOLERANCE:
-        warnings.warn(f"the last of {sweeps} rounds corrected a share by {max(off):.2g} of it: ask for more, or the targets contradict each other", stacklevel=2)
+        history.append(max(off, default=0.0))
+        if settled(history):
+            break
+    unsettled(history)
     return fitted, of_lang, of_topic
 
 
+def normed(shares: dict[str, float]) -> dict[str, float]:
+    """Shares that add to 1; targets of the three dimensions must agree in their sum to be met at once."""
+    total = sum(shares.values())
+    return {k: v / total for k, v in shares.items()} if total > 0 else shares
+
+
+def settled(history: list[float]) -> bool:
+    """Whether the last round corrected next to nothing, or rounds bring no progress."""
+    return history[-1] <= TOLERANCE or len(history) > STALL and history[-1] > 0.99 * history[-1 - STALL]
+
+
+def unsettled(history: list[float]) -> None:
+    if history and history[-1] > TOLERANCE:
+        warnings.warn(f"the last of {len(history)} rounds corrected a share by {history[-1]:.2g} of it: the targets contradict each other, or need more rounds", stacklevel=3)
+
+
+def rake_cells(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+    """(source, lang, topic, ratio): weight over tokens of each cell, for any number of values in each dimension.
+
+    ``cells`` are (source, lang, topic, tokens), ``targets`` (value, share) of
+    each dimension, shares that add to 1. A round is a sum and a join for each
+    dimension, over the table of cells, and is written to the shared folder.
+    """
+    now = durable(cells.where("tokens > 0").select(*DIMENSIONS, F.col("tokens").cast("double").alias("tokens"), F.col("tokens").cast("double").alias("w")))
+    history: list[float] = []
+    for _ in range(sweeps):
+        off = []
+        for d in DIMENSIONS:
+            sums = now.groupBy(d).agg(F.sum("w").alias("_was")).join(targets[d].withColumnRenamed("value", d), d, "left").select(d, "_was", F.coalesce("share", F.lit(0.0)).alias("_share"))
+            sums = durable(sums)
+            off.append(sums.where("_was > 0 and _share > 0").agg(F.max(F.abs(F.col("_was") / F.col("_share") - 1))).first()[0] or 0.0)
+            factor = F.when(F.col("_was") > 0, F.col("_share") / F.col("_was")).otherwise(0.0)
+            now = now.join(sums, d).withColumn("w", F.col("w") * factor).drop("_was", "_share")
+        now = durable(now)
+        history.append(max(off))
+        if settled(history):
+            break
+    unsettled(history)
+    return now.select(*DIMENSIONS, (F.col("w") / F.col("tokens")).alias("ratio"))
+
+
+def cell_targets(cells: DataFrame, given: dict[str, DataFrame | dict[str, float] | None]) -> dict[str, DataFrame]:
+    """(value, share) of each dimension: what is given, or tempered shares of tokens; normed."""
+    out = {}
+    for d in DIMENSIONS:
+        want = given[d]
+        if want is None:
+            raw = cells.where("tokens > 0").groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(TEMPER)).alias("share"))
+        elif isinstance(want, dict):
+            raw = cells.sparkSession.createDataFrame(list(want.items()), "value string, share double")
+        else:
+            raw = want.select("value", "share")
+        raw = durable(raw)
+        total = raw.agg(F.sum("share")).first()[0] or 1.0
+        out[d] = raw.withColumn("share", F.col("share") / F.lit(float(total)))
+    return out
+
+
 def draw() -> Column:
     """A number from 0 to 1 that depends on doc_id only."""
     return F.conv(F.substring(F.md5(F.concat(id_text(), F.lit("|mix"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
@@ -126,9 +187,16 @@ def mix(docs: DataFrame, topic: Column | None = None, sources: DataFrame | None
     cell = f"{prefix}mix"
     given = with_cell(docs, topic, cell)
     cells = durable(given.select(f"{cell}.*").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    small = cells.where("tokens > 0").groupBy("lang", "topic").agg(F.sum("tokens").cast("double").alias("t")).limit(MOST_CELLS + 1).collect()
-    if len(small) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} combinations of languages and topics; give a coarser topic")
+    pairs = durable(cells.where("tokens > 0").groupBy("lang", "topic").agg(F.sum("tokens").cast("double").alias("t")))
+    if pairs.count() > MOST_CELLS:
+        ratios = durable(rake_cells(cells, cell_targets(cells, {"source": sources, "lang": langs, "topic": topics}), sweeps))
+        top = ratios.agg(F.max("ratio")).first()[0] or 1.0
+        near = sized(ratios.select(*(F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS), (F.col("ratio") / F.lit(float(top))).alias("_mix_p")))
+        met = [F.col(f"{cell}.{d}") == F.col(f"_mix_{d}") for d in DIMENSIONS]
+        joined = given.join(near, met[0] & met[1] & met[2], "left")
+        p = F.when(F.col(f"{cell}.n_tokens") > 0, F.coalesce("_mix_p", F.lit(0.0))).otherwise(0.0)
+        return joined.withColumn(f"{prefix}p", p).withColumn(f"{prefix}sampled", draw() < F.col(f"{prefix}p")).drop("_mix_p", *(f"_mix_{d}" for d in DIMENSIONS))
+    small = pairs.collect()
     totals: dict[str, dict] = {"lang": {}, "topic": {}}
     for r in small:
         for d, sums in totals.items():
@@ -148,7 +216,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", F.substring("mix.topic", 2, 100).alias("topic"), F.col("mix.n_tokens").alias("n_tokens"), F.round("p", 6).alias("p"), "sampled")
 
 
-def mixing_sql(docs: str = "documents", sweeps: int = SWEEPS) -> str:
+def mixing_sql(docs: str = "documents", sweeps: int = 40) -> str:
     """The same in SQL, one step of fitting after the other."""
     ctes = [
         rf"""mix_t AS (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM {docs})""",

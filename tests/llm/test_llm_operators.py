@@ -358,3 +358,46 @@ def test_mixing_meets_its_targets(spark):
     sums = {g: sum(r["p"] * r["n_tokens"] for r in got if r["lang"] == g) for g in goals}
     assert [sums[g] / sum(sums.values()) for g in goals] == pytest.approx([goals[g] for g in goals], rel=0.02)
     assert mixing.mix(frame(spark, [])).collect() == []
+
+
+def raked(cells, targets):
+    """Iterative proportional fitting by numpy, to the end."""
+    w = {k: float(v) for k, v in cells.items() if v > 0}
+    for _ in range(400):
+        for d, shares in enumerate(targets):
+            sums = {}
+            for k, v in w.items():
+                sums[k[d]] = sums.get(k[d], 0.0) + v
+            w = {k: v * shares.get(k[d], 0.0) / sums[k[d]] if sums[k[d]] else 0.0 for k, v in w.items()}
+    ratio = {k: v / cells[k] for k, v in w.items()}
+    return {k: v / max(ratio.values()) for k, v in ratio.items()}
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_mixing_settles_at_the_fitted_weights(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_CELLS", most)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-6)
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 5 + i % 50), rng.choice(["en", "en", "fr", None]), rng.choice(["a", "a", "a", "b", "c"])) for i in range(500)]
+    topic = F.substring("text", 1, 1)
+    got = mixing.mix(frame(spark, rows), topic=topic).select("doc_id", "mix.*", "p").collect()
+    cells = {}
+    for r in got:
+        cells[r.source, r.lang, r.topic] = cells.get((r.source, r.lang, r.topic), 0) + r.n_tokens
+    totals = [{}, {}, {}]
+    for k, v in cells.items():
+        for d in range(3):
+            totals[d][k[d]] = totals[d].get(k[d], 0) + v
+    want = raked(cells, [mixing.tempered(t) for t in totals])
+    assert all(r.p == pytest.approx(want[r.source, r.lang, r.topic], rel=1e-4) for r in got)
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_contradicting_targets_end_with_a_warning(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_CELLS", most)
+    monkeypatch.setattr(mixing, "STALL", 2)
+    # All of source a is in en, and all of b in fr; the languages' targets ask for something else.
+    rows = [(i, "some words here", "en" if i % 2 else "fr", "a" if i % 2 else "b") for i in range(60)]
+    sources = spark.createDataFrame([("=a", 0.5), ("=b", 0.5)], "value string, share double")
+    with pytest.warns(UserWarning, match="contradict"):
+        mixing.mix(frame(spark, rows), topic=F.lit("t"), sources=sources, langs={"=en": 0.9, "=fr": 0.1}).count()
