@@ -43,7 +43,7 @@ PAIRS_UP_TO, TESTS = 8, 4000
 #: Shares of the difference that similar lines may have, at which the lines of a run are connected, one after the other.
 CLOSE = (0.5, 1.0)
 #: Words in a block of exact comparisons; characters of text whose lines are taken up together; rows that become Python values at once.
-BLOCK_WEIGHT, FLUSH, SLICE = 500_000, 400_000, 100
+BLOCK_WEIGHT, FLUSH, SLICE = 500_000, 700_000, 100
 #: For each byte, its bits, the first most significant, as eight bytes in one number.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
