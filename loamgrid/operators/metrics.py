@@ -58,6 +58,20 @@ def summary(matrix: DataFrame) -> DataFrame:
     )
 
 
+def scores_by(predicted: DataFrame, by: str, truth: str = "label", guess: str = "pred") -> DataFrame:
+    """(by, n, accuracy, macro_f1, balanced_accuracy): the scores of :func:`summary` for each value of a column."""
+    counts = predicted.groupBy(by, F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count("*").alias("n"))
+    hit = F.col("truth") == F.col("guess")
+    sides = F.explode(F.array(F.struct(F.col("truth").alias("cls"), hit.alias("hit"), F.lit(True).alias("own")), F.struct(F.col("guess").alias("cls"), hit.alias("hit"), F.lit(False).alias("own"))))
+    long = counts.select(by, "n", sides.alias("s"))
+    count = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0)).cast("double")
+    own, right = F.col("s.own"), F.col("s.hit")
+    each = long.groupBy(by, "s.cls").agg(count(own & right).alias("tp"), count(~own & ~right).alias("fp"), count(own & ~right).alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    f1 = F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
+    return each.groupBy(by).agg(F.sum(tp + fn).cast("long").alias("n"), (F.sum(tp) / F.sum(tp + fn)).alias("accuracy"), F.avg(f1).alias("macro_f1"), F.avg(F.when(tp + fn > 0, tp / (tp + fn))).alias("balanced_accuracy"))
+
+
 def top_k(probs: Column, k: int) -> Column:
     """(cls, prob) of the k greatest probabilities; ties go to the first class."""
     pairs = F.transform(probs, lambda p, i: F.struct((-p).alias("m"), i.alias("cls")))

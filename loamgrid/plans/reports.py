@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions import masks, vec
-from loamgrid.operators import predict, ranking, sampling, splits
+from loamgrid.functions import masks, pooling, vec
+from loamgrid.operators import metrics, predict, ranking, sampling, splits
 from loamgrid.operators.components import connected_components
 from loamgrid.plans.evaluation import _SCORED, scored
 from loamgrid.plans.integrity import _FILES, files, kept
@@ -203,6 +203,37 @@ def q_ablation_and_cross_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.groupBy("mode", "held_site").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("accuracy"))
 
 
+#: Weights of two hidden units over eight channels, and of the score.
+_HIDDEN = [[(3 * h + c) % 5 - 2 for c in range(8)] for h in range(2)]
+
+
+@query(f"""WITH m AS (SELECT vec_id, c, q, CAST(embedding[8 * c + q + 1] AS DOUBLE) AS x FROM embeddings CROSS JOIN range(8) r(c) CROSS JOIN range(8) s(q)),
+ u AS (SELECT vec_id, q, greatest(sum(x * list_extract({_HIDDEN[0]}, c + 1)) + CAST(0.1 AS DOUBLE), 0) AS u0, greatest(sum(x * list_extract({_HIDDEN[1]}, c + 1)) - CAST(0.1 AS DOUBLE), 0) AS u1 FROM m GROUP BY ALL),
+ a AS (SELECT vec_id, q, exp(2 * u0 - u1) AS e FROM u), w AS (SELECT vec_id, q, e / sum(e) OVER (PARTITION BY vec_id) AS w FROM a),
+ p AS (SELECT vec_id, c, sum(x * w) AS att, pow(avg(pow(greatest(x, 1e-6), 3)), 1 / CAST(3 AS DOUBLE)) AS gem, max(x) AS top FROM m JOIN w USING (vec_id, q) GROUP BY ALL)
+SELECT vec_id, round(sum((c + 1) * att), 5) AS attention, round(sum((c + 1) * gem + (c + 9) * top), 5) AS concat FROM p GROUP BY vec_id""")
+def q_attention_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as eight channels of eight positions, pooled by attention, and by means and maxima: the sums of all values, each times its number."""
+    maps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.slice("v", c * 8 + 1, F.lit(8)))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", vec.doubles(F.col("embedding")).alias("v")).select("vec_id", maps.alias("m"))
+    lit = lambda a: F.array(*[F.lit(float(x)) for x in a])
+    attention, _ = pooling.pooling("attention", 8, (F.array(*map(lit, _HIDDEN)), lit((0.1, -0.1)), lit((2, -1)), F.lit(0.0)))
+    concat, _ = pooling.pooling("concat", 8)
+    weighed = lambda x: F.round(vec.total(F.transform(x, lambda v, i: v * (i + 1))), 5)
+    return rows.select("vec_id", weighed(attention(F.col("m"))).alias("attention"), weighed(concat(F.col("m"))).alias("concat"))
+
+
+@query(f"""WITH {_SCORED.replace('cm AS (SELECT label AS truth, pred AS guess, count(*) AS n FROM sc GROUP BY ALL)', 'cm AS (SELECT vec_id % 5 = 4 AS held, label AS truth, pred AS guess, count(*) AS n FROM sc GROUP BY ALL)').split(' cl AS (')[0].rstrip().rstrip(',')},
+ cl AS (SELECT c.held, cls, coalesce(sum(n) FILTER (truth = cls AND guess = cls), 0) AS tp, coalesce(sum(n) FILTER (guess = cls AND truth <> cls), 0) AS fp, coalesce(sum(n) FILTER (truth = cls AND guess <> cls), 0) AS fn
+   FROM cm JOIN (SELECT held, truth AS cls FROM cm UNION SELECT held, guess FROM cm) c ON c.held = cm.held GROUP BY ALL)
+SELECT held, CAST(sum(tp + fn) AS BIGINT) AS n, round(sum(tp) / sum(tp + fn), 6) AS accuracy, round(avg(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END), 6) AS macro_f1, round(avg(tp / (tp + fn)) FILTER (tp + fn > 0), 6) AS balanced_accuracy FROM cl GROUP BY held""")
+def q_cross_site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, macro F1 and balanced accuracy on the sites that were held out and on the others."""
+    rows = scored(spark, sf_dir).withColumn("held", F.col("vec_id") % 5 == 4)
+    found = metrics.scores_by(rows, "held", "label", "pred")
+    return found.select("held", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy")])
+
+
 @query(f"""WITH {_FILES}, s AS (SELECT cls, site, id, id % 7 AS grp, CASE WHEN id % 3 = 0 THEN 'train' WHEN id % 3 = 1 THEN 'val' ELSE 'test' END AS split FROM k WHERE cls <> 'fr' OR id % 3 = 0)
 SELECT 'grp in several splits' AS problem, CAST(grp AS VARCHAR) AS item FROM s GROUP BY grp HAVING count(DISTINCT split) > 1
 UNION ALL SELECT 'label missing in ' || x, c.cls FROM (SELECT DISTINCT cls FROM s) c CROSS JOIN (VALUES ('train'), ('val'), ('test')) t(x) LEFT JOIN (SELECT DISTINCT cls AS l, split AS p FROM s) h ON h.l = c.cls AND h.p = x WHERE h.l IS NULL
