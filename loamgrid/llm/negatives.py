@@ -213,15 +213,16 @@ def grid(trees: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Blocks of few bytes are broadcast; more are dealt with trees into cells.
     """
+    # A block's windows take less than seven times its anchors, of which each has 64 values or so.
     n_blocks, n_bytes = blocks.agg(F.count("*"), F.sum(F.octet_length("body") * 8 + 64)).first()
     if (n_bytes or 0) <= BROADCAST_BYTES:
         return trees.select("dims", F.col("body").alias("tree")).join(F.broadcast(blocks), "dims")
-    n_cells = -(-n_blocks // CELL)
-    numbered = blocks.withColumn("_cell", F.pmod(F.xxhash64("part"), F.lit(n_cells).cast("long")))
-    cut = trees.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1).cast("long"))))
-    parts = trees.select("dims", F.col("part").alias("_tree"))
-    dealt = numbered.join(parts, "dims")
-    return cut.select("dims", "_cell", F.col("part").alias("_tree"), F.col("body").alias("tree")).join(dealt, ["dims", "_cell", "_tree"]).drop("_cell", "_tree")
+    n_cells, n_trees = -(-n_blocks // CELL), trees.count()
+    dealt = lambda n: F.pmod(F.xxhash64("part"), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
+    cut = trees.select("dims", F.col("body").alias("tree"), dealt(max(n_trees, 1)).alias("_tree"), every(n_cells).alias("_cell"))
+    copies = blocks.withColumn("_cell", dealt(n_cells)).withColumn("_tree", every(n_trees))
+    return cut.join(copies, ["dims", "_cell", "_tree"]).drop("_cell", "_tree")
 
 
 def first_rows(cells: DataFrame, k: int, same: bool) -> DataFrame:
