@@ -149,7 +149,7 @@ def fully_connected(a: Column, weights: list[list[float]], bias: list[float]) ->
 
 
 def cumsum(a: Column, exclusive: bool = False, reverse: bool = False) -> Column:
-    """Prefix sums; linear, by one fold."""
+    """Prefix sums by one fold, for arrays of moderate length: each step copies what there is so far."""
     x = F.reverse(a) if reverse else a
     start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
     step = lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.concat(acc["out"], F.array(acc["s"] if exclusive else acc["s"] + v)).alias("out"))
