@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from loamgrid.session import durable
 CHUNKS = 8
 #: Hashes of a bucket that are compared in pairs, and of a block of a larger one; rows of a hash and a number that are broadcast.
 SMALL, BLOCK, MOST_BROADCAST = 16, 8192, 300_000
+#: Hashes of a group whose pairs are met step by step; pairs of hashes that are compared at once; hashes from which one more shared piece saves more than it costs.
+STEPS, COMPARED, MANY = 48, 1_000_000, 30_000_000
 
 
 def chunked(items: DataFrame, h: str = "h") -> DataFrame:
@@ -24,27 +27,127 @@ def chunked(items: DataFrame, h: str = "h") -> DataFrame:
     return items.select("*", F.explode(pieces).alias("_p")).select("*", "_p.*").drop("_p")
 
 
-def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", shared: int = 2) -> DataFrame:
+def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", shared: int | None = None) -> DataFrame:
     """(a, b, distance) of all pairs a < b whose hashes differ in at most ``distance`` bits.
 
     Hashes are cut into ``distance`` + ``shared`` pieces, of which two such
-    hashes agree in at least ``shared``. The join is on that many pieces at
-    once: with 2 of them 21 bits for a distance of 4 and 14 for one of 7, with
-    3 of them 27 and 19 bits at the cost of 2 to 3 times as many rows; more
-    suit larger tables. Each pair is emitted by the first pieces it agrees in,
-    so no distinct is needed.
+    hashes agree in at least ``shared``. Hashes that agree in that many pieces
+    are a bucket: with 2 of them 21 bits for a distance of 4 and 14 for one of
+    7, with 3 of them 27 and 19 bits at the cost of 2 to 3 times as many rows,
+    which pays from some MANY hashes on; by default their number decides.
+    Arrow batches compare the hashes of a bucket, of one of more than BLOCK
+    those of two parts of it at a time. Each pair is emitted by the first
+    pieces it agrees in, so no distinct is needed.
     """
+    rows = durable(items.where(F.col(h).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("a"), F.col(h).alias("ha")))
+    if shared is None:
+        shared = 2 if rows.count() <= MANY else 3
     pieces = distance + shared
-    cuts, piece, sets = _cut(pieces, shared)
-    keyed = _keyed(items, pieces, shared, key, h)
-    other = keyed.select(F.col("a").alias("b"), F.col("ha").alias("hb"), "no", "v")
-    both = keyed.join(other, ["no", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance))
-    differ = F.col("ha").bitwiseXOR(F.col("hb"))
-    # the first set in the order of combinations is made of the first pieces that agree
-    alike = F.filter(F.array(*[F.when(piece(differ, k) == 0, k) for k in range(pieces)]), lambda k: k.isNotNull())
-    first = sum((alike[n].cast("long") * 64 ** (shared - 1 - n) for n in range(shared)), F.lit(0).cast("long"))
-    code = F.array(*[F.lit(sum(64 ** (shared - 1 - n) * k for n, k in enumerate(s))).cast("long") for s in sets])
-    return both.where(code[F.col("no")] == first).select("a", "b", F.bit_count(differ).cast("int").alias("distance"))
+    cuts, _, sets = _cut(pieces, shared)
+    ends = np.array([s[-1] for s in sets])
+    keyed = _keyed(rows, pieces, shared, "a", "ha")
+    sizes = keyed.groupBy("no", "v").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
+    large = keyed.join(_few(durable(sizes)), ["no", "v"], "left").withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int"))
+    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("no", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "a", "ha")
+
+    def near(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        hashes, own = rows["ha"].to_numpy().view(np.uint64), rows["own"].to_numpy()
+        ids, no = rows["a"].combine_chunks(), rows["no"].to_numpy()
+        first, size = _bounds(rows)
+        for x, y in _gathered(_near_places(hashes, own, first, size, distance)):
+            differ, upto = hashes[x] ^ hashes[y], np.zeros(len(x), np.int64)
+            for k in range(pieces):  # the bucket's own pieces agree; it is the first one if no others before its last do
+                same = (differ >> np.uint64(cuts[k])) & np.uint64((1 << (cuts[k + 1] - cuts[k])) - 1) == 0
+                upto += same & (k <= ends[no[x]])
+            x, y, differ = x[upto == shared], y[upto == shared], differ[upto == shared]
+            a, b = ids.take(pa.array(x)), ids.take(pa.array(y))
+            less = pc.less(a, b)
+            found = pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(np.bitwise_count(differ).astype(np.int32))], ["a", "b", "distance"])
+            yield found.filter(pc.not_equal(a, b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            yield from near(rows)
+
+    parts = dealt.repartition("no", "v", "p", "q").sortWithinPartitions("no", "v", "p", "q")
+    kind = rows.schema["a"].dataType.simpleString()
+    return parts.mapInArrow(run, f"a {kind}, b {kind}, distance int")
+
+
+#: What names a group of rows whose hashes are compared: a bucket, and two of its blocks.
+GROUP = ("no", "v", "p", "q")
+
+
+def _bounds(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group's rows begin, and how many they are."""
+    keys = np.stack([rows[c].to_numpy().astype(np.int64) for c in GROUP])
+    first = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+    return first, np.diff(np.append(first, rows.num_rows))
+
+
+def _near_places(hashes: np.ndarray, own: np.ndarray, first: np.ndarray, size: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of near hashes of each group, some at a time; of two blocks only those between them."""
+    apart = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    few = (size <= STEPS) & ~apart
+    left = np.repeat(np.where(few, size, 0), size) - np.arange(len(hashes)) + np.repeat(first, size) - 1  # rows that follow in a small group
+    at = np.flatnonzero(left > 0)
+    for step in range(1, STEPS):  # pairs of a small group, at one distance in it after the other
+        at = at[left[at] >= step]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(hashes[at] ^ hashes[at + step]) <= distance]
+        if len(near):
+            yield near, near + step
+    for s, n in zip(first[~few & ~apart].tolist(), size[~few & ~apart].tolist(), strict=True):
+        rows = max(1, COMPARED // n)
+        for k in range(s, s + n, rows):
+            found = np.flatnonzero(np.bitwise_count(hashes[k : min(k + rows, s + n), None] ^ hashes[k : s + n]) <= distance)
+            x, y = np.divmod(found, s + n - k)
+            if (x < y).any():
+                yield x[x < y] + k, y[x < y] + k
+    for s, n in zip(first[apart].tolist(), size[apart].tolist(), strict=True):
+        one = own[s : s + n] == own[s : s + n].min()
+        some, others = s + np.flatnonzero(one), s + np.flatnonzero(~one)
+        for part in np.array_split(some, len(some) * len(others) // COMPARED + 1):
+            x, y = np.nonzero(np.bitwise_count(hashes[part][:, None] ^ hashes[others]) <= distance)
+            yield part[x], others[y]
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ``parts``, at least 100,000 at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n > 100_000:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of ``batches``, in the order of their GROUP, in tables that hold groups whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # The last group of a batch may go on in the next one.
+        last = np.ones(batch.num_rows, bool)
+        for c in GROUP:
+            last &= batch[c].to_numpy() == batch[c][batch.num_rows - 1].as_py()
+        begin = batch.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+        if begin:
+            yield pa.Table.from_batches([*held, batch.slice(0, begin)])
+            held = []
+        elif held and any(held[0][c][0].as_py() != batch[c][0].as_py() for c in GROUP):
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _cut(pieces: int, shared: int) -> tuple:
@@ -130,43 +233,24 @@ def near_links(items: DataFrame, distance: int, key: str = "id", h: str = "h", s
     large = met.withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int"))
     dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("no", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "a", "ha")
 
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        ids, hashes = rows["a"].to_numpy(), rows["ha"].to_numpy().view(np.uint64)
+        cuts, size = _bounds(rows)
+        group, few = np.repeat(np.arange(len(cuts)), size), np.repeat(size <= SMALL, size)
+        near = [np.zeros((0, 2), np.int64)]
+        for step in range(1, min(SMALL, len(ids))):  # pairs of a small group, at one distance in it after the other
+            at = np.flatnonzero(few[step:] & (group[step:] == group[:-step]))
+            at = at[np.bitwise_count(hashes[at] ^ hashes[at + step]) <= distance]
+            near.append(np.stack([ids[at], ids[at + step]], 1))
+        own = rows["own"].to_numpy()
+        large = np.flatnonzero(size > SMALL)
+        found = [(ids[s + i], ids[s + j]) for s, e in zip(cuts[large], (cuts + size)[large]) for i, j in new_links(hashes[s:e], own[s:e], distance)]
+        ends = np.concatenate([*near, np.array(found, np.int64).reshape(-1, 2)])
+        return pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(ends[:, 0]), "b": np.ascontiguousarray(ends[:, 1])})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def links(rows: pa.Table) -> pa.RecordBatch:
-            ids, hashes = rows["a"].to_numpy(), rows["ha"].to_numpy().view(np.uint64)
-            keys = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("no", "v", "p", "q")])
-            cuts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
-            size = np.diff(np.append(cuts, len(ids)))
-            group, few = np.repeat(np.arange(len(cuts)), size), np.repeat(size <= SMALL, size)
-            near = [np.zeros((0, 2), np.int64)]
-            for step in range(1, min(SMALL, len(ids))):  # pairs of a small group, at one distance in it after the other
-                at = np.flatnonzero(few[step:] & (group[step:] == group[:-step]))
-                at = at[np.bitwise_count(hashes[at] ^ hashes[at + step]) <= distance]
-                near.append(np.stack([ids[at], ids[at + step]], 1))
-            own = rows["own"].to_numpy()
-            large = np.flatnonzero(size > SMALL)
-            found = [(ids[s + i], ids[s + j]) for s, e in zip(cuts[large], (cuts + size)[large]) for i, j in new_links(hashes[s:e], own[s:e], distance)]
-            ends = np.concatenate([*near, np.array(found, np.int64).reshape(-1, 2)])
-            return pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(ends[:, 0]), "b": np.ascontiguousarray(ends[:, 1])})
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # The last block of a batch may go on in the next one.
-            last = np.ones(batch.num_rows, bool)
-            for c in ("no", "v", "p", "q"):
-                last &= batch[c].to_numpy() == batch[c][batch.num_rows - 1].as_py()
-            begin = batch.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
-            if begin:
-                yield links(pa.Table.from_batches([*held, batch.slice(0, begin)]))
-                held = []
-            elif held and any(held[0][c][0].as_py() != batch[c][0].as_py() for c in ("no", "v", "p", "q")):
-                yield links(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(begin))
-        if held:
-            yield links(pa.Table.from_batches(held))
+        for rows in _whole_groups(batches):
+            yield links(rows)
 
     parts = dealt.repartition("no", "v", "p", "q").sortWithinPartitions("no", "v", "p", "q", "a")
     return same.unionByName(parts.mapInArrow(run, "a long, b long"))

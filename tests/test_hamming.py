@@ -59,3 +59,28 @@ def test_a_large_group_gives_few_links(spark):
     df = spark.createDataFrame(rows, "id long, h long")
     assert hamming.near_links(df, 7).count() < 36 * (3000 + 100)
     assert hamming.near_links(df.where("false"), 7).count() == 0
+
+
+def all_pairs(rows, distance):
+    return {(a, b, d) for a, ha in rows for b, hb in rows if a < b and (d := ((ha ^ hb) & (2**64 - 1)).bit_count()) <= distance}
+
+
+@pytest.mark.parametrize(("distance", "shared", "block", "steps", "join"), [(7, None, 8192, 48, 1000), (7, 2, 7, 3, 1000), (4, 3, 50, 2, 0), (0, 2, 20, 1, 1000)])
+def test_pairs_of_large_buckets_are_compared_in_parts(spark, monkeypatch, distance, shared, block, steps, join):
+    for name, value in (("BLOCK", block), ("STEPS", steps), ("MOST_BROADCAST", join), ("COMPARED", 100)):
+        monkeypatch.setattr(hamming, name, value)
+    rows = hashes(distance + block, 400)
+    df = spark.createDataFrame([*rows, (9999, None)], "id long, h long").repartition(5)
+    found = [tuple(r) for r in hamming.near_pairs(df, distance, shared=shared).collect()]
+    assert len(found) == len(set(found)) and set(found) == all_pairs(rows, distance)
+
+
+def test_pairs_keep_the_kind_of_key_and_meet_no_row_pairs_in_the_engine(spark):
+    rows = hashes(3, 200)
+    df = spark.createDataFrame([(f"k{i:04d}", h) for i, h in rows], "id string, h long")
+    near = hamming.near_pairs(df, 7)
+    assert near.dtypes == [("a", "string"), ("b", "string"), ("distance", "int")]
+    assert {(int(r.a[1:]), int(r.b[1:]), r.distance) for r in near.collect()} == all_pairs(rows, 7)
+    # the join of a bucket's rows with themselves grew with the square of its size, a row for each pair that it met
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") <= 2 and "Join Inner" not in plan
