@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions import vec
-from loamgrid.operators import hamming, ranking, sampling
+from loamgrid.operators import fingerprints, hamming, ranking, sampling
 from loamgrid.session import durable
 
 #: Items of a block; digits to which measures are told apart, so that a population has a bounded number of values.
@@ -39,8 +38,11 @@ def same_key_measures(items: DataFrame, keys: Sequence[str], feature: str = "fea
         first = (pdf["_own"] == pdf["_p"]).to_numpy()
         r = x @ x.T if pdf["_p"].iat[0] == pdf["_q"].iat[0] else x[first] @ x[~first].T
         r = r[np.triu_indices(len(x), 1)] if pdf["_p"].iat[0] == pdf["_q"].iat[0] else r.ravel()
-        value, n = np.unique(np.round(r[np.isfinite(r)], DIGITS) + 0.0, return_counts=True)
-        return pd.DataFrame({"value": value, "n": n})
+        # whole numbers from -10 ** DIGITS to 10 ** DIGITS are counted without sorting the pairs
+        level = np.rint(r[np.isfinite(r)] * 10**DIGITS).astype(np.int64) + 10**DIGITS + 1
+        counts = np.bincount(level, minlength=1)
+        value = np.flatnonzero(counts)
+        return pd.DataFrame({"value": (value - 10**DIGITS - 1) / 10**DIGITS, "n": counts[value]})
 
     found = dealt.groupBy("_key", "_p", "_q").applyInPandas(run, "value double, n long")
     return found.groupBy("value").agg(F.sum("n").alias("n"))
@@ -94,9 +96,9 @@ def calibrate_duplicates(
     """
     rows = durable(items.select(F.col(key).alias("id"), *keys, *([label] if label not in keys else []), F.col(hashes).alias("h"), F.col(feature).cast("array<double>").alias("feature")))
     features = rows.select("id", "feature")
-    unlike = hamming.confirmed(durable(sampling.cross_class_pairs(rows.select("id", label), label, negatives, seed)), features, vec.pearson, -2.0)
+    unlike = fingerprints.correlated(durable(sampling.cross_class_pairs(rows.select("id", label), label, negatives, seed)), features, -2.0)
     pairs = durable(hamming.near_pairs(rows.select("id", "h"), distance))
-    candidates = durable(hamming.confirmed(pairs, features, vec.pearson, -2.0))
+    candidates = durable(fingerprints.correlated(pairs, features, -2.0))
     measured = summary({"same key": same_key_measures(rows, keys), "cross class": counted(unlike), "candidates": counted(candidates)}, [0.05, 0.5, 0.99])
     labels = rows.select("id", F.col(label).alias("l"))
     crossing = candidates.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").withColumn("crosses", ~F.col("la").eqNullSafe(F.col("lb")))

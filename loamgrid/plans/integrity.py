@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions import text, vec
-from loamgrid.operators import calibration, dedupe, hamming, ranking, splits
+from loamgrid.functions import text
+from loamgrid.operators import calibration, dedupe, fingerprints, hamming, ranking, splits
 from loamgrid.operators.components import connected_components
 from loamgrid.plans.registry import query, read
 from loamgrid.session import durable
 
 
+#: Buckets of hashed word counts that stand for a picture's thumbnail.
+DIMENSIONS = 64
+
+
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cls"), F.col("source").alias("site"), "text", F.md5("text").alias("digest"))
 
@@ -66,7 +70,13 @@ def q_parse_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(kept(spark, sf_dir)).withColumn("h", text.simhash(F.split(F.lower("text"), " "))).drop("text")
+    return fingerprinted(spark, sf_dir).drop("feature")
+
+
+def fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept files without their texts: their lengths, SimHashes and features. Texts are read once and not shuffled."""
+    read_ = spread(scanned(spark, sf_dir)).withColumns({"length": F.length("text").cast("long"), "text": F.lower("text")})
+    return dedupe.keep_first(durable(fingerprints.fingerprints(read_, "text", DIMENSIONS)), "digest", ["cls", "id"])
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -83,7 +93,7 @@ _SIM = f"""{_FILES}, tok AS (SELECT DISTINCT id, unnest(string_split(lower(text)
 
 @query(f"WITH {_SIM} SELECT id, lpad(lower(to_hex(h)), 16, '0') AS hex FROM sim")
 def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhashes(spark, sf_dir).select("id", text.hash_to_hex(F.col("h")).alias("hex"))
+    return simhashes(spark, sf_dir).where("h is not null").select("id", text.hash_to_hex(F.col("h")).alias("hex"))
 
 
 _PAIRS = f"{_SIM}, pairs AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM sim a JOIN sim b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= %d)"
@@ -91,30 +101,22 @@ _PAIRS = f"{_SIM}, pairs AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h
 
 @query(f"WITH {_PAIRS % 4} SELECT a, b, distance FROM pairs")
 def q_neardup_pairs_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming.near_pairs(durable(simhashes(spark, sf_dir)), 4)
+    return hamming.near_pairs(simhashes(spark, sf_dir), 4)
 
 
 @query(f"WITH {_PAIRS % 7} SELECT a, b, distance FROM pairs")
 def q_neardup_pairs_d7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming.near_pairs(durable(simhashes(spark, sf_dir)), 7)
+    return hamming.near_pairs(simhashes(spark, sf_dir), 7)
 
 
 @query(f"""WITH {_SIM}, c AS (SELECT j, CAST((h >> (8 * j)) & 255 AS INTEGER) AS v, count(*) AS n FROM sim, range(0, 8) r(j) GROUP BY ALL)
 SELECT count(*) AS n_buckets, max(n) AS largest, count(*) FILTER (n > 8) AS n_over, 4 > count(DISTINCT j) FILTER (n > 8) AS exhaustive FROM c""")
 def q_neardup_bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming.search_report(simhashes(spark, sf_dir), distance=4, cap=8)
-
-
-#: Buckets of hashed word counts that stand for a picture's thumbnail.
-DIMENSIONS = 64
+    return hamming.search_report(simhashes(spark, sf_dir).where("h is not null"), distance=4, cap=8)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spot = lambda t: text.token_hash(t).bitwiseAND(F.lit(DIMENSIONS - 1)).cast("int")
-    counted = kept(spark, sf_dir).select("id", "cls", "site", F.explode(F.split(F.lower("text"), " ")).alias("t")).groupBy("id", "cls", "site", spot(F.col("t")).alias("d")).agg(F.count("*").alias("n"))
-    full = F.map_from_entries(F.collect_list(F.struct("d", F.col("n").cast("double"))))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.coalesce(F.try_element_at(F.col("m"), d), F.lit(0.0)))
-    return counted.groupBy("id", "cls", "site").agg(full.alias("m")).select("id", "cls", "site", vector.alias("feature"))
+    return fingerprinted(spark, sf_dir).where("feature is not null").select("id", "cls", "site", F.col("feature").cast("array<double>").alias("feature"))
 
 
 _FEATURES = f"""tc AS (SELECT id, CAST(CAST('0x' || substr(md5(t), 1, 16) AS UBIGINT) & {DIMENSIONS - 1} AS INTEGER) AS d, count(*) AS n FROM (SELECT id, unnest(string_split(lower(text), ' ')) AS t FROM k) GROUP BY ALL),
@@ -122,14 +124,14 @@ _FEATURES = f"""tc AS (SELECT id, CAST(CAST('0x' || substr(md5(t), 1, 16) AS UBI
 _CORR = f"{_FEATURES}, scored AS (SELECT a, b, corr(x.x, y.x) AS r FROM pairs JOIN fv x ON x.id = a JOIN fv y ON y.id = b AND y.d = x.d GROUP BY a, b)"
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, distance: int, least: float) -> DataFrame:
-    pairs = durable(hamming.near_pairs(durable(simhashes(spark, sf_dir)), distance))
-    return hamming.confirmed(pairs, features(spark, sf_dir), vec.pearson, least)
+def scored_pairs(items: DataFrame, distance: int, least: float) -> DataFrame:
+    pairs = durable(hamming.near_pairs(items.select("id", "h"), distance))
+    return fingerprints.correlated(pairs, items.select("id", "feature"), least)
 
 
 @query(f"WITH {_PAIRS % 7}, {_CORR} SELECT a, b, round(r, 5) AS r FROM scored WHERE r >= 0.9")
 def q_confirmed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_pairs(spark, sf_dir, 7, 0.9).select("a", "b", F.round("r", 5).alias("r"))
+    return scored_pairs(durable(fingerprinted(spark, sf_dir)), 7, 0.9).select("a", "b", F.round("r", 5).alias("r"))
 
 
 THRESHOLDS = [0.80, 0.85, 0.90, 0.92, 0.95, 0.98]
@@ -139,8 +141,9 @@ THRESHOLDS = [0.80, 0.85, 0.90, 0.92, 0.95, 0.98]
 SELECT threshold, count(*) FILTER (r >= threshold) AS kept, count(*) FILTER (r >= threshold AND x.site <> y.site) AS crossing
 FROM scored JOIN k x ON x.id = a JOIN k y ON y.id = b CROSS JOIN t GROUP BY threshold""")
 def q_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = kept(spark, sf_dir).select("id", "site")
-    pairs = scored_pairs(spark, sf_dir, 7, -1.0)
+    items = durable(fingerprinted(spark, sf_dir))
+    sites = items.select("id", "site")
+    pairs = scored_pairs(items, 7, -1.0)
     pairs = pairs.join(sites.toDF("a", "sa"), "a").join(sites.toDF("b", "sb"), "b").withColumn("crosses", F.col("sa") != F.col("sb"))
     return hamming.threshold_sweep(pairs, THRESHOLDS, "r", "crosses")
 
@@ -148,7 +151,7 @@ def q_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PAIRS % 7}, {_CORR}
 SELECT count(*) AS n, round(quantile_cont(r, 0.05), 5) AS p05, round(median(r), 5) AS p50, round(quantile_cont(r, 0.95), 5) AS p95, round(min(r), 5) AS lo, round(max(r), 5) AS hi FROM scored""")
 def q_dup_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = durable(scored_pairs(spark, sf_dir, 7, -1.0))
+    pairs = durable(scored_pairs(durable(fingerprinted(spark, sf_dir)), 7, -1.0))
     marks = {0.05: "p05", 0.5: "p50", 0.95: "p95"}
     at = ranking.quantiles(pairs, "r", list(marks)).groupBy().agg(*(F.round(F.max(F.when(F.col("fraction") == f, F.col("quantile"))), 5).alias(name) for f, name in marks.items()))
     ends = pairs.agg(F.count("*").alias("n"), F.round(F.min("r"), 5).alias("lo"), F.round(F.max("r"), 5).alias("hi"))
@@ -164,8 +167,7 @@ _POPULATIONS = f"""{_PAIRS % 7}, {_FEATURES}, {_NEGATIVE},
 
 def calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The files as pictures: those of a class, a site and a remainder of the length are likely copies, and sites are the labels."""
-    lengths = kept(spark, sf_dir).select("id", (F.length("text") % 50).alias("shot"))
-    items = features(spark, sf_dir).join(simhashes(spark, sf_dir).select("id", "h"), "id").join(lengths, "id")
+    items = fingerprinted(spark, sf_dir).where("feature is not null").withColumn("shot", F.col("length") % 50)
     return calibration.calibrate_duplicates(items, ["cls", "site", "shot"], "site", "h", "feature", THRESHOLDS, distance=7)
 
 
