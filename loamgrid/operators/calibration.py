@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def same_key_measures(items: DataFrame, keys: Sequence[str], feature: str = "fea
     """(value, n): how many pairs of items of equal ``keys`` have which correlation of features, of all such pairs.
 
     Items are dealt into blocks within their key, and two blocks at a time are
-    compared; what leaves a task are counts of values, not pairs. Items with a
+    compared; what leaves a task are counts of values, not pairs, once for all of its groups. Items with a
     null among the keys or without feature pair with nothing; with a constant
     feature a measure is 0. Features of a key have one length.
     """
@@ -28,24 +29,58 @@ def same_key_measures(items: DataFrame, keys: Sequence[str], feature: str = "fea
     there = items.where(" and ".join(f"{k} is not null" for k in [*keys, feature, key])).select(F.struct(*keys).alias("_key"), F.col(key).alias("_id"), F.col(feature).cast("array<double>").alias("_f"))
     placed = ranking.ranked(there, ["_key"], ["_id"]).where("n > 1").withColumn("_own", F.floor(F.col("rank") / block).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int")))
-    dealt = placed.withColumn("_other", other).select("_key", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "_f")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["_f"].to_numpy())
-        x = x - x.mean(axis=1, keepdims=True)
-        deviation = np.sqrt((x * x).mean(axis=1, keepdims=True))
-        x = x / np.where(deviation < 1e-6, 1.0, deviation) / np.sqrt(x.shape[1])
-        first = (pdf["_own"] == pdf["_p"]).to_numpy()
-        r = x @ x.T if pdf["_p"].iat[0] == pdf["_q"].iat[0] else x[first] @ x[~first].T
-        r = r[np.triu_indices(len(x), 1)] if pdf["_p"].iat[0] == pdf["_q"].iat[0] else r.ravel()
-        # whole numbers from -10 ** DIGITS to 10 ** DIGITS are counted without sorting the pairs
-        level = np.rint(r[np.isfinite(r)] * 10**DIGITS).astype(np.int64) + 10**DIGITS + 1
-        counts = np.bincount(level, minlength=1)
+    dealt = placed.withColumn("_other", other).withColumns({"_p": F.least("_own", "_other"), "_q": F.greatest("_own", "_other")})
+    parts = dealt.repartition("_key", "_p", "_q").sortWithinPartitions("_key", "_p", "_q", "rank")
+    # a group of two blocks, or of one, begins with the first item of the first one
+    rows = parts.select((F.col("rank") == F.col("_p") * block).alias("first"), (F.col("_own") == F.col("_p")).alias("own"), (F.col("_p") == F.col("_q")).alias("one"), "_f")
+
+    def measures(rows: pa.Table) -> Iterator[np.ndarray]:
+        lists = rows["_f"].combine_chunks()
+        values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+        own, one = (rows[c].to_numpy() for c in ("own", "one"))
+        begin = np.flatnonzero(rows["first"].to_numpy())
+        for s, e in zip(begin.tolist(), [*begin[1:].tolist(), rows.num_rows], strict=True):
+            x = values[ends[s] : ends[e]].reshape(e - s, -1)
+            x = x - x.mean(axis=1, keepdims=True)
+            deviation = np.sqrt((x * x).mean(axis=1, keepdims=True))
+            x = x / np.where(deviation < 1e-6, 1.0, deviation) / np.sqrt(x.shape[1])
+            r = (x @ x.T)[np.triu_indices(len(x), 1)] if one[s] else (x[own[s:e]] @ x[~own[s:e]].T).ravel()
+            # whole numbers from -10 ** DIGITS to 10 ** DIGITS are counted without sorting the pairs
+            yield np.rint(r[np.isfinite(r)] * 10**DIGITS).astype(np.int64) + 10**DIGITS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, waiting, n = np.zeros(2 * 10**DIGITS + 3, np.int64), [], [], 0
+
+        def add(rows: pa.Table) -> None:
+            nonlocal n
+            for level in measures(rows):
+                waiting.append(level)
+                n += len(level)
+                if n > 1_000_000:
+                    counts[:] += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                    waiting.clear()
+                    n = 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.flatnonzero(batch["first"].to_numpy(zero_copy_only=False))
+            if len(starts):  # the last group may go on in the next batch
+                last = int(starts[-1])
+                whole = [*held, batch.slice(0, last)]
+                if sum(x.num_rows for x in whole):
+                    add(pa.Table.from_batches(whole))
+                held = []
+                batch = batch.slice(last)
+            held.append(batch)
+        if held:
+            add(pa.Table.from_batches(held))
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
         value = np.flatnonzero(counts)
-        return pd.DataFrame({"value": (value - 10**DIGITS - 1) / 10**DIGITS, "n": counts[value]})
+        yield pa.RecordBatch.from_arrays([pa.array((value - 10**DIGITS - 1) / 10**DIGITS), pa.array(counts[value])], ["value", "n"])
 
-    found = dealt.groupBy("_key", "_p", "_q").applyInPandas(run, "value double, n long")
-    return found.groupBy("value").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "value double, n long").groupBy("value").agg(F.sum("n").alias("n"))
 
 
 def counted(scored: DataFrame, value: str = "r") -> DataFrame:

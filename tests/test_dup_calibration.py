@@ -71,3 +71,12 @@ def test_the_whole_calibration(spark):
 def test_no_items(spark):
     measured, sweep = calibration.calibrate_duplicates(spark.createDataFrame([], SCHEMA), ["cls", "leaf", "shot"], "cls", "h", "feature", [0.8])
     assert [(r.population, r.n) for r in measured.orderBy("population").collect()] == [("candidates", 0), ("cross class", 0), ("same key", 0)] and sweep.count() == 0
+
+
+def test_many_small_groups_give_one_lot_of_counts_a_task(spark):
+    rows = [(i, "a", f"k{i // 2}", "1", 0, [float(i % 2), 1.0, 0.5 * (i % 3)]) for i in range(6000)]
+    found = calibration.same_key_measures(spark.createDataFrame(rows, SCHEMA), ["cls", "leaf", "shot"])
+    assert sum(r.n for r in found.collect()) == 3000
+    # a call for each group cost milliseconds, whatever its size
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
