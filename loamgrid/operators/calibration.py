@@ -132,9 +132,7 @@ def calibrate_duplicates(
     rows = durable(items.select(F.col(key).alias("id"), *keys, *([label] if label not in keys else []), F.col(hashes).alias("h"), F.col(feature).cast("array<double>").alias("feature")))
     features = rows.select("id", "feature")
     unlike = fingerprints.correlated(durable(sampling.cross_class_pairs(rows.select("id", label), label, negatives, seed)), features, -2.0)
-    pairs = durable(hamming.near_pairs(rows.select("id", "h"), distance))
-    candidates = durable(fingerprints.correlated(pairs, features, -2.0))
+    candidates = durable(fingerprints.near_correlated(rows, distance, -2.0, [label]))
     measured = summary({"same key": same_key_measures(rows, keys), "cross class": counted(unlike), "candidates": counted(candidates)}, [0.05, 0.5, 0.99])
-    labels = rows.select("id", F.col(label).alias("l"))
-    crossing = candidates.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").withColumn("crosses", ~F.col("la").eqNullSafe(F.col("lb")))
+    crossing = candidates.withColumn("crosses", ~F.col(f"{label}_a").eqNullSafe(F.col(f"{label}_b")))
     return measured, hamming.threshold_sweep(crossing, list(thresholds), "r", "crosses")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from hashlib import md5
 
 import numpy as np
@@ -11,10 +11,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.operators import hamming
 from loamgrid.session import durable
 
-#: Texts whose words are taken up together; words whose hashes a task keeps.
-SLICE, KNOWN = 200, 500_000
+#: Texts whose words are taken up together; words whose digests are held at once; words whose bits are added up in a byte each.
+SLICE, KNOWN, LANE = 400, 500_000, 255
+#: Pairs whose features are unfolded at once.
+PAIRS = 20_000
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """The first eight bytes of each word's md5, cut from the words' buffer without an object for each."""
+    ends, whole = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist(), memoryview(words.buffers()[2] or b"")
+    parts = []
+    for k in range(0, len(words), KNOWN):
+        digests = b"".join([md5(whole[a:b]).digest() for a, b in zip(ends[k : k + KNOWN], ends[k + 1 : k + 1 + KNOWN], strict=False)])
+        parts.append(np.frombuffer(digests, ">u8")[::2].astype("<u8"))
+    return np.concatenate(parts) if parts else np.zeros(0, "<u8")
 
 
 def fingerprints(rows: DataFrame, text: str, dimensions: int = 64) -> DataFrame:
@@ -29,32 +42,27 @@ def fingerprints(rows: DataFrame, text: str, dimensions: int = 64) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-
-        def hash_of(word: bytes) -> int:
-            found = known.get(word)
-            if found is None:
-                found = known[word] = int.from_bytes(md5(word).digest()[:8], "big")
-            return found
-
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                if len(known) > KNOWN:
-                    known.clear()
                 words = pc.split_pattern(part[text], " ")
                 n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 coded = words.flatten().cast(pa.binary()).dictionary_encode()
-                hashes = np.array([hash_of(w) for w in coded.dictionary.to_pylist()], np.uint64)
+                hashes = _word_hashes(coded.dictionary)
                 codes, doc = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(n)), n)
                 counts = np.bincount(doc * dimensions + (hashes & np.uint64(dimensions - 1)).astype(np.int64)[codes], minlength=len(n) * dimensions)
-                distinct = np.unique(doc * max(len(hashes), 1) + codes)
-                size = np.bincount(distinct // max(len(hashes), 1), minlength=len(n))
-                bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                distinct = np.sort(doc * max(len(hashes), 1) + codes)
+                owner, code = np.divmod(distinct[np.append(True, distinct[1:] != distinct[:-1])[: len(distinct)]], max(len(hashes), 1))
+                size = np.bincount(owner, minlength=len(n))
                 there = np.flatnonzero(size)
                 h = np.zeros(len(n), np.int64)
                 if len(there):
-                    votes = np.add.reduceat(bits[distinct % len(hashes)], (np.cumsum(size) - size)[there], axis=0, dtype=np.int32)
+                    # a hash's bits as bytes, eight in a number: sums of LANE of them stay apart
+                    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+                    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+                    lanes = np.flatnonzero(place % LANE == 0)
+                    sums = np.add.reduceat(bits[code], lanes, axis=0).view(np.uint8)
+                    votes = np.add.reduceat(sums, np.flatnonzero(place[lanes] == 0), axis=0, dtype=np.int32)
                     h[there] = np.packbits(2 * votes > size[there][:, None], axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
                 none = pa.array(size == 0)
                 feature = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * dimensions, pa.array(counts.astype(np.int32)), mask=none)
@@ -63,13 +71,14 @@ def fingerprints(rows: DataFrame, text: str, dimensions: int = 64) -> DataFrame:
     return rows.select(*others, text).mapInArrow(run, f"{kinds}, h long, feature array<int>")
 
 
-def _packed(features: DataFrame, key: str, feature: str) -> DataFrame:
-    """(key, p): features as bytes, small whole numbers as one byte each; the first byte tells which."""
-    kind = features.schema[key].dataType.simpleString()
+def _packed(rows: DataFrame, feature: str) -> DataFrame:
+    """``rows`` that have a feature, with it as bytes, ``p``: small whole numbers as one byte each; the first byte tells which."""
+    others = [c for c in rows.columns if c != feature]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != feature)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch["f"]
+            lists = batch[feature]
             values, size = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy()
             start = np.cumsum(size) - size
             small = (values == np.rint(values)) & (values >= 0) & (values <= 255)
@@ -77,10 +86,10 @@ def _packed(features: DataFrame, key: str, feature: str) -> DataFrame:
             plain = bad[start + size] == bad[start]
             whole, small = values.tobytes(), np.where(small, values, 0).astype(np.uint8).tobytes()
             packed = [b"\1" + small[s : s + n] if p else b"\0" + whole[8 * s : 8 * (s + n)] for s, n, p in zip(start.tolist(), size.tolist(), plain.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["k"], pa.array(packed, pa.binary())], ["k", "p"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(packed, pa.binary())], [*others, "p"])
 
-    there = features.where(F.col(feature).isNotNull()).select(F.col(key).alias("k"), F.col(feature).cast("array<double>").alias("f"))
-    return there.mapInArrow(run, f"k {kind}, p binary")
+    there = rows.where(F.col(feature).isNotNull()).withColumn(feature, F.col(feature).cast("array<double>"))
+    return there.mapInArrow(run, f"{kinds}, p binary" if kinds else "p binary")
 
 
 def _scores(packed: pa.Array) -> np.ndarray:
@@ -105,7 +114,7 @@ def correlated(pairs: DataFrame, features: DataFrame, least: float, key: str = "
     many pairs: what is shuffled with each is a byte for each small whole
     number. Items without a feature pair with nothing.
     """
-    packed = durable(_packed(features, key, feature))
+    packed = durable(_packed(features.select(key, feature), feature))
     met = pairs.join(packed.toDF("a", "_pa"), "a").join(packed.toDF("b", "_pb"), "b").select(*pairs.columns, "_pa", "_pb")
     columns, kinds = pairs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
 
@@ -117,3 +126,24 @@ def correlated(pairs: DataFrame, features: DataFrame, least: float, key: str = "
                 yield out.filter(pa.array(r >= least))
 
     return met.mapInArrow(run, f"{kinds}, r double")
+
+
+def near_correlated(items: DataFrame, distance: int, least: float, carry: Sequence[str] = (), key: str = "id", h: str = "h", feature: str = "feature", shared: int | None = None) -> DataFrame:
+    """(a, b, distance, x_a, x_b, r): near hashes and the correlation of their features, for each ``x`` of ``carry`` what both ends have.
+
+    It is :func:`correlated` of :func:`loamgrid.operators.hamming.near_pairs`;
+    but items are shuffled with their features, a few times each, and pairs,
+    which may be many more than items, aren't. A task takes up the features of
+    the items that have a near one.
+    """
+
+    def score(packed: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        r = np.empty(len(x))
+        for k in range(0, len(x), PAIRS):
+            some, at = np.unique(np.concatenate([x[k : k + PAIRS], y[k : k + PAIRS]]), return_inverse=True)
+            z, n = _scores(packed.take(pa.array(some))), len(at) // 2
+            r[k : k + PAIRS] = (z[at[:n]] * z[at[n:]]).mean(axis=1)
+        return r
+
+    packed = _packed(items.select(key, h, *carry, feature), feature)
+    return hamming.near_pairs(packed, distance, key, h, shared, carry, ("p", score, least))

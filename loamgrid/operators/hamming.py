@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +27,7 @@ def chunked(items: DataFrame, h: str = "h") -> DataFrame:
     return items.select("*", F.explode(pieces).alias("_p")).select("*", "_p.*").drop("_p")
 
 
-def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", shared: int | None = None) -> DataFrame:
+def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", shared: int | None = None, carry: Sequence[str] = (), scored: tuple[str, Callable, float] | None = None) -> DataFrame:
     """(a, b, distance) of all pairs a < b whose hashes differ in at most ``distance`` bits.
 
     Hashes are cut into ``distance`` + ``shared`` pieces, of which two such
@@ -35,44 +35,84 @@ def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", s
     are a bucket: with 2 of them 21 bits for a distance of 4 and 14 for one of
     7, with 3 of them 27 and 19 bits at the cost of 2 to 3 times as many rows,
     which pays from some MANY hashes on; by default their number decides.
-    Arrow batches compare the hashes of a bucket, of one of more than BLOCK
-    those of two parts of it at a time. Each pair is emitted by the first
-    pieces it agrees in, so no distinct is needed.
+    Only the first of these pieces deal rows to tasks, so that an item has one
+    row for each of their choices, 8 and not 36 for a distance of 7; the last
+    piece is sorted by within the task, whose Arrow batches compare the hashes
+    of a bucket. More than 4 * BLOCK rows of the same first pieces are met in
+    two parts at a time. Each pair is emitted by the first pieces it agrees in,
+    so no distinct is needed.
+
+    ``carry`` names columns of which a pair gets both ends' values, x_a and
+    x_b. ``scored`` is a column, a function of its values in a task and the
+    places of pairs' ends, and the least r = function(values, x, y) that a pair needs.
     """
-    rows = durable(items.where(F.col(h).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("a"), F.col(h).alias("ha")))
+    of, score, least = scored or (None, None, None)
+    more = [*carry, *([of] if of else [])]
+    rows = durable(items.where(F.col(h).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("a"), F.col(h).alias("ha"), *(F.col(c).alias(f"_{c}") for c in more)))
     if shared is None:
         shared = 2 if rows.count() <= MANY else 3
-    pieces = distance + shared
-    cuts, _, sets = _cut(pieces, shared)
-    ends = np.array([s[-1] for s in sets])
-    keyed = _keyed(rows, pieces, shared, "a", "ha")
-    sizes = keyed.groupBy("no", "v").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
+    pieces, leading = distance + shared, max(shared - 1, 1)
+    cuts, _ = _cut(pieces, shared)
+    leads = [s for s in combinations(range(pieces), leading) if s[-1] < pieces - (shared - leading)]
+    keyed = _keyed(rows, leads, cuts, "a", "ha", [f"_{c}" for c in more])
+    sizes = keyed.groupBy("no", "v").agg(F.count("*").alias("n")).where(F.col("n") > 4 * BLOCK)
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / (4 * BLOCK)).cast("int")
     large = keyed.join(_few(durable(sizes)), ["no", "v"], "left").withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int"))
-    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("no", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "a", "ha")
+    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("no", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "a", "ha", *(f"_{c}" for c in more))
 
-    def near(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        hashes, own = rows["ha"].to_numpy().view(np.uint64), rows["own"].to_numpy()
-        ids, no = rows["a"].combine_chunks(), rows["no"].to_numpy()
+    def piece(x: np.ndarray, k: int) -> np.ndarray:
+        return (x >> np.uint64(cuts[k])) & np.uint64((1 << (cuts[k + 1] - cuts[k])) - 1)
+
+    def buckets(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The last piece of some buckets, and the places of the near hashes in them."""
+        hashes, own, two = rows["ha"].to_numpy().view(np.uint64), rows["own"].to_numpy(), rows["p"].to_numpy() != rows["q"].to_numpy()
         first, size = _bounds(rows)
-        for x, y in _gathered(_near_places(hashes, own, first, size, distance)):
+        group, ends = np.repeat(np.arange(len(first)), size), np.array([s[-1] for s in leads])[rows["no"].to_numpy()]
+        if shared == leading:
+            for x, y in _gathered(_near_places(hashes, own, two, first, size, distance)):
+                yield ends[x], x, y
+            return
+        for k in range(1, pieces):
+            at = np.flatnonzero(ends < k)
+            if not len(at):
+                continue
+            bucket = group[at].astype(np.uint64) << np.uint64(cuts[k + 1] - cuts[k]) | piece(hashes[at], k)
+            order = np.argsort(bucket, kind="stable")
+            at, bucket = at[order], bucket[order]
+            begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for x, y in _gathered(_near_places(hashes[at], own[at], two[at], begin, np.diff(np.append(begin, len(at))), distance)):
+                yield np.full(len(x), k), at[x], at[y]
+
+    def near(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        hashes, columns = rows["ha"].to_numpy().view(np.uint64), {c: rows[c].combine_chunks() for c in ["a", *(f"_{c}" for c in more)]}
+        for last, x, y in buckets(rows):
             differ, upto = hashes[x] ^ hashes[y], np.zeros(len(x), np.int64)
             for k in range(pieces):  # the bucket's own pieces agree; it is the first one if no others before its last do
-                same = (differ >> np.uint64(cuts[k])) & np.uint64((1 << (cuts[k + 1] - cuts[k])) - 1) == 0
-                upto += same & (k <= ends[no[x]])
-            x, y, differ = x[upto == shared], y[upto == shared], differ[upto == shared]
-            a, b = ids.take(pa.array(x)), ids.take(pa.array(y))
+                upto += (piece(differ, k) == 0) & (k <= last)
+            ok = upto == shared
+            x, y, differ = x[ok], y[ok], differ[ok]
+            a, b = columns["a"].take(pa.array(x)), columns["a"].take(pa.array(y))
             less = pc.less(a, b)
-            found = pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(np.bitwise_count(differ).astype(np.int32))], ["a", "b", "distance"])
-            yield found.filter(pc.not_equal(a, b))
+            swapped = ~less.to_numpy(zero_copy_only=False)
+            x, y = np.where(swapped, y, x), np.where(swapped, x, y)
+            ok = pc.not_equal(a, b)
+            out = {"a": pc.if_else(less, a, b), "b": pc.if_else(less, b, a), "distance": pa.array(np.bitwise_count(differ).astype(np.int32))}
+            for c in carry:
+                out |= {f"{c}_a": columns[f"_{c}"].take(pa.array(x)), f"{c}_b": columns[f"_{c}"].take(pa.array(y))}
+            if of:
+                r = score(columns[f"_{of}"], x, y) if len(x) else np.zeros(0)
+                out["r"] = pa.array(r)
+                ok = pc.and_(ok, pa.array(r >= least))
+            yield pa.RecordBatch.from_pydict(out).filter(ok)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches):
             yield from near(rows)
 
     parts = dealt.repartition("no", "v", "p", "q").sortWithinPartitions("no", "v", "p", "q")
-    kind = rows.schema["a"].dataType.simpleString()
-    return parts.mapInArrow(run, f"a {kind}, b {kind}, distance int")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    carried = "".join(f", `{c}_{end}` {kind[f'_{c}']}" for c in carry for end in "ab")
+    return parts.mapInArrow(run, f"a {kind['a']}, b {kind['a']}, distance int{carried}{', r double' if of else ''}")
 
 
 #: What names a group of rows whose hashes are compared: a bucket, and two of its blocks.
@@ -86,10 +126,9 @@ def _bounds(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, rows.num_rows))
 
 
-def _near_places(hashes: np.ndarray, own: np.ndarray, first: np.ndarray, size: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of near hashes of each group, some at a time; of two blocks only those between them."""
-    apart = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-    few = (size <= STEPS) & ~apart
+def _near_places(hashes: np.ndarray, own: np.ndarray, two: np.ndarray, first: np.ndarray, size: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of near hashes of each group, some at a time; where there are ``two`` blocks, only those between them."""
+    few, apart = size <= STEPS, two[first]
     left = np.repeat(np.where(few, size, 0), size) - np.arange(len(hashes)) + np.repeat(first, size) - 1  # rows that follow in a small group
     at = np.flatnonzero(left > 0)
     for step in range(1, STEPS):  # pairs of a small group, at one distance in it after the other
@@ -97,16 +136,18 @@ def _near_places(hashes: np.ndarray, own: np.ndarray, first: np.ndarray, size: n
         if not len(at):
             break
         near = at[np.bitwise_count(hashes[at] ^ hashes[at + step]) <= distance]
+        near = near[~two[near] | (own[near] != own[near + step])]
         if len(near):
             yield near, near + step
     for s, n in zip(first[~few & ~apart].tolist(), size[~few & ~apart].tolist(), strict=True):
         rows = max(1, COMPARED // n)
         for k in range(s, s + n, rows):
             found = np.flatnonzero(np.bitwise_count(hashes[k : min(k + rows, s + n), None] ^ hashes[k : s + n]) <= distance)
-            x, y = np.divmod(found, s + n - k)
-            if (x < y).any():
-                yield x[x < y] + k, y[x < y] + k
-    for s, n in zip(first[apart].tolist(), size[apart].tolist(), strict=True):
+            if len(found):
+                x, y = np.divmod(found, s + n - k)
+                if (x < y).any():
+                    yield x[x < y] + k, y[x < y] + k
+    for s, n in zip(first[~few & apart].tolist(), size[~few & apart].tolist(), strict=True):
         one = own[s : s + n] == own[s : s + n].min()
         some, others = s + np.flatnonzero(one), s + np.flatnonzero(~one)
         for part in np.array_split(some, len(some) * len(others) // COMPARED + 1):
@@ -150,26 +191,25 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _cut(pieces: int, shared: int) -> tuple:
-    """Where hashes are cut, the expression of a piece, and the sets of pieces that a bucket is made of."""
+def _cut(pieces: int, shared: int) -> tuple[list[int], list[tuple]]:
+    """Where hashes are cut, and the sets of pieces that a bucket is made of."""
     if pieces > 64:
         raise ValueError("hashes of 64 bits have no more than 64 pieces")
-    cuts = [64 * k // pieces for k in range(pieces + 1)]
-    return cuts, lambda x, k: F.shiftrightunsigned(x, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)), list(combinations(range(pieces), shared))
+    return [64 * k // pieces for k in range(pieces + 1)], list(combinations(range(pieces), shared))
 
 
-def _keyed(items: DataFrame, pieces: int, shared: int, key: str, h: str) -> DataFrame:
-    """(a, ha, no, v): each item in the buckets of its pieces, ``shared`` at once."""
-    cuts, piece, sets = _cut(pieces, shared)
+def _keyed(items: DataFrame, sets: list[tuple], cuts: list[int], key: str, h: str, more: Sequence[str] = ()) -> DataFrame:
+    """(a, ha, no, v, more): each item in the buckets of its pieces, those of a set at once."""
 
     def joined(x: Column, chosen: tuple) -> Column:
         out = F.lit(0).cast("long")
         for k in chosen:
-            out = F.shiftleft(out, cuts[k + 1] - cuts[k]).bitwiseOR(piece(x, k))
+            wide = cuts[k + 1] - cuts[k]
+            out = F.shiftleft(out, wide).bitwiseOR(F.shiftrightunsigned(x, cuts[k]).bitwiseAND(F.lit((1 << wide) - 1)))
         return out
 
     buckets = F.array(*[F.struct(F.lit(n).alias("no"), joined(F.col(h), s).alias("v")) for n, s in enumerate(sets)])
-    return items.select(F.col(key).alias("a"), F.col(h).alias("ha"), F.explode(buckets).alias("p")).select("a", "ha", "p.no", "p.v")
+    return items.select(F.col(key).alias("a"), F.col(h).alias("ha"), *more, F.explode(buckets).alias("p")).select("a", "ha", *more, "p.no", "p.v")
 
 
 def forest(hashes: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -226,7 +266,8 @@ def near_links(items: DataFrame, distance: int, key: str = "id", h: str = "h", s
     heads = durable(rows.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("n")))
     several = heads.where("n > 1").select("h", "head")
     same = rows.join(_few(several), "h").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    keyed = _keyed(heads, distance + shared, shared, "head", "h")
+    pieces, sets = _cut(distance + shared, shared)
+    keyed = _keyed(heads, sets, pieces, "head", "h")
     sizes = keyed.groupBy("no", "v").agg(F.count("*").alias("n")).where("n > 1")
     met = durable(keyed.join(sizes, ["no", "v"]))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")

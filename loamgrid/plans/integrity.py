@@ -124,14 +124,9 @@ _FEATURES = f"""tc AS (SELECT id, CAST(CAST('0x' || substr(md5(t), 1, 16) AS UBI
 _CORR = f"{_FEATURES}, scored AS (SELECT a, b, corr(x.x, y.x) AS r FROM pairs JOIN fv x ON x.id = a JOIN fv y ON y.id = b AND y.d = x.d GROUP BY a, b)"
 
 
-def scored_pairs(items: DataFrame, distance: int, least: float) -> DataFrame:
-    pairs = durable(hamming.near_pairs(items.select("id", "h"), distance))
-    return fingerprints.correlated(pairs, items.select("id", "feature"), least)
-
-
 @query(f"WITH {_PAIRS % 7}, {_CORR} SELECT a, b, round(r, 5) AS r FROM scored WHERE r >= 0.9")
 def q_confirmed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_pairs(durable(fingerprinted(spark, sf_dir)), 7, 0.9).select("a", "b", F.round("r", 5).alias("r"))
+    return fingerprints.near_correlated(fingerprinted(spark, sf_dir), 7, 0.9).select("a", "b", F.round("r", 5).alias("r"))
 
 
 THRESHOLDS = [0.80, 0.85, 0.90, 0.92, 0.95, 0.98]
@@ -141,17 +136,14 @@ THRESHOLDS = [0.80, 0.85, 0.90, 0.92, 0.95, 0.98]
 SELECT threshold, count(*) FILTER (r >= threshold) AS kept, count(*) FILTER (r >= threshold AND x.site <> y.site) AS crossing
 FROM scored JOIN k x ON x.id = a JOIN k y ON y.id = b CROSS JOIN t GROUP BY threshold""")
 def q_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = durable(fingerprinted(spark, sf_dir))
-    sites = items.select("id", "site")
-    pairs = scored_pairs(items, 7, -1.0)
-    pairs = pairs.join(sites.toDF("a", "sa"), "a").join(sites.toDF("b", "sb"), "b").withColumn("crosses", F.col("sa") != F.col("sb"))
+    pairs = fingerprints.near_correlated(fingerprinted(spark, sf_dir), 7, -1.0, ["site"]).withColumn("crosses", F.col("site_a") != F.col("site_b"))
     return hamming.threshold_sweep(pairs, THRESHOLDS, "r", "crosses")
 
 
 @query(f"""WITH {_PAIRS % 7}, {_CORR}
 SELECT count(*) AS n, round(quantile_cont(r, 0.05), 5) AS p05, round(median(r), 5) AS p50, round(quantile_cont(r, 0.95), 5) AS p95, round(min(r), 5) AS lo, round(max(r), 5) AS hi FROM scored""")
 def q_dup_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = durable(scored_pairs(durable(fingerprinted(spark, sf_dir)), 7, -1.0))
+    pairs = durable(fingerprints.near_correlated(fingerprinted(spark, sf_dir), 7, -1.0).select("r"))
     marks = {0.05: "p05", 0.5: "p50", 0.95: "p95"}
     at = ranking.quantiles(pairs, "r", list(marks)).groupBy().agg(*(F.round(F.max(F.when(F.col("fraction") == f, F.col("quantile"))), 5).alias(name) for f, name in marks.items()))
     ends = pairs.agg(F.count("*").alias("n"), F.round(F.min("r"), 5).alias("lo"), F.round(F.max("r"), 5).alias("hi"))

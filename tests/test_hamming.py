@@ -84,3 +84,27 @@ def test_pairs_keep_the_kind_of_key_and_meet_no_row_pairs_in_the_engine(spark):
     # the join of a bucket's rows with themselves grew with the square of its size, a row for each pair that it met
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(") <= 2 and "Join Inner" not in plan
+
+
+@pytest.mark.parametrize(("shared", "block", "steps", "rows_an_item"), [(2, 8192, 48, 8), (2, 2, 3, 8), (3, 3, 2, 36), (1, 4, 3, 8)])
+def test_items_are_dealt_by_their_first_pieces_and_pairs_not_at_all(spark, monkeypatch, shared, block, steps, rows_an_item):
+    from loamgrid.operators import fingerprints
+
+    for name, value in (("BLOCK", block), ("STEPS", steps), ("COMPARED", 50)):
+        monkeypatch.setattr(hamming, name, value)
+    monkeypatch.setattr(fingerprints, "PAIRS", 70)
+    keyed = []
+    monkeypatch.setattr(hamming, "_keyed", lambda *a, f=hamming._keyed: keyed.append(f(*a)) or keyed[-1])
+    rng = random.Random(block)
+    rows = [(f"k{i:04d}", h, f"s{rng.randrange(3)}", [rng.randrange(9) for _ in range(6)] if i % 9 else None) for i, h in hashes(block, 300)]
+    df = spark.createDataFrame(rows, "id string, h long, site string, feature array<int>").repartition(4)
+    found = fingerprints.near_correlated(df, 7, -0.2, ["site"], shared=shared)
+    assert found.columns == ["a", "b", "distance", "site_a", "site_b", "r"]
+    want = fingerprints.correlated(hamming.near_pairs(df.where("feature is not null"), 7), df.select("id", "feature"), -0.2).collect()
+    site = {r[0]: r[2] for r in rows}
+    got = {(r.a, r.b): r for r in found.collect()}
+    assert len(got) == found.count() and {k: (r.distance, r.r) for k, r in got.items()} == {(r.a, r.b): (r.distance, r.r) for r in want}
+    assert all((r.site_a, r.site_b) == (site[r.a], site[r.b]) for r in got.values())
+    # it was a row for each choice of two pieces, 36, and pairs were joined with the features of both ends
+    assert keyed[0].count() == rows_an_item * sum(r[3] is not None for r in rows)
+    assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
