@@ -80,3 +80,15 @@ def test_many_small_groups_give_one_lot_of_counts_a_task(spark):
     # a call for each group cost milliseconds, whatever its size
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_pairs_of_near_texts_are_not_joined_with_features(spark, tmp_path, monkeypatch):
+    from loamgrid.operators import fingerprints
+    from loamgrid.plans import integrity
+
+    docs = [(i, "abc"[i % 3], "s", " ".join(f"w{(i // 4) * 31 + k}" for k in range(60)) + f" x{i}") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    # the rows of such a join grew with the pairs, nearly by the square of the table
+    monkeypatch.setattr(fingerprints, "correlated", None)
+    row = integrity.q_dup_calibration(spark, str(tmp_path)).collect()[0]
+    assert row.n >= 40 and 0.9 < row.lo <= row.p05 <= row.p50 <= row.p95 <= row.hi <= 1
