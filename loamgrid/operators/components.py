@@ -20,7 +20,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of some edges that reach a lesser one, and the least that each reaches."""
     names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
@@ -42,7 +42,7 @@ def _contract(edges: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
         if ends:
-            node, root = _roots(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+            node, root = least_reached(*(np.concatenate(x) for x in zip(*ends, strict=True)))
             for k in range(0, len(node), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(node[k : k + 100_000]), pa.array(root[k : k + 100_000])], ["u", "v"])
 

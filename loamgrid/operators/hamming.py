@@ -106,7 +106,7 @@ def near_pairs(items: DataFrame, distance: int, key: str = "id", h: str = "h", s
             yield pa.RecordBatch.from_pydict(out).filter(ok)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches):
+        for rows in whole_groups(batches, GROUP):
             yield from near(rows)
 
     parts = dealt.repartition("no", "v", "p", "q").sortWithinPartitions("no", "v", "p", "q")
@@ -169,21 +169,21 @@ def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of ``batches``, in the order of their GROUP, in tables that hold groups whole."""
+def whole_groups(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of ``batches``, in the order of ``by``, in tables that hold its groups whole."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         # The last group of a batch may go on in the next one.
         last = np.ones(batch.num_rows, bool)
-        for c in GROUP:
+        for c in by:
             last &= batch[c].to_numpy() == batch[c][batch.num_rows - 1].as_py()
         begin = batch.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
         if begin:
             yield pa.Table.from_batches([*held, batch.slice(0, begin)])
             held = []
-        elif held and any(held[0][c][0].as_py() != batch[c][0].as_py() for c in GROUP):
+        elif held and any(held[0][c][0].as_py() != batch[c][0].as_py() for c in by):
             yield pa.Table.from_batches(held)
             held = []
         held.append(batch.slice(begin))
@@ -290,7 +290,7 @@ def near_links(items: DataFrame, distance: int, key: str = "id", h: str = "h", s
         return pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(ends[:, 0]), "b": np.ascontiguousarray(ends[:, 1])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches):
+        for rows in whole_groups(batches, GROUP):
             yield links(rows)
 
     parts = dealt.repartition("no", "v", "p", "q").sortWithinPartitions("no", "v", "p", "q", "a")
