@@ -8,6 +8,8 @@ the reversed table, and bytes into text only once a text's tokens are joined.
 Offsets count code points; a token that holds a part of a character covers the
 whole of it, so neighbours that share a character overlap.
 
+No match of the pattern goes on over a space before a character that is none,
+so texts are cut there, and each different stretch of a task is encoded once.
 The tokenizer is built once on the driver, from a vocabulary of fixed size, and
 broadcast. Batches are cut by bytes of text; nothing is shuffled.
 """
@@ -31,7 +33,11 @@ from pyspark.sql import types as T
 from loamgrid.llm.common import table
 
 #: Bytes of text that are encoded at once, and ids that are decoded at once; a larger text goes alone.
-SLICE_BYTES, SLICE_IDS = 1 << 20, 1 << 18
+SLICE_BYTES, SLICE_IDS = 1 << 22, 1 << 18
+#: Stretches whose ids a task remembers, the first ones that it meets, and their greatest length; stretches that are encoded at once.
+KNOWN, KNOWN_LENGTH, NEW = 300_000, 32, 10_000
+#: Whether a byte begins a character that is surely no white space; of those that begin one which may be, all characters count as such.
+SOLID = np.array([b > 0x20 and b not in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
 
 def byte_characters() -> list[str]:
@@ -119,10 +125,58 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
-def list_array(lengths: list[int], values: np.ndarray) -> pa.Array:
+def list_array(lengths: list[int] | np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)), pa.array(values))
 
 
+def stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts, joined and cut before each space that a character other than white space follows, and where each text begins among these.
+
+    A pattern's match holds such a space at its beginning only, and white space
+    before it is matched as at the end of a text; so the matches in a stretch
+    are those of the text.
+    """
+    texts = pa.concat_arrays([texts.cast(pa.binary())])  # of a slice, its own bytes
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data):
+        cut[: len(data) - 1] = (data[:-1] == 0x20) & SOLID[data[1:]]
+        cut[ends[1:][ends[1:] > 0] - 1] = False  # what follows a text's last space is another text
+    cut[ends] = True
+    at = np.flatnonzero(cut).astype(np.int32)
+    if len(at) == 1:  # no bytes
+        return pa.array([], pa.string()), np.zeros(len(ends), np.int64)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))), np.searchsorted(at, ends)
+
+
+class Encoder:
+    """Ids of texts by a tokenizer, which gets each different stretch once, as long as that is remembered."""
+
+    def __init__(self, model):
+        self.model, self.known = model, {}
+
+    def ids(self, texts: pa.Array) -> pa.ListArray:
+        found, first = stretches(texts)
+        coded = found.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new, fresh = [w for w in words if w not in self.known], {}
+        for k in range(0, len(new), NEW):
+            fresh |= {w: x.ids for w, x in zip(new[k : k + NEW], self.model.encode_batch_fast(new[k : k + NEW], add_special_tokens=False), strict=True)}
+        ids = [fresh[w] if w in fresh else self.known[w] for w in words]
+        for w, x in fresh.items():
+            if len(self.known) >= KNOWN:
+                break
+            if len(w) <= KNOWN_LENGTH:
+                self.known[w] = x
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        of_word = list_array(sizes, np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum()))
+        ends = np.append(0, np.cumsum(sizes[codes]))[first]
+        return list_array(np.diff(ends), of_word.take(pa.array(codes)).flatten().to_numpy(zero_copy_only=False))
+
+
 def encode(df: DataFrame, tokenizer: Broadcast, text: str = "text", offsets: bool = False) -> DataFrame:
     """``df`` with _ids, and with _starts and _ends if ``offsets``, in place of ``text``.
 
@@ -141,15 +195,17 @@ def encode(df: DataFrame, tokenizer: Broadcast, text: str = "text", offsets: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = opened(tokenizer.value)
+        encoder = Encoder(model)
         for batch in batches:
             for first, end in cuts(pc.binary_length(batch[held]).to_numpy(zero_copy_only=False), SLICE_BYTES):
                 part = batch.slice(first, end - first)
-                texts = part[held].to_pylist()
-                found = model.encode_batch(texts, add_special_tokens=False) if offsets else model.encode_batch_fast(texts, add_special_tokens=False)
-                ids = [x.ids for x in found]
-                lengths = list(map(len, ids))
-                columns = [list_array(lengths, np.fromiter(chain.from_iterable(ids), np.int32, sum(lengths)))]
-                if offsets:
+                if not offsets:
+                    columns = [encoder.ids(part[held])]
+                else:
+                    found = model.encode_batch(part[held].to_pylist(), add_special_tokens=False)
+                    ids = [x.ids for x in found]
+                    lengths = list(map(len, ids))
+                    columns = [list_array(lengths, np.fromiter(chain.from_iterable(ids), np.int32, sum(lengths)))]
                     spans = np.fromiter((v for x in found for s in x.offsets for v in s), np.int32, 2 * sum(lengths)).reshape(-1, 2)
                     columns += [list_array(lengths, np.ascontiguousarray(spans[:, k])) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in others), *columns], names=[*others, *added])

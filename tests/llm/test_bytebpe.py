@@ -101,3 +101,28 @@ def test_merges_follow_from_ranks(ranks):
     assert built["merges"] == [list(m) for m in known["merges"]]
     with pytest.raises(ValueError, match="single bytes"):
         bytebpe.tokenizer_json({b"a": 0}, "a")
+
+
+def test_a_stretch_is_encoded_once_and_cuts_change_no_ids(loaded, brute):
+    import pyarrow as pa
+
+    model, asked = bytebpe.opened(loaded.value), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return model.encode_batch_fast(texts, **options)
+
+    gaps = [" ", "  ", "   ", "\n", " \n", "\n ", "\n\n ", " \t ", " ", "  ", "  ", " 　", "  ", " \u0085", "\x1c ", " \x1f", "  ", "", "'s ", " 's"]
+    words = ["a", "Bc", "12", "é", "日本", "…", "'ll", "́", "​", "\x7f", "😀", "«x»", "ã", ""]
+    rng = random.Random(8)
+    texts = ["", " ", "  ", "a ", " a", "a  ", "\n "] + ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(12))) for _ in range(4000)] + random_texts(1000, 6)
+    encoder = bytebpe.Encoder(Counting())
+    for part in (pa.array(["dropped ", *texts]).slice(1), pa.array(texts), pa.array([], pa.string()), pa.array([""])):
+        assert encoder.ids(part).to_pylist() == [brute.encode_ordinary(t) for t in part.to_pylist()]
+    short = [w for w in asked if len(w) <= bytebpe.KNOWN_LENGTH]
+    assert len(short) == len(set(short))
+    # a text of one word all over was encoded as often as it has words
+    asked.clear()
+    encoder.ids(pa.array([" stretch" * 50_000]))
+    assert asked == [" stretch"]
