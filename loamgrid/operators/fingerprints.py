@@ -16,8 +16,8 @@ from loamgrid.session import durable
 
 #: Texts whose words are taken up together; words whose digests are held at once; words whose bits are added up in a byte each.
 SLICE, KNOWN, LANE = 400, 500_000, 255
-#: Pairs whose features are unfolded at once.
-PAIRS = 20_000
+#: Items whose features are unfolded at once; pairs whose scores are multiplied at once.
+PAIRS, FEW = 20_000, 1_000
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
@@ -138,11 +138,16 @@ def near_correlated(items: DataFrame, distance: int, least: float, carry: Sequen
     """
 
     def score(packed: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        r = np.empty(len(x))
-        for k in range(0, len(x), PAIRS):
-            some, at = np.unique(np.concatenate([x[k : k + PAIRS], y[k : k + PAIRS]]), return_inverse=True)
-            z, n = _scores(packed.take(pa.array(some))), len(at) // 2
-            r[k : k + PAIRS] = (z[at[:n]] * z[at[n:]]).mean(axis=1)
+        # features are unfolded once for all pairs of a task's step, some items at a time: a feature is mostly in many pairs
+        some, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        parts = [_scores(packed.take(pa.array(some[k : k + PAIRS]))) for k in range(0, len(some), PAIRS)]
+        if len({z.shape[1] for z in parts}) > 1:
+            raise ValueError("features have several lengths")
+        z, n = np.concatenate(parts), len(x)
+        r = np.empty(n)
+        for k in range(0, n, FEW):  # of so few pairs the scores stay in the cache
+            i, j = at[:n][k : k + FEW], at[n:][k : k + FEW]
+            r[k : k + FEW] = (z[i] * z[j]).mean(axis=1)
         return r
 
     packed = _packed(items.select(key, h, *carry, feature), feature)

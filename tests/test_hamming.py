@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import pytest
+from pyspark.sql import functions as F
 
 from loamgrid.operators import hamming
 from loamgrid.operators.components import connected_components
@@ -108,3 +112,24 @@ def test_items_are_dealt_by_their_first_pieces_and_pairs_not_at_all(spark, monke
     # it was a row for each choice of two pieces, 36, and pairs were joined with the features of both ends
     assert keyed[0].count() == rows_an_item * sum(r[3] is not None for r in rows)
     assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_features_are_unfolded_once_for_all_pairs_of_a_step(spark, monkeypatch):
+    from loamgrid.operators import fingerprints, hamming
+
+    seen = {}
+    monkeypatch.setattr(fingerprints, "_packed", lambda rows, feature: rows.select("id", "h", F.lit(b"").alias("p")))
+    monkeypatch.setattr(hamming, "near_pairs", lambda *a: seen.update(score=a[-1][1]))
+    fingerprints.near_correlated(spark.createDataFrame([], "id long, h long, feature array<double>"), 4, -1.0)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (40, 16)).astype(np.uint8)
+    a, b = np.triu_indices(40, 1)
+    asked = []
+    scores = fingerprints._scores
+    monkeypatch.setattr(fingerprints, "_scores", lambda p: asked.append(len(p)) or scores(p))
+    monkeypatch.setattr(fingerprints, "PAIRS", 25)
+    monkeypatch.setattr(fingerprints, "FEW", 7)
+    r = seen["score"](pa.array([b"\1" + v.tobytes() for v in x], pa.binary()), a, b)
+    assert np.allclose(r, np.corrcoef(x)[a, b])
+    # a feature was unfolded again for each lot of pairs that it is in
+    assert sum(asked) == 40
