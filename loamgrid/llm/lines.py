@@ -200,8 +200,12 @@ def pair_simhashes(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return both[0], both[1]
 
 
-#: What is known of a line where it meets others by a run of words: the run, the line's key, its set or SimHash, its words, and the kind of run.
-ROW = np.dtype([("run", "<u4"), ("id", "<i8"), ("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("own", "?"), ("far", "?")])
+#: What is known of a line where it meets others by a run of words: the run, the line's key, its set or SimHash, its words, the kind of run, and its form.
+ROW = np.dtype([("run", "<u4"), ("id", "<i8"), ("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("own", "?"), ("far", "?"), ("form", "u1")])
+#: Words up to which a line's set is packed in 32, 64 and 128 bits, of which shorter lines need no more; longer lines and far runs have the last form.
+FORM_WORDS = (20, 48, SET_WORDS)
+#: The forms in which rows are shuffled. ``n`` has the number of words, and in its two lowest bits whether the run is far and the line's own.
+FORMS = [np.dtype([("run", "<u4"), ("id", "<i8"), ("n", n), *marks]) for n, marks in (("u1", [("a", "<u4")]), ("u1", [("a", "<u8")]), ("<u2", [("a", "<u8"), ("b", "<u8")]), ("<u4", [("a", "<u8"), ("b", "<u8")]))]
 #: A line's document, key, and number in it.
 LINE = np.dtype([("did", "<i8"), ("row", "<i8"), ("key", "<i8"), ("line_no", "<i4")])
 #: What comes of a shard: a line (key, did, row, line_no), an edge between keys, a key in a group (a run that many unlike lines have), or a key
@@ -210,10 +214,49 @@ FOUND = "kind int, a long, b long, c long, line_no int"
 IS_LINE, IS_EDGE, IS_GROUP, IS_SHARED = range(4)
 
 
+def folded(a: np.ndarray, b: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of words with the bits that those of ``form`` have."""
+    a, b = np.where(form < 2, a | b, a), np.where(form < 2, np.uint64(0), b)
+    return np.where(form < 1, (a | a >> np.uint64(32)) & np.uint64(0xFFFFFFFF), a), b
+
+
+def packed_rows(h: np.ndarray, line: np.ndarray, far: np.ndarray, own: np.ndarray, shard: np.ndarray, key: np.ndarray, n: np.ndarray, marks: tuple, sims: tuple, shards: int) -> tuple[np.ndarray, list[bytes]]:
+    """The shards that have rows, and for each the number of its rows of each form and these rows."""
+    of_line = np.searchsorted(FORM_WORDS, n).astype(np.uint8)
+    sets = folded(*marks, of_line)
+    form = np.where(far, np.uint8(len(FORMS) - 1), of_line[line])
+    group = shard.astype(np.uint32) * np.uint32(len(FORMS)) + form
+    counts = np.bincount(group, minlength=shards * len(FORMS)).astype("<u4").reshape(shards, -1)
+    parts = []
+    for k, kind in enumerate(FORMS):
+        at = np.flatnonzero(form == k)
+        at = at[np.argsort(shard[at], kind="stable")]
+        of, out = line[at], np.empty(len(at), kind)
+        out["run"], out["id"] = h[at] & np.uint64(0xFFFFFFFF), key[of]
+        out["n"] = n[of] << 2 | far[at].astype(np.int64) << 1 | own[at]
+        for i, half in enumerate(kind.names[3:]):
+            out[half] = np.where(far[at], sims[i][of], sets[i][of]) if k == len(FORMS) - 1 else sets[i][of]
+        parts.append((out.view(np.uint8).data if len(out) else memoryview(b""), np.append(0, np.cumsum(counts[:, k], dtype=np.int64)) * kind.itemsize))
+    some = np.flatnonzero(counts.any(1))
+    return some, [b"".join([counts[s].tobytes(), *(data[at[s] : at[s + 1]] for data, at in parts)]) for s in some.tolist()]
+
+
+def unpacked(parts: list[bytes]) -> list[np.ndarray]:
+    """The rows of each form in ``parts``."""
+    found: list[list] = [[] for _ in FORMS]
+    for part in parts:
+        at = 4 * len(FORMS)
+        for rows, kind, count in zip(found, FORMS, np.frombuffer(part, "<u4", len(FORMS)).tolist(), strict=True):
+            if count:
+                rows.append(np.frombuffer(part, kind, count, at))
+            at += count * kind.itemsize
+    return [np.concatenate(rows) if rows else np.empty(0, kind) for rows, kind in zip(found, FORMS, strict=True)]
+
+
 def piece_table(docs: DataFrame, shards: list[int], exact: bool = False) -> DataFrame:
-    """(shard, rows, lines): packed ROWs of the lines of ``docs(did, row, text)``, dealt to ``shards`` by the runs' hashes, and LINEs, in turn.
+    """(shard, rows, lines): packed rows of the lines of ``docs(did, row, text)``, dealt to ``shards`` by the runs' hashes, and LINEs, in turn.
 
-    A line that is repeated within a task has mostly one lot of ROWs.
+    A line that is repeated within a task has mostly one lot of rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +283,8 @@ def piece_table(docs: DataFrame, shards: list[int], exact: bool = False) -> Data
             marks, sims = word_sets(ids, starts), pair_simhashes(ids, starts)
             h, line, far, own = pieces(ids, starts, exact)
             shard = ((h >> np.uint64(32)) % np.uint64(len(labels))).astype(np.uint16 if len(labels) < 1 << 16 else np.uint32)
-            order = np.argsort(shard, kind="stable")
-            packed = np.empty(len(h), ROW)
-            at = line[order]
-            packed["run"], packed["own"], packed["far"] = h[order] & np.uint64(0xFFFFFFFF), own[order], far[order]
-            packed["id"], packed["n"] = found.key[first][at], n[at]
-            for k, half in enumerate("ab"):
-                packed[half] = np.where(far[order], sims[k][at], marks[k][at])
-            bounds = np.searchsorted(shard[order], np.arange(len(labels) + 1))
-            some = np.flatnonzero(np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([pa.array(labels[some], pa.int32()), pa.array([packed[bounds[s] : bounds[s + 1]].tobytes() for s in some], pa.binary()), pa.nulls(len(some), pa.binary())], ["shard", "rows", "lines"])
+            some, packed = packed_rows(h, line, far, own, shard, found.key[first], n, marks, sims, len(labels))
+            yield pa.RecordBatch.from_arrays([pa.array(labels[some], pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(some), pa.binary())], ["shard", "rows", "lines"])
 
     return docs.select("did", "row", "text").mapInArrow(run, "shard int, rows binary, lines binary")
 
@@ -259,18 +294,30 @@ def excess(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
     most = np.maximum(nx, ny) // EDITS
     ok = (np.abs(nx - ny) <= most) & ((x["own"] & (nx >= ny)) | (y["own"] & (ny >= nx)))
-    only = [np.bitwise_count(p["a"] & ~q["a"]).astype(np.int64) + np.bitwise_count(p["b"] & ~q["b"]) for p, q in ((x, y), (y, x))]
+    xs, ys = (x["a"], x["b"]), (y["a"], y["b"])
+    if (x["form"] != y["form"]).any():
+        least = np.minimum(x["form"], y["form"])
+        xs, ys = folded(*xs, least), folded(*ys, least)
+    only = [np.bitwise_count(p[0] & ~q[0]).astype(np.int64) + np.bitwise_count(p[1] & ~q[1]) for p, q in ((xs, ys), (ys, xs))]
     return np.where(ok, np.where(x["far"], (only[0] + only[1]) / RADIUS, np.maximum(*only) / np.maximum(most, 1)), np.inf)
 
 
 def shared_runs(parts: list[bytes]) -> np.ndarray:
     """The rows of runs that several lines have, one of them as its own, in order of run and line."""
-    rows = np.frombuffer(b"".join(parts), ROW)
-    order = np.sort(rows["run"].astype(np.uint64) << np.uint64(32) | np.arange(len(rows), dtype=np.uint64))
+    forms = unpacked(parts)
+    run = np.concatenate([x["run"] for x in forms])
+    order = np.sort(run.astype(np.uint64) << np.uint64(32) | np.arange(len(run), dtype=np.uint64))
     run = order >> np.uint64(32)
-    new = np.append(True, run[1:] != run[:-1])
-    alone = new & np.append(new[1:], True)
-    rows = rows[(order[~alone] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    new = np.append(True, run[1:] != run[:-1])[: len(run)]
+    alone = new & np.append(new[1:], True)[: len(run)]
+    at = np.sort(order[~alone] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # only rows of runs that are repeated are widened
+    rows, bounds = np.zeros(len(at), ROW), np.cumsum([0, *map(len, forms)])
+    for k, (some, lo, hi) in enumerate(zip(forms, *np.searchsorted(at, (bounds[:-1], bounds[1:])), strict=True)):
+        out, some = rows[lo:hi], some[at[lo:hi] - bounds[k]]
+        for name in ("run", "id", *some.dtype.names[3:]):
+            out[name] = some[name]
+        out["n"], out["far"], out["own"], out["form"] = some["n"] >> 2, some["n"] >> 1 & 1, some["n"] & 1, k
     if not len(rows):
         return rows
     rows = rows[np.lexsort((~rows["own"], rows["id"], rows["run"]))]

@@ -16,6 +16,10 @@ _LETTER = re.compile(f"([{_UNSPACED}])")
 _OTHER = re.compile(r"[^\w\x00-\x7f]+")
 _KEPT = set(b"\nabcdefghijklmnopqrstuvwxyz_0")
 _BYTES = bytes(c if c in _KEPT or c > 127 else 48 if c in b"123456789" else 32 for c in range(256))
+#: Different characters of a text that are replaced one by one.
+FEW = 12
+#: What :func:`spaced` has found, of as many characters as there are at most.
+SPACED: dict[str, str] = {}
 #: Bytes hashed at a time, but for longer words.
 CHUNK = 1 << 18
 #: Odd multipliers and their inverses modulo 2 ** 64.
@@ -23,11 +27,25 @@ BASE = 0x9E3779B97F4A7C15
 POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def spaced(c: str) -> str:
+    """A character that isn't ASCII as it stands among words: a space for one of no word, between spaces if it is a word."""
+    found = SPACED.get(c)
+    if found is None:
+        found = SPACED[c] = _LETTER.sub(r" \1 ", _OTHER.sub(" ", c))
+    return found
+
+
 def normal(text: str) -> bytes:
     """``text`` with only words, spaces and newlines left; newlines stay where they are."""
     low = text.lower()
     if not low.isascii():
-        low = _LETTER.sub(r" \1 ", _OTHER.sub(" ", low))
+        apart = [(c, as_what) for c in set(low) if c > "\x7f" and (as_what := spaced(c)) != c]
+        # a text has mostly few different ones
+        if len(apart) > FEW:
+            low = _LETTER.sub(r" \1 ", _OTHER.sub(" ", low))
+        else:
+            for c, as_what in apart:
+                low = low.replace(c, as_what)
     return low.encode("utf-8", "surrogatepass").translate(_BYTES)
 
 

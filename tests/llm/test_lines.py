@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from loamgrid.llm import lines
 from loamgrid.llm.common import WordHashes
-from loamgrid.llm.linewords import line_words
+from loamgrid.llm.linewords import _BYTES, _LETTER, _OTHER, line_words, normal
 
 WORDS = [a + b for a in ("ba", "ko", "li", "mu", "ra", "te", "vo", "zi") for b in ("ba", "ko", "li", "mu", "ra", "te", "vo", "zi", "su", "do")]
 
@@ -194,3 +194,59 @@ def test_the_exact_search_loses_no_link_at_any_length(spark, monkeypatch):
     texts = [t for t in texts if len(t) >= lines.EDITS]  # shorter ones are similar only if equal
     n, lost = lost_links(texts, groups_of(spark, texts, monkeypatch, exact=True))
     assert n > 60 and lost == 0, (n, lost)
+
+
+def test_shuffled_rows_are_as_wide_as_their_lines_need():
+    rng, hashes = random.Random(31), WordHashes()
+    sizes = np.array([5, 12, 20, 21, 40, 48, 49, 90, 120, 121, 300, 20000])
+    ids = np.array([hashes[rng.choice(WORDS) + str(rng.randrange(500))] for _ in range(sizes.sum())], np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    key = np.arange(len(sizes), dtype=np.int64) - 5
+    marks, sims = lines.word_sets(ids, starts), lines.pair_simhashes(ids, starts)
+    for exact in (False, True):
+        h, line, far, own = lines.pieces(ids, starts, exact)
+        h = h & np.uint64(0x3FFFFFFFF)
+        shard = (h >> np.uint64(32)).astype(np.uint16)
+        some, packed = lines.packed_rows(h, line, far, own, shard, key, sizes, marks, sims, 4)
+        got = set()
+        for s, part in zip(some.tolist(), packed, strict=True):
+            for form, rows in enumerate(lines.unpacked([part])):
+                for r in rows:
+                    at = int(r["id"]) + 5
+                    assert int(r["n"]) >> 2 == sizes[at] and (form == 3 or sizes[at] <= lines.FORM_WORDS[form])
+                    if form == 3:
+                        assert (r["a"], r["b"]) == tuple((sims if r["n"] & 2 else marks)[k][at] for k in range(2))
+                    got.add((s, int(r["run"]), at, bool(r["n"] & 2), bool(r["n"] & 1)))
+        want = {(int(x) >> 32, int(x) & 0xFFFFFFFF, int(i), bool(f), bool(o)) for x, i, f, o in zip(h, line, far, own, strict=True)}
+        assert got == want
+        short = sizes[line] <= lines.FORM_WORDS[0]
+        assert sum(map(len, packed)) < (17 * short + 32 * ~short).sum() + 16 * len(packed) < 34 * len(h)
+
+
+def test_lines_of_different_forms_meet_in_the_narrower():
+    rng, hashes = random.Random(32), WordHashes()
+    for n in (14, 17, 20, 48, 57, 120):
+        a = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n)]
+        b, c = a[: n - n // 5] + [], [rng.choice(WORDS) + "x" + str(k) for k in range(n)]
+        every = [a, b, c + c[: n // 6]]
+        sizes = np.array([len(x) for x in every])
+        ids, starts = np.array([hashes[w] for x in every for w in x], np.uint64), np.cumsum(sizes) - sizes
+        k, shard = len(every), np.zeros(len(every), np.uint16)
+        packed = lines.packed_rows(np.full(k, 7, np.uint64), np.arange(k), np.zeros(k, bool), np.ones(k, bool), shard, np.arange(k), sizes, lines.word_sets(ids, starts), lines.pair_simhashes(ids, starts), 1)[1]
+        rows = lines.shared_runs(packed)
+        assert rows["n"].tolist() == sizes.tolist()
+        assert lines.excess(rows[:1], rows[1:2])[0] <= 1 and lines.excess(rows[1:2], rows[:1])[0] <= 1
+        assert (lines.excess(rows[:, None], rows[None])[:2, :2] <= 1).all() and lines.excess(rows[:1], rows[2:])[0] > 1
+
+
+def test_rows_of_no_shared_run_give_none():
+    assert not len(lines.shared_runs([]))
+
+
+def test_words_of_texts_with_few_or_many_other_characters():
+    rng = random.Random(33)
+    for some in ("aé–b 1", "’“”… ñß\n", "日本語カナ xyz。", "".join(map(chr, range(0x2010, 0x2060))) + "a b\n", "กขค ab\ud800\u0301", "".join(map(chr, range(0x4E00, 0x4E40)))):
+        for _ in range(20):
+            text = "".join(rng.choice(some) for _ in range(60))
+            low = _LETTER.sub(r" \1 ", _OTHER.sub(" ", text.lower())).encode("utf-8", "surrogatepass").translate(_BYTES)
+            assert [x.split() for x in normal(text).split(b"\n")] == [x.split() for x in low.split(b"\n")]
